@@ -39,7 +39,7 @@ listed AS (SELECT *, change_type AS category FROM changes
   UNION ALL SELECT *, 'deprecated' FROM changes WHERE newly_deprecated)"""
 
 
-def _changes(final: str) -> str:
+def changes_oracle(final: str) -> str:
     return with_tables("version_a version_b", f"WITH {CHANGES} {final}")
 
 
@@ -49,7 +49,7 @@ def _compare(spark, sf_dir):
 
 @query(
     "dif1_compare_versions",
-    _changes(
+    changes_oracle(
         """SELECT path, kind, change_type, severity, reasons, signature_before, signature_after, newly_deprecated FROM changes"""
     ),
 )
@@ -63,7 +63,7 @@ def dif1_compare_versions(spark, sf_dir):
 
 @query(
     "dif1_by_category",
-    _changes(
+    changes_oracle(
         """SELECT category, path, severity FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY path) AS rn
         FROM listed WHERE category IN ('breaking', 'deprecated', 'added')) WHERE rn <= 50"""
     ),
@@ -75,7 +75,7 @@ def dif1_by_category(spark, sf_dir):
 
 @query(
     "dif2_modified_severity",
-    _changes(
+    changes_oracle(
         """SELECT severity, reasons, count(*) AS n FROM changes WHERE change_type = 'modified' GROUP BY severity, reasons"""
     ),
 )
@@ -101,7 +101,7 @@ def dif3_item_hash(spark, sf_dir):
 
 @query(
     "dif4_migration_hints",
-    _changes(
+    changes_oracle(
         """SELECT path AS affected_path, CASE WHEN gone THEN '''' || path || ''' has been removed'
             WHEN contains(reasons, 'signature changed') THEN 'Function signature has changed'
             ELSE 'Item is no longer publicly accessible' END AS issue,
@@ -117,7 +117,7 @@ def dif4_migration_hints(spark, sf_dir):
 
 @query(
     "dif6_breaking_reasons",
-    _changes(
+    changes_oracle(
         """SELECT path, concat_ws('; ',
           CASE WHEN gone AND vis_before = 'public' THEN 'Public item removed from API' END,
           CASE WHEN change_type = 'modified' AND signature_before <> '' AND signature_after <> ''
@@ -134,7 +134,7 @@ def dif6_breaking_reasons(spark, sf_dir):
 
 @query(
     "dif8_change_advice",
-    _changes(
+    changes_oracle(
         """SELECT path, CASE WHEN gone THEN 'remove_usage' WHEN contains(lower(reasons), 'signature') THEN 'update_calls'
           WHEN contains(lower(reasons), 'private') THEN 'find_alternative' ELSE 'update_types' END AS action,
         CASE WHEN gone THEN 'Remove all usages of ''' || path || '''' WHEN contains(lower(reasons), 'signature')
@@ -197,7 +197,7 @@ def dif10_pattern_migrations(spark, sf_dir):
 
 @query(
     "agg10_diff_summary",
-    _changes(
+    changes_oracle(
         """SELECT count(*) AS total_changes, count(*) FILTER (WHERE category = 'breaking') AS breaking_changes,
           count(*) FILTER (WHERE category = 'deprecated') AS deprecated_items,
           count(*) FILTER (WHERE category = 'added') AS added_items,

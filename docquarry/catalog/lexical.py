@@ -135,15 +135,15 @@ def join3_import_alternatives(spark, sf_dir):
     "resolve_import",
     with_tables(
         "items reexports",
-        """WITH main AS (SELECT coalesce(max(actual_path), 'src3::doc_23') AS item_path,
+        """WITH main AS (SELECT coalesce(max(actual_path), 'src3::doc_63') AS item_path,
             CAST(CASE WHEN max(actual_path) IS NULL THEN 0.5 ELSE 0.9 END AS DOUBLE) AS confidence
-          FROM reexports WHERE crate = 'en' AND alias_path = 'en::src3::doc_23'),
+          FROM reexports WHERE crate = 'en' AND alias_path = 'en::src3::doc_63'),
         others AS (SELECT DISTINCT i.item_path AS item_path, r.alias_path AS alias_path,
-            CAST(CASE WHEN i.item_path ILIKE 'en::doc_23' THEN 0.8
-              WHEN i.item_path ILIKE '%::doc_23' THEN 0.6 ELSE 0.4 END AS DOUBLE) AS confidence,
+            CAST(CASE WHEN i.item_path ILIKE 'en::doc_63' THEN 0.8
+              WHEN i.item_path ILIKE '%::doc_63' THEN 0.6 ELSE 0.4 END AS DOUBLE) AS confidence,
             CASE WHEN r.alias_path IS NULL THEN 'direct' ELSE 'reexport' END AS link_type
           FROM items i LEFT JOIN (SELECT * FROM reexports WHERE crate = 'en') r ON r.actual_path = i.item_path
-          WHERE i.item_path ILIKE '%doc_23%' OR r.alias_path ILIKE '%doc_23%'
+          WHERE i.item_path ILIKE '%doc_63%' OR r.alias_path ILIKE '%doc_63%'
           ORDER BY confidence DESC, item_path, alias_path NULLS FIRST LIMIT 5)
         SELECT item_path, NULL AS alias_path, confidence, 'resolved' AS link_type FROM main
         UNION ALL SELECT item_path, alias_path, confidence, link_type FROM others
@@ -152,7 +152,7 @@ def join3_import_alternatives(spark, sf_dir):
 )
 def resolve_import(spark, sf_dir):
     return lookup.resolve_import(
-        derived(spark, sf_dir, "items"), derived(spark, sf_dir, "reexports"), "en", "src3::doc_23", True
+        derived(spark, sf_dir, "items"), derived(spark, sf_dir, "reexports"), "en", "src3::doc_63", True
     )
 
 
@@ -160,13 +160,13 @@ def resolve_import(spark, sf_dir):
     "join9_siblings",
     with_tables(
         "items",
-        """SELECT item_path, signature, item_type FROM items WHERE item_path <> 'en::src3::doc_23'
-        AND parent_id = (SELECT parent_id FROM items WHERE item_path = 'en::src3::doc_23')
+        """SELECT item_path, signature, item_type FROM items WHERE item_path <> 'en::src3::doc_63'
+        AND parent_id = (SELECT parent_id FROM items WHERE item_path = 'en::src3::doc_63')
         ORDER BY item_path LIMIT 10""",
     ),
 )
 def join9_siblings(spark, sf_dir):
-    return lookup.siblings(derived(spark, sf_dir, "items"), "en::src3::doc_23")
+    return lookup.siblings(derived(spark, sf_dir, "items"), "en::src3::doc_63")
 
 
 @query(
@@ -270,7 +270,8 @@ def _case(values, column="word") -> str:
     "qpp1_prepare_query",
     f"""WITH asked AS (SELECT page_id, CASE page_id % {len(WORDS)}
         {' '.join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(WORDS))} END AS word,
-        string_split_regex(trim(regexp_replace(url, '[^a-z0-9]+', ' ', 'g')), ' ') AS rest FROM pages)
+        flatten(list_transform(string_split_regex(trim(regexp_replace(url, '[^a-z0-9]+', ' ', 'g')), ' '),
+          lambda w: CASE WHEN w = 'ref' THEN ['ref', 'reference'] ELSE [w] END)) AS rest FROM pages)
     SELECT page_id, CASE word {_case(PREPARED)} END || ' ' || array_to_string(list_transform(list_filter(
         list_transform(range(1, len(rest) + 1), lambda i: struct_pack(w := rest[i], first := list_position(rest, rest[i]) = i)),
         lambda s: s.first), lambda s: s.w), ' ') AS prepared FROM asked""",
@@ -787,12 +788,12 @@ def flt15_dependency_paths(spark, sf_dir):
     with_tables(
         "modules items",
         """SELECT 'module' AS what, path, name AS found FROM modules WHERE path = 'ASIA'
-        UNION ALL SELECT 'item', item_path, header FROM items WHERE item_path = 'en::src3::doc_23'""",
+        UNION ALL SELECT 'item', item_path, header FROM items WHERE item_path = 'en::src3::doc_63'""",
     ),
 )
 def flt16_point_lookups(spark, sf_dir):
     module = filters.module_by_path(derived(spark, sf_dir, "modules"), "ASIA")
-    item = filters.item_document(derived(spark, sf_dir, "items"), "en::src3::doc_23")
+    item = filters.item_document(derived(spark, sf_dir, "items"), "en::src3::doc_63")
     left = module.select(F.lit("module").alias("what"), "path", F.col("name").alias("found"))
     return left.union(item.select(F.lit("item"), "item_path", "header"))
 
