@@ -123,15 +123,19 @@ def generic_constraints(rows: DataFrame, crate: str, item_path: str) -> DataFram
     return found.withColumn("param_group", group)
 
 
-def methods_with_defaults(own: DataFrame, defaults: DataFrame, impls: DataFrame) -> DataFrame:
+def methods_with_defaults(
+    own: DataFrame, defaults: DataFrame, impls: DataFrame, scope: list[str] | None = None
+) -> DataFrame:
     """Methods of implementations plus the trait defaults they do not override.
 
     ``own`` has ``impl_type_path``, ``trait_path``, ``method_name``; ``defaults``
     has ``trait_path``, ``method_name``; ``impls`` pairs types with traits.
+    Columns in ``scope`` (such as crate and version) must agree throughout.
     """
-    keys = ["impl_type_path", "trait_path", "method_name"]
-    offered = impls.select("impl_type_path", "trait_path").distinct().join(defaults, "trait_path")
-    inherited = offered.select(*keys).join(own.select(*keys), keys, "left_anti")
+    scope = scope or []
+    keys = [*scope, "impl_type_path", "trait_path", "method_name"]
+    pairs = impls.select(*scope, "impl_type_path", "trait_path").distinct()
+    inherited = pairs.join(defaults, [*scope, "trait_path"]).select(*keys).join(own.select(*keys), keys, "left_anti")
     return own.select(*keys, F.lit(False).alias("is_default")).unionByName(
         inherited.select(*keys, F.lit(True).alias("is_default"))
     )
