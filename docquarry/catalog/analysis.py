@@ -88,11 +88,10 @@ def agg5_pattern_category(spark, sf_dir):
 )
 def agg6_confidence_score(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
-    total = parts.agg(F.count("*").alias("total"))
+    total = parts.agg(F.count("*")).scalar()
     counts = parts.groupBy("p_brand").agg(F.count("*").alias("n"))
-    both = counts.join(F.broadcast(total), F.lit(True), "left")  # one row
-    score = patterns.confidence_score(F.col("n"), F.col("total"))
-    return both.select("p_brand", F.round(score, 6).alias("confidence"))
+    score = patterns.confidence_score(F.col("n"), total)
+    return counts.select("p_brand", F.round(score, 6).alias("confidence"))
 
 
 @query(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from docquarry.catalog.corpus import derived, table, with_tables
 from docquarry.catalog.registry import query
 from docquarry.functions import signatures
+from docquarry.plans.spread import spread
 from docquarry.session import shared_dir
 from docquarry.sources import archives, cargo, embedding, rust_source, rustdoc, store
 from docquarry.streaming import events as streams
@@ -48,7 +49,7 @@ RUSTDOC = """{"index": {
 
 
 def _rustdoc(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     number = F.col("doc_id").cast("string")
     text = F.expr("substring(to_json(named_struct('d', text)), 6, length(to_json(named_struct('d', text))) - 6)")
     unsafe = F.when(F.col("doc_id") % 2 == 0, "true").otherwise("false")
@@ -248,7 +249,7 @@ def tst4_combined_filters(spark, sf_dir):
 
 
 def _sources(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     number = F.col("doc_id").cast("string")
     file = (
         F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("c-1.0/src/lib.rs")))

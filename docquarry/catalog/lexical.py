@@ -8,6 +8,7 @@ from docquarry.catalog.corpus import derived, table, with_tables
 from docquarry.catalog.registry import query
 from docquarry.functions import code, fuzzy, intelligence, paths, signatures, text
 from docquarry.operators import filters, lookup
+from docquarry.plans.spread import spread
 
 
 # --- fuzzy paths: token ratios have no SQL form, tests compare them with brute force
@@ -236,7 +237,7 @@ def get_item_doc(spark, sf_dir):
     r"""SELECT doc_id, lower(trim(regexp_replace(nfc_normalize(text), '[^\p{L}\p{N}_]', ' ', 'g'))) AS form FROM documents""",
 )
 def strf1_lookup_form(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", text.lookup_form(F.col("text")).alias("form"))
 
 
@@ -313,7 +314,7 @@ FENCED = r"""blocks AS (SELECT id, item_path, content, tag, regexp_replace(code,
     ),
 )
 def strf4_code_examples(spark, sf_dir):
-    docs = derived(spark, sf_dir, "raw_docs")
+    docs = spread(derived(spark, sf_dir, "raw_docs"))
     return docs.select("id", F.inline(code.code_examples(F.col("doc"))))
 
 
@@ -326,7 +327,7 @@ NORMALIZED = r"""array_to_string(list_filter(list_transform(string_split({c}, ch
     f"SELECT doc_id, {NORMALIZED.format(c='text')} AS code FROM documents",
 )
 def strf5_normalize_code(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", code.normalize_code(F.col("text")).alias("code"))
 
 
@@ -335,7 +336,7 @@ def strf5_normalize_code(spark, sf_dir):
     f"SELECT doc_id, substr(sha256('rust:' || {NORMALIZED.format(c='text')}), 1, 16) AS example_hash FROM documents",
 )
 def strf6_example_hash(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", code.example_hash(F.col("text"), F.lit("rust")).alias("example_hash"))
 
 
@@ -351,7 +352,7 @@ def strf6_example_hash(spark, sf_dir):
     ),
 )
 def strf7_embedding_text(spark, sf_dir):
-    docs = derived(spark, sf_dir, "raw_docs")
+    docs = spread(derived(spark, sf_dir, "raw_docs"))
     single = docs.select("id", "content", F.posexplode(code.fenced_blocks(F.col("doc"))).alias("n", "b"))
     embedded = code.embedding_text(F.col("b.code"), F.col("b.tag"), F.col("content"))
     return single.select("id", F.col("n").cast("bigint").alias("n"), embedded.alias("embedded"))
@@ -370,7 +371,7 @@ def strf7_embedding_text(spark, sf_dir):
 def agg16_example_dedupe(spark, sf_dir):
     from docquarry.sources.store import extract_examples, keep_last
 
-    docs = derived(spark, sf_dir, "raw_docs")
+    docs = spread(derived(spark, sf_dir, "raw_docs"))
     docs = docs.select("crate", "id", "item_path", "content", code.examples_json(F.col("doc")).alias("examples"))
     single = extract_examples(docs)
     return keep_last(single, ["crate", "example_hash"], ["id"], copies="copies").select(

@@ -8,6 +8,7 @@ from docquarry.catalog.corpus import derived, query_vector, table, with_tables
 from docquarry.catalog.registry import query
 from docquarry.functions import text, vectors
 from docquarry.operators import search
+from docquarry.plans.spread import spread
 
 DISTANCE = """sqrt(list_sum(list_transform(range(1, len({t}.embedding) + 1),
   lambda j: pow(CAST({t}.embedding[j] AS DOUBLE) - CAST(q.embedding[j] AS DOUBLE), 2))))"""
@@ -358,5 +359,5 @@ FROM cut c LEFT JOIN by_sent s ON s.id = c.id LEFT JOIN by_word w ON w.id = c.id
 
 @query("snp1_snippet", with_tables("pages_of_text", "WITH " + SNIPPET.strip()))
 def snp1_snippet(spark, sf_dir):
-    docs = derived(spark, sf_dir, "pages_of_text")
+    docs = spread(derived(spark, sf_dir, "pages_of_text"))
     return docs.select("id", text.snippet(F.col("content")).alias("snippet"))

@@ -26,17 +26,26 @@ def lookup_form(text: str) -> str:
     return _NOT_WORD.sub(" ", unicodedata.normalize("NFC", text)).strip().lower()
 
 
+def _places(text: str) -> dict[str, int]:
+    """For every character the bit set of its positions."""
+    out: dict[str, int] = {}
+    for i, ch in enumerate(text):
+        out[ch] = out.get(ch, 0) | (1 << i)
+    return out
+
+
+def _shared(places: dict[str, int], size: int, other: str) -> int:
+    """Longest common subsequence of a prepared text and another, a bit per row cell."""
+    row = full = (1 << size) - 1
+    for ch in other:
+        hit = row & places.get(ch, 0)
+        if hit:
+            row = ((row + hit) | (row - hit)) & full
+    return size - row.bit_count()
+
+
 def common_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, one machine word per row."""
-    where: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        where[ch] = where.get(ch, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    row = full
-    for ch in b:
-        hit = row & where.get(ch, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+    return _shared(_places(a), len(a), b)
 
 
 def ratio(a: str, b: str) -> float:
@@ -86,10 +95,17 @@ def partial_ratio(a: str, b: str) -> float:
 
 
 def _best_window(short: str, long: str) -> float:
-    size = len(short)
-    windows = {long[max(0, end - size) : end] for end in range(1, len(long) + 1)}
-    windows |= {long[start:] for start in range(len(long) - size + 1, len(long))}
-    return max(ratio(short, window) for window in windows)
+    """Windows that begin or end with a foreign character are never the best ones."""
+    size, places = len(short), _places(short)
+    best = 0.0
+    for end in range(1, len(long) + size):
+        window = long[max(0, end - size) : end]
+        if window[-1 if end <= len(long) else 0] not in places:
+            continue
+        total = size + len(window)
+        if 200.0 * len(window) / total > best:
+            best = max(best, 200.0 * _shared(places, size, window) / total)
+    return best
 
 
 def path_score(query: str, candidate: str, cutoff: float = C.FUZZY_CUTOFF) -> float:

@@ -20,9 +20,21 @@ def _unicode_form(form: str):
     return normalize
 
 
-# Spark has no Unicode normalisation, so this one step runs as an Arrow batch
-nfc = _unicode_form("NFC")
-nfkc = _unicode_form("NFKC")
+# Spark has no Unicode normalisation, so this one step runs as an Arrow batch, and
+# only for text that can change: below U+0300 everything is composed already, and
+# the second class holds the Latin letters without a compatibility form
+_nfc = _unicode_form("NFC")
+_nfkc = _unicode_form("NFKC")
+_MAY_COMPOSE = r"[^\x{00}-\x{2FF}]"
+_MAY_FOLD = r"[^\x{00}-\x{9F}\x{C0}-\x{131}]"
+
+
+def nfc(text: Column) -> Column:
+    return F.coalesce(_nfc(F.when(text.rlike(_MAY_COMPOSE), text)), text)
+
+
+def nfkc(text: Column) -> Column:
+    return F.coalesce(_nfkc(F.when(text.rlike(_MAY_FOLD), text)), text)
 
 
 def lookup_form(text: Column, composed: bool = False) -> Column:
@@ -77,6 +89,11 @@ def prepare_query(text: Column) -> Column:
     return F.when(usable, expand_terms(american_spelling(query_form(text))))
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed a single time per row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def snippet(
     text: Column,
     target: int = C.SNIPPET_TARGET,
@@ -88,22 +105,16 @@ def snippet(
     A sentence adds at least two characters and so does a word, which bounds how
     many of either can matter; the rest of a long text is never looked at.
     """
-    sentences = F.split(text, r"(?U)[.!?]\s+")
-    n_sentences = F.size(sentences)
+    dots = F.lit("...")
 
-    def grow(state: Column, i: Column) -> Column:
-        ending = F.when(i < n_sentences, ". ").otherwise("")
-        longer = F.concat(state["text"], F.get(sentences, i - 1), ending)
-        return F.when(
-            state["done"] | (F.length(state["text"]) >= shortest),
-            F.struct(state["text"].alias("text"), F.lit(True).alias("done")),
-        ).otherwise(F.struct(longer.alias("text"), F.lit(False).alias("done")))
+    def by_sentence(parts: Column) -> Column:
+        def grow(state: Column, i: Column) -> Column:
+            ending = F.when(i < F.size(parts), ". ").otherwise("")
+            longer = F.concat(state, F.get(parts, i - 1), ending)
+            return F.when(F.length(state) >= shortest, state).otherwise(longer)
 
-    start = F.struct(F.lit("").alias("text"), F.lit(False).alias("done"))
-    steps = F.sequence(F.lit(1), F.least(n_sentences, F.lit(shortest)))
-    grown = F.aggregate(steps, start, grow, lambda s: s["text"])
-
-    words = F.slice(F.split(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), " "), 1, target)
+        steps = F.sequence(F.lit(1), F.least(F.size(parts), F.lit(shortest)))
+        return F.aggregate(steps, F.lit(""), grow)
 
     def add_word(state: Column, word: Column) -> Column:
         longer = F.concat(state["text"], F.when(state["text"] != "", " ").otherwise(""), word)
@@ -111,21 +122,29 @@ def snippet(
             F.struct(longer.alias("text"), state["text"].alias("before"))
         )
 
+    def finish_words(state: Column) -> Column:
+        line, before = state["text"], state["before"]
+        cut = F.concat(F.substring(text, 1, longest), dots)
+        return (
+            F.when((F.length(line) >= target) & (F.length(line) + 3 <= longest), F.concat(line, dots))
+            .when((F.length(line) >= target) & (before != ""), F.concat(before, dots))
+            .when((F.length(line) < target) & (F.length(line) >= shortest), line)
+            .otherwise(cut)
+        )
+
+    # the last part of a limited split is the unsplit rest and is dropped
+    start = F.regexp_replace(text, r"(?U)^\s+", "")
+    words = F.filter(F.slice(F.split(start, r"(?U)\s+", target + 1), 1, target), lambda w: w != "")
     empty = F.struct(F.lit("").alias("text"), F.lit("").alias("before"))
-    joined = F.aggregate(words, empty, add_word)
-    line, before = joined["text"], joined["before"]
-    cut = F.concat(F.substring(text, 1, longest), F.lit("..."))
-    by_word = (
-        F.when((F.length(line) >= target) & (F.length(line) + 3 <= longest), F.concat(line, F.lit("...")))
-        .when((F.length(line) >= target) & (before != ""), F.concat(before, F.lit("...")))
-        .when((F.length(line) < target) & (F.length(line) >= shortest), line)
-        .otherwise(cut)
+    by_word = _once(F.aggregate(words, empty, add_word), finish_words)
+
+    sentences = F.split(text, r"(?U)[.!?]\s+", shortest + 1)
+    grown = _once(sentences, by_sentence)
+    fits = _once(
+        grown, lambda g: F.when(F.length(g).between(shortest, longest), F.trim(g)).otherwise(by_word)
     )
     return (
-        F.when(F.coalesce(text, F.lit("")) == "", "")
-        .when(F.length(text) <= longest, text)
-        .when(F.length(grown).between(shortest, longest), F.trim(grown))
-        .otherwise(by_word)
+        F.when(F.coalesce(text, F.lit("")) == "", "").when(F.length(text) <= longest, text).otherwise(fits)
     )
 
 

@@ -53,10 +53,10 @@ def tree_with_root(tree: DataFrame, crate: str) -> DataFrame:
         F.lit(0).alias("depth"),
         F.col("total").alias("item_count"),
     )
-    single = F.broadcast(top.select((F.col("n") == 1).alias("_single")))  # one row
-    rows = tree.join(single, F.lit(True), "left").withColumn(
+    single = top.select(F.col("n") == 1).scalar()
+    rows = tree.withColumn(
         "parent_id",
-        F.when(F.col("parent_id").isNull() & ~F.col("_single"), F.lit(-1)).otherwise(F.col("parent_id")),
+        F.when(F.col("parent_id").isNull() & ~single, F.lit(-1)).otherwise(F.col("parent_id")),
     )
     return rows.select(*added.columns).unionByName(added)
 

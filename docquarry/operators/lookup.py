@@ -94,7 +94,9 @@ def fuzzy_suggestions(
         plain = ~F.col("item_path").rlike(r"[^\x00-\x7F]")
         candidates = candidates.where(~plain | F.lower("item_path").rlike(shape))
     needed = threshold - C.FUZZY_SAME_TAIL_BONUS
-    scored = candidates.withColumn(
+    # short texts, dear scores: the paths left are dealt out evenly
+    tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    scored = candidates.repartition(tasks).withColumn(
         "base", fuzzy.path_score_column(prepared, F.col("item_path"), threshold, needed)
     )
     total = F.least(F.lit(1.0), F.col("base") + fuzzy.tail_bonus(query, F.col("item_path")))

@@ -17,16 +17,15 @@ def query_rows(rows: DataFrame, order: list[str], **equal) -> DataFrame:
 def trait_implementors(impls: DataFrame, crate: str, trait_path: str) -> DataFrame:
     """Types that implement a trait; the bare name is tried only when the path has none.
 
-    Both readings come from one scan, and the window over the two possible names
-    keeps the better one.
+    The bare name is let through by a scalar count of exact hits.
     """
     bare = trait_path.split("::")[-1]
     names = [trait_path] if bare == trait_path else [trait_path, bare]
     found = impls.where((F.col("crate") == crate) & F.col("trait_path").isin(names))
     if len(names) > 1:
-        exact = found.where(F.col("trait_path") == trait_path).limit(1).select(F.lit(True).alias("_exact"))
-        fallback = found.where(F.col("trait_path") == bare).join(exact, F.lit(True), "left_anti")
-        found = found.where(F.col("trait_path") == trait_path).unionByName(fallback)
+        exact = found.where(F.col("trait_path") == trait_path)
+        hits = exact.agg(F.count("*")).scalar()
+        found = found.where((F.col("trait_path") == trait_path) | (hits == 0))
     return found.orderBy("is_blanket", "impl_type_path").select(
         F.col("impl_type_path").alias("type_path"),
         "generic_params",

@@ -136,10 +136,8 @@ def evictions(files: DataFrame, popularity: DataFrame, limit_bytes: int = C.CACH
         F.when(F.col("priority") == 0, F.floor(F.col("mtime") / 1000)).otherwise(0).alias("t"),
     )
     running = running_total(ranked, "size_bytes", ["priority", "mtime", "crate"], bucket, "removed_bytes")
-    total = files.agg(F.sum("size_bytes").alias("_total"))
-    sized = running.join(F.broadcast(total), F.lit(True), "left")  # one row
-    excess = F.col("_total") - limit_bytes
-    return sized.where(F.col("removed_bytes") - F.col("size_bytes") < excess).drop("_total")
+    excess = files.agg(F.sum("size_bytes")).scalar() - limit_bytes
+    return running.where(F.col("removed_bytes") - F.col("size_bytes") < excess)
 
 
 def cache_size(files: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry import constants as C
+from docquarry.plans.spread import spread
 
 ROW = "crate string, item_path string, header string, item_type string, signature string, content string, visibility string"
 
@@ -96,7 +97,9 @@ def declarations(files: DataFrame) -> DataFrame:
             F.slice(lines, h["at"] + 1, F.lit(C.SIGNATURE_LINES + 1)).alias("lines"),
         ),
     )
-    rows = files.select("crate", module_path(F.col("crate"), F.col("file")).alias("module"), F.inline(framed))
+    rows = spread(files).select(
+        "crate", module_path(F.col("crate"), F.col("file")).alias("module"), F.inline(framed)
+    )
     line = F.get("lines", F.lit(0))
     kinds = F.array_compact(
         F.array(
@@ -184,6 +187,9 @@ def find_macros(text: str) -> list[dict]:
     """Macros of one file: name, kind, signature, docs and visibility."""
     lines, out, at = text.split("\n"), [], 0
     while at < len(lines):
+        if "macro" not in lines[at]:
+            at += 1
+            continue
         rules = _RULES.search(lines[at])
         if rules:
             end = _body_end(lines, at)

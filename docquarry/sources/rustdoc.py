@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from docquarry import constants as C
 from docquarry.functions import code, intelligence, paths, signatures
 from docquarry.operators.typenav import methods_with_defaults
+from docquarry.plans.spread import spread
 
 ITEM = (
     "struct<name:string,docs:string,visibility:string,attrs:array<string>,deprecation:string,"
@@ -28,7 +29,7 @@ def read_index(files: DataFrame) -> DataFrame:
     A file that is not JSON yields no rows.
     """
     parsed = F.from_json("text", f"struct<index:map<string,{ITEM}>>")["index"]
-    rows = files.select("crate", "version", F.explode(parsed).alias("item_id", "item"))
+    rows = spread(files).select("crate", "version", F.explode(parsed).alias("item_id", "item"))
     return rows.select("crate", "version", "item_id", "item.*")
 
 
