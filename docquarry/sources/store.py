@@ -138,12 +138,12 @@ def extract_examples(items: DataFrame, extra: list[str] | None = None) -> DataFr
 def write_table(df: DataFrame, path: str, partitions: tuple[str, ...] = ("crate", "version")) -> None:
     """Replace exactly the crate/version partitions that ``df`` holds.
 
-    Rows are spread by a hash within the partition, not by crate alone, so a
-    large crate is written by many tasks.
+    Rows are not gathered by crate first, so a large crate is written by many
+    tasks.  A table without these columns is replaced as a whole.
     """
     columns = [c for c in partitions if c in df.columns]
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(*columns).parquet(path)
+    (writer.partitionBy(*columns) if columns else writer).parquet(path)
 
 
 def read_table(spark, path: str, schema) -> DataFrame:
