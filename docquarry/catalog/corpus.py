@@ -210,7 +210,7 @@ FROM lineitem l
 GROUP BY l.l_partkey % 50, l.l_linenumber, l.l_returnflag, l.l_linestatus
 """
 SQL["associated_items"] = """
-SELECT 'parts' AS crate, 'parts::C' || CAST(p.p_size AS STRING) AS container_path,
+SELECT 'parts' AS crate, 'parts::C' || CAST(CAST(floor(p.p_partkey / 40) AS BIGINT) AS STRING) AS container_path,
   replace(p.p_name, ' ', '_') || '_' || CAST(p.p_partkey AS STRING) AS item_name,
   CASE p.p_partkey % 3 WHEN 0 THEN 'type' WHEN 1 THEN 'const' ELSE 'function' END AS item_kind,
   'sig ' || p.p_brand AS item_signature, p.p_retailprice AS weight

@@ -53,11 +53,12 @@ def _rustdoc(spark, sf_dir):
     number = F.col("doc_id").cast("string")
     text = F.expr("substring(to_json(named_struct('d', text)), 6, length(to_json(named_struct('d', text))) - 6)")
     unsafe = F.when(F.col("doc_id") % 2 == 0, "true").otherwise("false")
-    return docs.select(
+    files = docs.select(
         F.concat(F.lit("c"), number).alias("crate"),
         F.lit("1.0.0").alias("version"),
         F.format_string(RUSTDOC, number, text, unsafe).alias("text"),
     )
+    return rustdoc.parse(files)
 
 
 @query(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +9,7 @@ from pyspark.sql.types import StringType
 
 from docquarry import constants as C
 from docquarry import schemas
+from docquarry.functions.binding import once
 
 _EXAMPLES_DDL = "array<struct<code:string,language:string,detected:boolean>>"
 
@@ -39,13 +38,12 @@ def guess_language(code: pd.Series) -> pd.Series:
 
 def fenced_blocks(text: Column) -> Column:
     """Every non-empty fenced block as ``struct<tag, code>``, in order."""
-    tags = F.regexp_extract_all(text, F.lit(C.FENCED_BLOCK), F.lit(1))
-    codes = F.regexp_extract_all(text, F.lit(C.FENCED_BLOCK), F.lit(2))
-    blocks = F.zip_with(
-        tags,
-        codes,
-        lambda tag, code: F.struct(
-            F.lower(tag).alias("tag"), F.regexp_replace(code, r"^\s+|\s+$", "").alias("code")
+    whole = F.regexp_extract_all(text, F.lit(C.FENCED_BLOCK), F.lit(0))
+    blocks = F.transform(
+        whole,
+        lambda block: F.struct(
+            F.lower(F.regexp_extract(block, C.FENCED_BLOCK, 1)).alias("tag"),
+            F.regexp_replace(F.regexp_extract(block, C.FENCED_BLOCK, 2), r"^\s+|\s+$", "").alias("code"),
         ),
     )
     return F.filter(blocks, lambda b: b["code"] != "")
@@ -69,8 +67,7 @@ def code_examples(text: Column, default_language: str = "rust") -> Column:
 
 def examples_json(text: Column) -> Column:
     """The stored JSON form; null when there is no example."""
-    found = code_examples(text)
-    return F.when(F.size(found) > 0, F.to_json(found))
+    return once(code_examples(text), lambda found: F.when(F.size(found) > 0, F.to_json(found)))
 
 
 def parse_examples(stored: Column) -> Column:
@@ -136,7 +133,3 @@ def embedding_text(code: Column, language: Column, context: Column) -> Column:
     )
     return F.concat_ws("\n\n", tag, about, code)
 
-
-def examples_from_python(value: list[dict] | list[str] | str) -> str:
-    """Encode literal examples the way the store holds them."""
-    return json.dumps(value)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from docquarry import constants as C
+from docquarry.functions.binding import once
 
 
 def _unicode_form(form: str):
@@ -89,11 +90,6 @@ def prepare_query(text: Column) -> Column:
     return F.when(usable, expand_terms(american_spelling(query_form(text))))
 
 
-def _once(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` computed a single time per row."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def snippet(
     text: Column,
     target: int = C.SNIPPET_TARGET,
@@ -136,11 +132,11 @@ def snippet(
     start = F.regexp_replace(text, r"(?U)^\s+", "")
     words = F.filter(F.slice(F.split(start, r"(?U)\s+", target + 1), 1, target), lambda w: w != "")
     empty = F.struct(F.lit("").alias("text"), F.lit("").alias("before"))
-    by_word = _once(F.aggregate(words, empty, add_word), finish_words)
+    by_word = once(F.aggregate(words, empty, add_word), finish_words)
 
     sentences = F.split(text, r"(?U)[.!?]\s+", shortest + 1)
-    grown = _once(sentences, by_sentence)
-    fits = _once(
+    grown = once(sentences, by_sentence)
+    fits = once(
         grown, lambda g: F.when(F.length(g).between(shortest, longest), F.trim(g)).otherwise(by_word)
     )
     return (

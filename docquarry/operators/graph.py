@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import paths
 from docquarry.operators.lookup import first_edges
-from docquarry.session import durable
+from docquarry.session import durable, staged
 
 LINKS = ["dependency", "crossref", "reexport"]
 
@@ -127,9 +127,10 @@ def dependency_graph(
 
     ``depth`` 1 holds all links of the crate; an edge is at depth ``d`` when a
     walk of ``d`` links ends with it and its target is not among the walk's
-    earlier sources.
+    earlier sources.  Links and the walks of each depth are staged, since both
+    the result and the next depth read them.
     """
-    links = (
+    links = staged(
         reexports.where((F.col("crate") == crate) & F.col("link_type").isin(LINKS))
         .select(F.col("alias_path").alias("source"), F.col("actual_path").alias("target"))
         .distinct()
@@ -141,6 +142,8 @@ def dependency_graph(
         walked = links.join(states, F.col("source") == F.col("node")).where(
             ~F.array_contains("used", F.col("target"))
         )
+        if depth < max_depth:
+            walked = staged(walked)
         out = out.unionByName(walked.select("source", "target", F.lit(depth).alias("depth")).distinct())
         states = walked.select(F.col("target").alias("node"), F.array_union("used", F.array("source")).alias("used"))
     known = items.select(F.col("item_path")).distinct()
@@ -156,23 +159,29 @@ def dependency_graph(
     )
 
 
+def _peel(edges: DataFrame) -> DataFrame:
+    """Edges whose source has a way in and whose target has a way out."""
+    has_in = edges.select(F.col("target").alias("source")).distinct()
+    has_out = edges.select(F.col("source").alias("target")).distinct()
+    return edges.join(has_in, "source", "left_semi").join(has_out, "target", "left_semi")
+
+
 def cyclic_core(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """Edges left after nodes without a way in or a way out are peeled off.
 
-    Something is left exactly when the graph has a cycle.  Every round is two
-    semi joins on distinct node lists, whatever the degree of a node.
+    Something is left exactly when the graph has a cycle.  A peel is two semi
+    joins on distinct node lists, whatever the degree of a node; two peels share
+    one checkpoint.
     """
     rest = durable(edges.select("source", "target").distinct())
     size = rest.count()
     for _ in range(max_rounds):
-        has_in = rest.select(F.col("target").alias("source")).distinct()
-        has_out = rest.select(F.col("source").alias("target")).distinct()
-        rest = durable(rest.join(has_in, "source", "left_semi").join(has_out, "target", "left_semi"))
+        rest = durable(_peel(_peel(rest)))
         left = rest.count()
         if left == size or left == 0:
             return rest
         size = left
-    raise RuntimeError(f"the graph has chains longer than {max_rounds}")
+    raise RuntimeError(f"the graph has chains longer than {2 * max_rounds}")
 
 
 def has_cycles(edges: DataFrame) -> DataFrame:
@@ -186,7 +195,7 @@ def hierarchy(edges: DataFrame, root: str, max_depth: int = 3) -> DataFrame:
     A node seen again is listed under its other parents as a leaf
     (``opened`` is false), and nothing below ``max_depth`` is opened.
     """
-    links = edges.select("source", "target").distinct()
+    links = staged(edges.select("source", "target").distinct())
     spark = edges.sparkSession
     frontier = spark.createDataFrame([(root,)], "node string")
     visited = frontier

@@ -116,16 +116,19 @@ def import_alternatives(
     tail = path.split("::")[-1]
     item, alias = F.col("item_path"), F.col("alias_path")
     general = f"%{tail}%"
-    joined = items.select("item_path").join(
-        reexports.select("alias_path", F.col("actual_path").alias("item_path")), "item_path", "left"
-    )
     confidence = (
         F.when(item == path, 1.0)
         .when(item.ilike(f"{crate}::{tail}"), 0.8)
         .when(item.ilike(f"%::{tail}"), 0.6)
         .otherwise(0.4)
     )
-    hits = joined.where(item.ilike(general) | F.coalesce(alias.ilike(general), F.lit(False)))
+    # either side of the OR is filtered before its join, so the join sees matches
+    # only, never all links of a much re-exported item
+    links = reexports.select("alias_path", F.col("actual_path").alias("item_path"))
+    paths = items.select("item_path")
+    by_item = paths.where(item.ilike(general)).join(links.where(item.ilike(general)), "item_path", "left")
+    by_alias = paths.where(~item.ilike(general)).join(links.where(alias.ilike(general)), "item_path")
+    hits = by_item.unionByName(by_alias)
     return (
         hits.select(
             "item_path",

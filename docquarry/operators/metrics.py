@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docquarry import constants as C
@@ -48,12 +47,9 @@ def event_rates(events: DataFrame, now: Column | str, window_seconds: int = 60)
     end = F.to_timestamp_ntz(F.lit(now)) if isinstance(now, str) else now
     seconds = F.timestamp_diff("MICROSECOND", F.col("ts"), end) / 1e6
     inside = events.withColumn("_age", seconds).where(F.col("_age").between(0, window_seconds))
-    per_type = inside.groupBy("event_type").agg(F.count("*").alias("n"), F.max("_age").alias("_oldest"))
-    # one row per event type: a short list
-    span = F.max("_oldest").over(W.partitionBy(F.lit(0)))
-    return per_type.withColumn("_span", span).select(
-        "event_type", "n", F.when(F.col("_span") > 0, F.col("n") / F.col("_span")).otherwise(0.0).alias("rate")
-    )
+    per_type = inside.groupBy("event_type").agg(F.count("*").alias("n"))
+    span = inside.agg(F.max("_age")).scalar()
+    return per_type.select("event_type", "n", F.when(span > 0, F.col("n") / span).otherwise(0.0).alias("rate"))
 
 
 def bounded_history(events: DataFrame, per_type: int = C.METRICS_HISTORY) -> DataFrame:

@@ -38,20 +38,25 @@ def nearest(items: DataFrame, query: Sequence[float], k: int, vector: str = "emb
     return measured.orderBy("distance", "id").limit(k)
 
 
+def _with_distances(items: DataFrame, hits: list) -> DataFrame:
+    """Whole rows of a few chosen ids, with their distances as literals."""
+    if not hits:
+        return items.withColumn("distance", F.lit(None).cast("double")).limit(0)
+    table = F.create_map(*[F.lit(x) for row in hits for x in (row["id"], row["distance"])])
+    found = items.where(F.col("id").isin([row["id"] for row in hits]))
+    return found.withColumn("distance", F.element_at(table, F.col("id")))
+
+
 def nearest_late(items: DataFrame, query: Sequence[float], k: int, condition: Column | None = None) -> DataFrame:
-    """``nearest`` in two reads, for stores where the text columns are the bulk.
+    """``nearest`` in two reads, for tables where text is the bulk.
 
     The first read touches ids, vectors and filter columns only.  Its at most
     ``k`` ids come back as literals, so the second read can skip row groups by
-    their id range instead of reading the text of every item.
+    their id range instead of reading the text of every item.  Ids are unique.
     """
     narrow = items if condition is None else items.where(condition)
     hits = nearest(narrow.select("id", "embedding"), query, k).select("id", "distance").collect()
-    if not hits:
-        return items.withColumn("distance", F.lit(None).cast("double")).limit(0)
-    table = F.create_map(*[F.lit(x) for row in hits for x in (row["id"], row["distance"])])
-    found = items.where(F.col("id").isin([row["id"] for row in hits]))
-    return found.withColumn("distance", F.element_at(table, F.col("id"))).orderBy("distance", "id")
+    return _with_distances(items, hits)
 
 
 def composite_score(distance: Column) -> Column:
@@ -83,9 +88,9 @@ def candidates(
         raise ValueError("filter_mode is 'pre' or 'post'")
     condition = item_condition(**filters)
     if filter_mode == "pre":
-        found = nearest(items.where(condition), query, fetch_size(k))
+        found = nearest_late(items, query, fetch_size(k), condition)
     else:
-        found = nearest(items, query, fetch_size(k)).where(condition)
+        found = nearest_late(items, query, fetch_size(k)).where(condition)
     return found.withColumn("score", composite_score(F.col("distance")))
 
 
@@ -262,7 +267,9 @@ def cross_crate_search(
     wanted = items.where(F.col("crate").isin(crates)).where(item_condition(**filters))
     wanted = wanted.where(F.size("embedding") == len(query))
     measured = wanted.withColumn("distance", vectors.l2_distance("embedding", query))
-    near = first_per_group(measured, ["crate"], [F.asc("distance"), F.asc("id")], fetch_size(2 * k))
+    narrow = measured.select("crate", "id", "distance")
+    near = first_per_group(narrow, ["crate"], [F.asc("distance"), F.asc("id")], fetch_size(2 * k))
+    near = _with_distances(items, near.collect())  # five crates of at most 50 rows
     scored = near.withColumn("score", composite_score(F.col("distance")))
     if diverse:
         placed = diversify(scored, 2 * k, by="crate")

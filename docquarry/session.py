@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,7 +43,9 @@ def shared_dir(spark: SparkSession) -> str:
         return current.get().rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="docquarry-")
+    folder = tempfile.mkdtemp(prefix="docquarry-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -51,3 +54,15 @@ def durable(df: DataFrame) -> DataFrame:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def staged(df: DataFrame, *partitions: str) -> DataFrame:
+    """Write ``df`` to a table in the shared folder and read it back.
+
+    For results that several later steps use: they read columns they need from
+    the table instead of computing ``df`` again, also after an executor is lost.
+    """
+    path = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    writer = df.write.partitionBy(*partitions) if partitions else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

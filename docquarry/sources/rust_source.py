@@ -126,7 +126,7 @@ def declarations(files: DataFrame) -> DataFrame:
 
 def module_docs(files: DataFrame) -> DataFrame:
     """One module item per file that starts with inner documentation."""
-    head = F.slice(F.split("text", "\n"), 1, C.INNER_DOC_SCAN_LINES)
+    head = F.slice(F.split("text", "\n", C.INNER_DOC_SCAN_LINES + 1), 1, C.INNER_DOC_SCAN_LINES)
     docs = F.transform(
         F.filter(head, lambda line: line.rlike(C.INNER_DOC_LINE)),
         lambda line: F.regexp_extract(line, C.INNER_DOC_LINE, 1),

@@ -8,6 +8,9 @@ needs them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,7 @@ from docquarry import constants as C
 from docquarry.functions import code, intelligence, paths, signatures
 from docquarry.operators.typenav import methods_with_defaults
 from docquarry.plans.spread import spread
+from docquarry.session import staged
 
 ITEM = (
     "struct<name:string,docs:string,visibility:string,attrs:array<string>,deprecation:string,"
@@ -23,29 +27,48 @@ ITEM = (
 PATH = "struct<crate_id:bigint,path:array<string>,kind:string,name:string>"
 
 
-def read_index(files: DataFrame) -> DataFrame:
-    """One row per index entry of the files (``crate``, ``version``, ``text``).
+@dataclass
+class Parsed:
+    """``index`` and ``paths`` entries of a set of files, one row each."""
 
-    A file that is not JSON yields no rows.
-    """
-    parsed = F.from_json("text", f"struct<index:map<string,{ITEM}>>")["index"]
-    rows = spread(files).select("crate", "version", F.explode(parsed).alias("item_id", "item"))
-    return rows.select("crate", "version", "item_id", "item.*")
+    index: DataFrame
+    paths: DataFrame
 
 
-def read_paths(files: DataFrame) -> DataFrame:
-    """One row per entry of the path table."""
-    parsed = F.from_json("text", f"struct<paths:map<string,{PATH}>>")["paths"]
-    rows = files.select("crate", "version", F.explode(parsed).alias("item_id", "p"))
-    return rows.select(
+def parse(files: DataFrame) -> Parsed:
+    """Parse every file (``crate``, ``version``, ``text``) once.
+
+    All entity tables are built from the staged entries, so the JSON text is
+    neither read nor parsed again.  A file that is not JSON yields no rows.
+    """
+    parsed = F.from_json("text", f"struct<index:map<string,{ITEM}>,paths:map<string,{PATH}>>")
+    rows = spread(files).select("crate", "version", parsed.alias("j"))
+
+    def entries(part: str, item: Callable, place: Callable) -> Column:
+        source = F.map_entries(F.col(f"j.{part}"))
+        return F.transform(
+            F.coalesce(source, F.array().cast(f"array<struct<key:string,value:{ITEM if part == 'index' else PATH}>>")),
+            lambda e: F.struct(
+                F.lit(part).alias("part"), e["key"].alias("item_id"), item(e).alias("item"), place(e).alias("place")
+            ),
+        )
+
+    both = F.concat(
+        entries("index", lambda e: e["value"], lambda e: F.lit(None).cast(PATH)),
+        entries("paths", lambda e: F.lit(None).cast(ITEM), lambda e: e["value"]),
+    )
+    stored = staged(rows.select("crate", "version", F.inline(both)), "part")
+    index = stored.where(F.col("part") == "index").select("crate", "version", "item_id", "item.*")
+    places = stored.where(F.col("part") == "paths").select(
         "crate",
         "version",
         "item_id",
-        F.col("p.crate_id").alias("path_crate_id"),
-        F.col("p.path").alias("path"),
-        F.col("p.kind").alias("path_kind"),
-        F.col("p.name").alias("path_name"),
+        F.col("place.crate_id").alias("path_crate_id"),
+        F.col("place.path").alias("path"),
+        F.col("place.kind").alias("path_kind"),
+        F.col("place.name").alias("path_name"),
     )
+    return Parsed(index, places)
 
 
 KEY = ["crate", "version", "item_id"]
@@ -59,15 +82,15 @@ def _json_array(column: str | Column, path: str) -> Column:
     return F.from_json(_json(column, path), "array<string>")
 
 
-def parse_items(files: DataFrame) -> DataFrame:
+def parse_items(files: Parsed) -> DataFrame:
     """Items with their kind, path and raw body, before any enrichment.
 
     Entries with neither a name nor documentation are left out.
     """
-    named = read_index(files).where(
+    named = files.index.where(
         (F.coalesce("name", F.lit("")) != "") | (F.coalesce("docs", F.lit("")) != "")
     )
-    rows = named.join(read_paths(files), KEY, "left")
+    rows = named.join(files.paths, KEY, "left")
     inner_kind = F.get(F.map_keys("inner"), F.lit(0))
     rows = rows.withColumn("inner_kind", inner_kind).withColumn(
         "body", F.try_element_at("inner", F.col("inner_kind"))
@@ -126,7 +149,7 @@ def with_signature(items: DataFrame, name: bool = True) -> DataFrame:
     )
 
 
-def items_table(files: DataFrame) -> DataFrame:
+def items_table(files: Parsed) -> DataFrame:
     """The item table: text, signature, examples and code facts of every item."""
     rows = with_signature(parse_items(files))
     docs = F.coalesce("docs", F.lit(""))
@@ -165,9 +188,9 @@ def items_table(files: DataFrame) -> DataFrame:
     )
 
 
-def modules_table(files: DataFrame) -> DataFrame:
+def modules_table(files: Parsed) -> DataFrame:
     """Modules with parents by path and a real count of the items they hold."""
-    rows = read_paths(files).where(F.lower("path_kind").isin("module", "mod") & (F.size("path") > 0))
+    rows = files.paths.where(F.lower("path_kind").isin("module", "mod") & (F.size("path") > 0))
     modules = rows.select(
         "crate",
         "version",
@@ -216,16 +239,16 @@ def _trait_name(ref: Column) -> Column:
     )
 
 
-def full_paths(files: DataFrame) -> DataFrame:
+def full_paths(files: Parsed) -> DataFrame:
     """The full path of every id in the path table, foreign ones included.
 
     Some files list the parent only; the item's own name is then added.
     """
-    names = read_index(files).select(*KEY, "name")
+    names = files.index.select(*KEY, "name")
     full = F.when(
         F.size("path") > 0, paths.join_path(F.col("path"), F.coalesce("name", F.lit("")))
     ).otherwise(F.col("path_name"))
-    return read_paths(files).join(names, KEY, "left").select(*KEY, full.alias("full"))
+    return files.paths.join(names, KEY, "left").select(*KEY, full.alias("full"))
 
 
 def resolve_traits(rows: DataFrame, known: DataFrame, ref: str, out: str) -> DataFrame:
@@ -239,9 +262,9 @@ def resolve_traits(rows: DataFrame, known: DataFrame, ref: str, out: str) -> Dat
     )
 
 
-def impls(files: DataFrame) -> DataFrame:
+def impls(files: Parsed) -> DataFrame:
     """All impl blocks with the rendered type and, if any, the trait reference."""
-    rows = read_index(files).select(*KEY, "attrs", "deprecation", F.col("inner")["impl"].alias("body"))
+    rows = files.index.select(*KEY, "attrs", "deprecation", F.col("inner")["impl"].alias("body"))
     rows = rows.where(F.col("body").isNotNull() & _json("body", "$.for").isNotNull())
     return rows.withColumns(
         {
@@ -252,7 +275,7 @@ def impls(files: DataFrame) -> DataFrame:
     )
 
 
-def trait_impls(files: DataFrame) -> DataFrame:
+def trait_impls(files: Parsed) -> DataFrame:
     """``impl Trait for Type`` blocks; inherent blocks are left out."""
     rows = impls(files).where(F.col("trait_ref").isNotNull())
     rows = resolve_traits(rows, full_paths(files), "trait_ref", "trait_path")
@@ -287,7 +310,7 @@ def trait_impls(files: DataFrame) -> DataFrame:
     )
 
 
-def traits(files: DataFrame) -> DataFrame:
+def traits(files: Parsed) -> DataFrame:
     """Trait definitions with member ids; ``supertrait_rows`` lists their bounds."""
     rows = parse_items(files).where(F.col("inner_kind") == "trait")
     return rows.select(
@@ -303,7 +326,7 @@ def traits(files: DataFrame) -> DataFrame:
     )
 
 
-def supertrait_rows(files: DataFrame) -> DataFrame:
+def supertrait_rows(files: Parsed) -> DataFrame:
     """``trait_path``, ``supertrait`` for every bound of every trait."""
     rows = traits(files).select("crate", "version", "trait_path", F.explode("bounds").alias("bound"))
     ref = F.coalesce(_json("bound", "$.trait_bound.trait"), F.col("bound"))
@@ -311,13 +334,13 @@ def supertrait_rows(files: DataFrame) -> DataFrame:
     return rows.where(F.col("supertrait").isNotNull()).select("crate", "version", "trait_path", "supertrait")
 
 
-def associated_items(files: DataFrame) -> DataFrame:
+def associated_items(files: Parsed) -> DataFrame:
     """Members of traits, found by id in the index."""
     members = traits(files).select(
         "crate", "version", "trait_path", "stability_level", F.explode("members").alias("item_id")
     )
     rows = members.join(
-        read_index(files).select(*KEY, "name", "visibility", "inner"), KEY
+        files.index.select(*KEY, "name", "visibility", "inner"), KEY
     ).withColumn("kind", F.get(F.map_keys("inner"), F.lit(0)))
     body = F.try_element_at("inner", F.col("kind"))
     rows = rows.withColumn("body", body).withColumn("_type", signatures.type_name(_json("body", "$.type")))
@@ -348,10 +371,10 @@ def associated_items(files: DataFrame) -> DataFrame:
     )
 
 
-def methods(files: DataFrame) -> DataFrame:
+def methods(files: Parsed) -> DataFrame:
     """Methods of all impl blocks: inherent ones, trait ones, inherited defaults."""
     blocks = resolve_traits(impls(files), full_paths(files), "trait_ref", "trait_path")
-    index = read_index(files).select(
+    index = files.index.select(
         *KEY, "name", "visibility", F.coalesce(F.col("inner")["function"], F.col("inner")["method"]).alias("body")
     )
     members = blocks.select(
@@ -406,9 +429,9 @@ def methods(files: DataFrame) -> DataFrame:
 # --- links -----------------------------------------------------------------------
 
 
-def reexports(files: DataFrame) -> DataFrame:
+def reexports(files: Parsed) -> DataFrame:
     """``use`` items: the alias, what it stands for, and whether it is a glob."""
-    rows = read_index(files).withColumn(
+    rows = files.index.withColumn(
         "use", F.coalesce(F.col("inner")["use"], F.col("inner")["Use"], F.col("inner")["import"])
     )
     rows = rows.where(_json("use", "$.source").isNotNull())
@@ -425,10 +448,10 @@ def reexports(files: DataFrame) -> DataFrame:
     )
 
 
-def cross_references(files: DataFrame) -> DataFrame:
+def cross_references(files: Parsed) -> DataFrame:
     """Documentation links between items of the path table."""
     known = full_paths(files).where(F.col("full").isNotNull())
-    links = read_index(files).select(*KEY, F.explode("links").alias("link_text", "target_id"))
+    links = files.index.select(*KEY, F.explode("links").alias("link_text", "target_id"))
     source = known.select("crate", "version", "item_id", F.col("full").alias("source_path"))
     target = known.select("crate", "version", F.col("item_id").alias("target_id"), F.col("full").alias("target_path"))
     joined = links.join(source, KEY).join(target, ["crate", "version", "target_id"])

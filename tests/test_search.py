@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from docquarry import params
 from docquarry.functions import vectors
 from docquarry.operators import search
+from docquarry.operators.topn import first_per_group
 
 ITEMS = (
     "id bigint, item_path string, header string, content string, embedding array<float>, item_type string, "
@@ -137,10 +138,15 @@ def test_plan_takes_top_rows_without_shuffle(spark):
     assert "TakeOrderedAndProject" in plan and "Exchange" not in plan
 
 
-def test_cross_crate_plan_limits_groups_before_the_shuffle(spark, sf_dir):
-    from docquarry.catalog.corpus import derived
-
-    items = derived(spark, sf_dir, "items")
-    found = search.cross_crate_search(items, [0.1] * 64, ["en", "de"], 5, diverse=False)
-    plan = found._jdf.queryExecution().optimizedPlan().toString()
+def test_groups_are_cut_before_the_shuffle(spark):
+    rows = spark.range(10).selectExpr("id % 2 AS crate", "id")
+    plan = first_per_group(rows, ["crate"], [F.asc("id")], 3)._jdf.queryExecution().optimizedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_second_read_is_pruned_by_id(spark, sf_dir):
+    items = spark.read.schema("doc_id bigint, text string").parquet(f"{sf_dir}/documents.parquet")
+    found = search._with_distances(items.withColumnRenamed("doc_id", "id"), [{"id": 3, "distance": 0.5}])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(doc_id,3)" in plan or "In(doc_id" in plan
+    assert [(r["id"], r["distance"]) for r in found.collect()] == [(3, 0.5)]

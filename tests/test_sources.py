@@ -125,6 +125,7 @@ def test_rustdoc_traits_and_broken_file(spark):
     files = spark.createDataFrame(
         [("k", "1.0.0", json.dumps(good)), ("bad", "1.0.0", "{oops")], "crate string, version string, text string"
     )
+    files = rustdoc.parse(files)
     rows = rustdoc.trait_impls(files).collect()
     assert [(r["trait_path"], r["impl_type_path"], r["is_negative"]) for r in rows] == [("k::T", "X", True)]
     assert [r["item_path"] for r in rustdoc.items_table(files).collect()] == ["k::T"]
