@@ -38,13 +38,35 @@ def nearest(items: DataFrame, query: Sequence[float], k: int, vector: str = "emb
     return measured.orderBy("distance", "id").limit(k)
 
 
+ROW_KEY = ["crate", "version", "id"]
+
+
+def _row_key(table: DataFrame) -> list[str]:
+    """Columns that identify an item: its id, within its release if the table has releases."""
+    return [c for c in ROW_KEY if c in table.columns]
+
+
 def _with_distances(items: DataFrame, hits: list) -> DataFrame:
-    """Whole rows of a few chosen ids, with their distances as literals."""
+    """Whole rows of a few chosen items, with their distances as literals.
+
+    The id condition is the one a scan can push down; the map on the full key
+    keeps equal ids of other releases out.
+    """
     if not hits:
         return items.withColumn("distance", F.lit(None).cast("double")).limit(0)
-    table = F.create_map(*[F.lit(x) for row in hits for x in (row["id"], row["distance"])])
+    key = _row_key(items)
+    table = {"\x1f".join(str(row[c]) for c in key): row["distance"] for row in hits}
+    pairs = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     found = items.where(F.col("id").isin([row["id"] for row in hits]))
-    return found.withColumn("distance", F.element_at(table, F.col("id")))
+    name = F.concat_ws("\x1f", *[F.col(c).cast("string") for c in key])
+    return found.withColumn("distance", F.try_element_at(pairs, name)).where(F.col("distance").isNotNull())
+
+
+def _nearest_rows(items: DataFrame, query: Sequence[float], k: int, condition: Column | None) -> DataFrame:
+    narrow = items if condition is None else items.where(condition)
+    key = _row_key(items)
+    hits = nearest(narrow.select(*key, "embedding"), query, k).select(*key, "distance").collect()
+    return _with_distances(items, hits)
 
 
 def nearest_late(items: DataFrame, query: Sequence[float], k: int, condition: Column | None = None) -> DataFrame:
@@ -54,9 +76,7 @@ def nearest_late(items: DataFrame, query: Sequence[float], k: int, condition: Co
     ``k`` ids come back as literals, so the second read can skip row groups by
     their id range instead of reading the text of every item.  Ids are unique.
     """
-    narrow = items if condition is None else items.where(condition)
-    hits = nearest(narrow.select("id", "embedding"), query, k).select("id", "distance").collect()
-    return _with_distances(items, hits)
+    return _nearest_rows(items, query, k, condition).orderBy("distance", "id")
 
 
 def composite_score(distance: Column) -> Column:
@@ -88,9 +108,9 @@ def candidates(
         raise ValueError("filter_mode is 'pre' or 'post'")
     condition = item_condition(**filters)
     if filter_mode == "pre":
-        found = nearest_late(items, query, fetch_size(k), condition)
+        found = _nearest_rows(items, query, fetch_size(k), condition)
     else:
-        found = nearest_late(items, query, fetch_size(k)).where(condition)
+        found = _nearest_rows(items, query, fetch_size(k), None).where(condition)
     return found.withColumn("score", composite_score(F.col("distance")))
 
 
@@ -267,7 +287,7 @@ def cross_crate_search(
     wanted = items.where(F.col("crate").isin(crates)).where(item_condition(**filters))
     wanted = wanted.where(F.size("embedding") == len(query))
     measured = wanted.withColumn("distance", vectors.l2_distance("embedding", query))
-    narrow = measured.select("crate", "id", "distance")
+    narrow = measured.select(*_row_key(items), "distance")
     near = first_per_group(narrow, ["crate"], [F.asc("distance"), F.asc("id")], fetch_size(2 * k))
     near = _with_distances(items, near.collect())  # five crates of at most 50 rows
     scored = near.withColumn("score", composite_score(F.col("distance")))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from docquarry import constants as C
 from docquarry import params, schemas
-from docquarry.functions import text
+from docquarry.functions import semver, text
 from docquarry.operators import diff, filters, graph, lookup, metrics, patterns, search, typenav, versions, workflow
 from docquarry.sources import cargo, embedding, store
 
@@ -58,15 +58,24 @@ class Library:
             if field.name != "model":
                 store.write_table(getattr(self, field.name), f"{root}/{field.name}")
 
+    def latest_version(self, crate: str) -> str | None:
+        """The highest stored version of a crate; one row is looked up."""
+        stored = self.crates.where(F.col("crate") == params.crate_name(crate))
+        key = semver.sort_key(F.col("version"))
+        return stored.agg(F.max_by("version", key).alias("version")).head()["version"]
+
     def _release(self, table: DataFrame, crate: str, version: str | None = None) -> DataFrame:
-        """Rows of one crate, and of one version where the table has versions.
+        """Rows of one release; without a version, of the latest one.
 
-        Both are partition columns, so other crates are not read.
+        Crate and version are partition columns, so nothing else is read.
         """
         rows = table.where(F.col("crate") == params.crate_name(crate))
-        if version is not None and version != "latest" and "version" in table.columns:
-            rows = rows.where(F.col("version") == params.version(version))
-        return rows
+        if "version" not in table.columns:
+            return rows
+        wanted = params.version(version)
+        if wanted in (None, "latest"):
+            wanted = self.latest_version(crate)
+        return rows if wanted is None else rows.where(F.col("version") == wanted)
 
     def _vector(self, query: str | Sequence[float]) -> list[float]:
         if not isinstance(query, str):
@@ -98,7 +107,10 @@ class Library:
             raise ValueError(f"mode must be one of {C.SEARCH_MODES}")
         wanted = params.SearchFilters(**given).as_dict()
         if len(crates) > 1:
-            found = search.cross_crate_search(self.items, self._vector(query), crates, k, **wanted)
+            items = self._release(self.items, crates[0])
+            for other in crates[1:]:
+                items = items.unionByName(self._release(self.items, other))
+            found = search.cross_crate_search(items, self._vector(query), crates, k, **wanted)
         else:
             items = self._release(self.items, crates[0], version)
             if wanted["module"] and wanted["crate"] is None:

@@ -54,6 +54,12 @@ def test_search_modes(library):
         library.search_items("en", "x", mode="magic")
 
 
+def test_latest_version_is_the_default(library):
+    assert library.latest_version("en") == "1.0.0" and library.latest_version("nowhere") is None
+    assert library._release(library.items, "en").select("version").distinct().collect()[0][0] == "1.0.0"
+    assert library._release(library.items, "en", "2.0.0").count() < library._release(library.items, "en").count()
+
+
 def test_partition_filter_reaches_the_scan(library):
     plan = library._release(library.items, "en", "1.0.0")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(crate" in plan and "version" in plan.split("PartitionFilters")[1]
