@@ -188,7 +188,7 @@ def agg2_evolution_steps(spark, sf_dir):
     "join7_release_items",
     with_tables(
         "items",
-        f"""WITH {STATS} SELECT version, sum(item_count) AS items, count(*) FILTER (WHERE item_count = 0) AS empty FROM stats GROUP BY version""",
+        f"""WITH {STATS} SELECT version, CAST(sum(item_count) AS BIGINT) AS items, count(*) FILTER (WHERE item_count = 0) AS empty FROM stats GROUP BY version""",
     ),
 )
 def join7_release_items(spark, sf_dir):

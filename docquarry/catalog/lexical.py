@@ -396,7 +396,7 @@ def json1_parse_examples(spark, sf_dir):
 
 @query(
     "json2_event_properties",
-    """SELECT event_type, count(*) AS n, sum(CAST(props ->> '$.k' AS BIGINT)) AS total_k FROM events GROUP BY event_type""",
+    """SELECT event_type, count(*) AS n, CAST(sum(CAST(props ->> '$.k' AS BIGINT)) AS BIGINT) AS total_k FROM events GROUP BY event_type""",
 )
 def json2_event_properties(spark, sf_dir):
     events = table(spark, sf_dir, "events")

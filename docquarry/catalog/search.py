@@ -75,7 +75,7 @@ def knn1_filtered_after(spark, sf_dir):
 )
 def knn1_late_read(spark, sf_dir):
     out = search.nearest_late(derived(spark, sf_dir, "items"), query_vector(spark, sf_dir), 15)
-    return out.select("id", "item_path", F.length("content").alias("doc_length"), _r("distance"))
+    return out.select("id", "item_path", F.length("content").cast("bigint").alias("doc_length"), _r("distance"))
 
 
 def _r(name: str, digits: int = 6):
