@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Split a scan that yields fewer tasks than there are cores.
+    """Deal out an input that is too small to give every core a split.
 
-    Only for steps whose work per row outweighs moving the row.  A large input
-    has many splits already and passes through untouched, so nothing is shuffled
-    at scale.
+    Only for steps whose work per row outweighs moving the row.  The planner's
+    size estimate decides and nothing is executed; a large input has splits for
+    all cores and passes through untouched, so nothing is shuffled at scale.  An
+    input that is dealt out already stays as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().optimizedPlan()
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    small = int(str(plan.stats().sizeInBytes())) < cores * split
+    return df.repartition(cores) if small and "Repartition" not in plan.toString() else df

@@ -65,11 +65,12 @@ def prepare_items(chunks: DataFrame) -> DataFrame:
 
 
 def upsert_items(stored: DataFrame | None, chunks: DataFrame, order: str = "seq") -> DataFrame:
-    """Item table after new rows replace old ones with the same path."""
-    fresh = keep_last(prepare_items(chunks), ["item_path"], [order])
+    """Item table after new rows replace old ones with the same path in a release."""
+    keys = [k for k in schemas.KEYS["items"] if k in chunks.columns]
+    fresh = keep_last(prepare_items(chunks), keys, [order])
     if stored is None:
         return fresh
-    kept = stored.join(fresh.select("item_path"), "item_path", "left_anti")
+    kept = stored.join(fresh.select(*keys), keys, "left_anti")
     return kept.unionByName(fresh, allowMissingColumns=True)
 
 

@@ -72,20 +72,24 @@ def keep_history(events: DataFrame, per_type: int, out: str | None = None) -> st
 
     A batch is cut to its own last events first, then merged with the table, so
     a frequent type costs no more than a rare one.  Versions of the table
-    alternate between two folders; the name of the current one is returned.
+    alternate between two folders by batch number: a batch that is run again
+    after a failure reads the version before it and writes the same one.
     """
     spark = events.sparkSession
     base = out or f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
     order = [F.desc("ts"), F.desc("event_id")]
-    current = {"path": None}
+
+    def version(epoch: int) -> str:
+        return f"{base}/v{epoch % 2}"
+
+    done: list[int] = []
 
     def merge(batch: DataFrame, epoch: int) -> None:
         rows = first_per_group(batch, ["event_type"], order, per_type)
-        if current["path"]:
-            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(current["path"]))
-        target = f"{base}/v{epoch % 2}"
-        first_per_group(rows, ["event_type"], order, per_type).write.mode("overwrite").parquet(target)
-        current["path"] = target
+        if epoch > 0:
+            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(version(epoch - 1)))
+        first_per_group(rows, ["event_type"], order, per_type).write.mode("overwrite").parquet(version(epoch))
+        done.append(epoch)
 
     query = (
         events.writeStream.foreachBatch(merge)
@@ -94,4 +98,5 @@ def keep_history(events: DataFrame, per_type: int, out: str | None = None) -> st
         .start()
     )
     query.awaitTermination()
-    return current["path"]
+    last = query.lastProgress
+    return version(done[-1] if done else last["batchId"])
