@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry import constants as C
+from docquarry import texts as T
 from docquarry.functions import signatures
 from docquarry.operators.topn import first_per_group
 
@@ -69,14 +70,14 @@ def compare(before: DataFrame, after: DataFrame) -> DataFrame:
     )
     reasons = F.array_compact(
         F.array(
-            F.when(differs("signature"), "Function/type signature changed"),
-            F.when(hidden, "Changed from public to private").when(
+            F.when(differs("signature"), T.SIGNATURE_CHANGED),
+            F.when(hidden, T.MADE_PRIVATE).when(
                 differs("visibility"),
-                F.concat(F.lit("Visibility changed to "), F.coalesce("b_visibility", F.lit("unknown"))),
+                T.fill(T.VISIBILITY_CHANGED, visibility=F.coalesce("b_visibility", F.lit("unknown"))),
             ),
-            F.when(newly_deprecated, "Item marked as deprecated"),
-            F.when(differs("generic_params"), "Generic parameters changed"),
-            F.when(differs("trait_bounds"), "Trait bounds changed"),
+            F.when(newly_deprecated, T.DEPRECATED),
+            F.when(differs("generic_params"), T.GENERICS_CHANGED),
+            F.when(differs("trait_bounds"), T.BOUNDS_CHANGED),
         )
     )
     return changed.select(
@@ -84,8 +85,8 @@ def compare(before: DataFrame, after: DataFrame) -> DataFrame:
         change_kind(F.when(new, F.col("b_item_type")).otherwise(F.col("a_item_type"))).alias("kind"),
         kind.alias("change_type"),
         severity.alias("severity"),
-        F.when(gone, F.array(F.lit("Item removed from API")))
-        .when(new, F.array(F.lit("New item added to API")))
+        F.when(gone, F.array(F.lit(T.ITEM_REMOVED)))
+        .when(new, F.array(F.lit(T.ITEM_ADDED)))
         .otherwise(reasons)
         .alias("semantic_changes"),
         F.when(~new, F.coalesce("a_signature", F.lit(""))).alias("signature_before"),
@@ -138,16 +139,15 @@ def migration_hints(changes: DataFrame, limit: int = 10) -> DataFrame:
     reasons = F.lower(F.array_join("semantic_changes", " "))
     removed = F.col("change_type") == "removed"
     signature, private = reasons.contains("signature changed"), reasons.contains("private")
+
+    def hint(part: int) -> Column:
+        told = [T.fill(h[part], path=F.col("path")) for h in (T.HINT_REMOVED, T.HINT_SIGNATURE, T.HINT_PRIVATE)]
+        return F.when(removed, told[0]).when(signature, told[1]).otherwise(told[2])
+
     return first.where(removed | signature | private).select(
         F.col("path").alias("affected_path"),
-        F.when(removed, F.concat(F.lit("'"), "path", F.lit("' has been removed")))
-        .when(signature, "Function signature has changed")
-        .otherwise("Item is no longer publicly accessible")
-        .alias("issue"),
-        F.when(removed, F.concat(F.lit("Find alternative API or remove usage of '"), "path", F.lit("'")))
-        .when(signature, "Update function calls to match new signature")
-        .otherwise("Use alternative public API or refactor code")
-        .alias("suggested_fix"),
+        hint(0).alias("issue"),
+        hint(1).alias("suggested_fix"),
         F.lit("breaking").alias("severity"),
         F.when(~removed & signature, F.col("signature_before")).alias("example_before"),
         F.when(~removed & signature, F.col("signature_after")).alias("example_after"),
@@ -195,26 +195,26 @@ def breaking_reasons(changes: DataFrame) -> DataFrame:
     was_public = F.col("visibility_before") == "public"
     reasons = F.array_compact(
         F.array(
-            F.when((F.col("change_type") == "removed") & was_public, "Public item removed from API"),
-            F.when(both & (more | returns), "Function/method signature incompatibly changed"),
+            F.when((F.col("change_type") == "removed") & was_public, T.BREAKS_REMOVED),
+            F.when(both & (more | returns), T.BREAKS_SIGNATURE),
             F.when(
                 modified & was_public & F.col("visibility_after").isin("private", "crate"),
-                "Visibility reduced from public",
+                T.BREAKS_VISIBILITY,
             ),
             F.when(
                 modified & ~F.col("generics_before").eqNullSafe(F.col("generics_after")),
-                "Generic parameters or bounds changed",
+                T.BREAKS_GENERICS,
             ),
             F.when(
                 modified & (F.col("kind") == "enum") & mentions("variant"),
-                "Enum variant added without #[non_exhaustive]",
+                T.BREAKS_ENUM,
             ),
             F.when(
                 modified & (F.col("kind") == "struct") & mentions("field") & was_public,
-                "Field added to publicly constructible struct",
+                T.BREAKS_STRUCT,
             ),
             F.when(
-                modified & (F.col("kind") == "trait") & mentions("method"), "Required method added to trait"
+                modified & (F.col("kind") == "trait") & mentions("method"), T.BREAKS_TRAIT
             ),
         )
     )
@@ -224,76 +224,34 @@ def breaking_reasons(changes: DataFrame) -> DataFrame:
 def change_advice(changes: DataFrame) -> DataFrame:
     """``action``, ``description`` and ``hint`` for changes that need one."""
     told = F.lower(F.array_join("semantic_changes", " "))
-    removed, modified = F.col("change_type") == "removed", F.col("change_type") == "modified"
-
-    def pick(texts: list[str | Column]) -> Column:
-        conditions = [
-            removed,
-            modified & told.contains("signature"),
-            modified & told.contains("private"),
-            modified & told.contains("generic"),
-        ]
-        out = None
-        for condition, text in zip(conditions, texts):
-            value = F.lit(text) if isinstance(text, str) else text
-            out = F.when(condition, value) if out is None else out.when(condition, value)
-        return out
+    modified = F.col("change_type") == "modified"
+    cases = [
+        (F.col("change_type") == "removed", T.ADVICE_REMOVED),
+        (modified & told.contains("signature"), T.ADVICE_SIGNATURE),
+        (modified & told.contains("private"), T.ADVICE_PRIVATE),
+        (modified & told.contains("generic"), T.ADVICE_GENERIC),
+    ]
 
-    def quoted(left: str, right: str = "'") -> Column:
-        return F.concat(F.lit(left), F.col("path"), F.lit(right))
+    def pick(part: int) -> Column:
+        return F.coalesce(*[F.when(c, T.fill(advice[part], path=F.col("path"))) for c, advice in cases])
 
     out = changes.select(
-        "path",
-        pick(["remove_usage", "update_calls", "find_alternative", "update_types"]).alias("action"),
-        pick(
-            [
-                quoted("Remove all usages of '"),
-                quoted("Update all calls to '"),
-                quoted("'", "' is no longer public"),
-                quoted("Update type parameters for '"),
-            ]
-        ).alias("description"),
-        pick(
-            [
-                "Search for alternative APIs or refactor code",
-                "Update function calls to match new signature",
-                "Find alternative public API or refactor",
-                "Adjust generic type arguments and constraints",
-            ]
-        ).alias("hint"),
+        "path", pick(0).alias("action"), pick(1).alias("description"), pick(2).alias("hint")
     )
     return out.where(F.col("action").isNotNull())
 
 
 def migration_notes(change_type: Column, old: Column, new: Column) -> Column:
-    def text(*parts) -> Column:
-        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-
-    return (
-        F.when(
-            (change_type == "removed") & old.isNotNull(),
-            text(
-                "The item '", old, "' has been removed. Check release notes for alternatives or deprecation notices."
-            ),
-        )
-        .when(
-            (change_type == "added") & new.isNotNull(),
-            text("New item '", new, "' was added. Consider using it if it replaces deprecated functionality."),
-        )
-        .when(
-            change_type == "moved",
-            text("Item was moved from '", old, "' to '", new, "'. Update your imports accordingly."),
-        )
-        .when(
-            change_type == "renamed",
-            text("Item was renamed from '", old, "' to '", new, "'. Update all references."),
-        )
-        .when(
-            (change_type == "modified") & old.isNotNull() & new.isNotNull(),
-            text("The signature of '", old, "' has changed. Review the new API at '", new, "' for compatibility."),
-        )
-        .otherwise(text("Change detected: ", change_type, ". Review documentation for migration guidance."))
-    )
+    cases = [
+        ("removed", T.NOTE_REMOVED),
+        ("added", T.NOTE_ADDED),
+        ("moved", T.NOTE_MOVED),
+        ("renamed", T.NOTE_RENAMED),
+        ("modified", T.NOTE_MODIFIED),
+    ]
+    # a note whose paths are missing is null and gives way to the general one
+    told = [F.when(change_type == kind, T.fill(note, old=old, new=new)) for kind, note in cases]
+    return F.coalesce(*told, T.fill(T.NOTE_OTHER, change=change_type))
 
 
 def suggest_migrations(before: DataFrame, after: DataFrame, limit: int | None = 100) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docquarry import texts as T
+
 
 def query_rows(rows: DataFrame, order: list[str], **equal) -> DataFrame:
     """Rows with given column values; ``None`` means any."""
@@ -71,19 +73,19 @@ def method_status(methods: DataFrame) -> DataFrame:
     mixed = many & (F.col("inherent") > 0) & (F.col("from_traits") > 0)
     hints = F.array_compact(
         F.array(
-            F.when(mixed, "Multiple methods found: inherent and trait implementations"),
-            F.when(mixed, "Inherent method takes precedence by default"),
+            F.when(mixed, T.MANY_KINDS),
+            F.when(mixed, T.INHERENT_FIRST),
             F.when(
                 mixed & (F.size("sources") > 0),
-                F.concat(F.lit("Trait methods from: "), listed(F.col("sources"))),
+                T.fill(T.FROM_TRAITS, sources=listed(F.col("sources"))),
             ),
             F.when(
                 many & (F.size("receivers") > 1),
-                F.concat(F.lit("Different receiver types: "), listed(F.col("receivers"))),
+                T.fill(T.RECEIVERS, receivers=listed(F.col("receivers"))),
             ),
             F.when(
                 many & (F.col("const") > 0) & (F.col("const") < F.col("candidates")),
-                "Both const and non-const versions available",
+                T.SOME_CONST,
             ),
         )
     )

@@ -5,17 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docquarry import texts as T
+
 LEVELS = ["summary", "detailed", "expert"]
 
 # minutes of work per change
 MINUTES = {"breaking_changes": 15, "deprecated_items": 10, "added_items": 5}
 
-ONBOARDING = [
-    (1, "Core Concepts", "Understand fundamental types and modules", ["module", "trait"], "30 minutes"),
-    (2, "Key Data Structures", "Learn about main structs and enums", ["struct", "enum"], "45 minutes"),
-    (3, "Common Functions", "Explore frequently used functions", ["function"], "30 minutes"),
-]
-
 
 def documentation(items: DataFrame, path: str, level: str = "summary") -> DataFrame:
     """One item with the columns its level of detail calls for.
@@ -50,20 +46,15 @@ def effort(minutes: Column) -> Column:
 
 def migration_steps(summary: DataFrame) -> DataFrame:
     """Steps of an upgrade from a row of change counts; empty steps are left out."""
-    steps = [
-        (1, "Address Breaking Changes", "Fix ", " breaking changes", "breaking_changes"),
-        (2, "Replace Deprecated Items", "Update ", " deprecated items", "deprecated_items"),
-        (3, "Explore New Features", "Learn about ", " new items", "added_items"),
-    ]
     entries = [
         F.struct(
             F.lit(order).alias("step"),
             F.lit(title).alias("title"),
-            F.concat(F.lit(before), F.col(count).cast("string"), F.lit(after)).alias("description"),
+            T.fill(about, n=F.col(count).cast("string")).alias("description"),
             F.concat((F.col(count) * MINUTES[count]).cast("string"), F.lit(" minutes")).alias("estimated_time"),
             F.col(count).alias("items"),
         )
-        for order, title, before, after, count in steps
+        for order, (title, about, count) in enumerate(T.UPGRADE_STEPS, start=1)
     ]
     total = sum((F.col(c) * m for c, m in MINUTES.items()), F.lit(0))
     return (
@@ -88,7 +79,7 @@ def onboarding_steps(items: DataFrame, focus: list[str] | None = None, per_step:
         .orderBy("item_path")
         .limit(per_step)
         .select(F.lit(order).alias("step"), F.lit(title).alias("title"), "item_path", "item_type", "description")
-        for order, title, _, step_kinds, _ in ONBOARDING
+        for order, (title, step_kinds) in enumerate(T.READING_STEPS, start=1)
     ]
     for order, area in enumerate((focus or [])[:3], start=4):
         like = f"%{area}%"
