@@ -76,7 +76,7 @@ def agg4_usage_patterns(spark, sf_dir):
     ),
 )
 def agg5_pattern_category(spark, sf_dir):
-    uses = patterns._occurrences(derived(spark, sf_dir, "items"))
+    uses = patterns.pattern_uses(derived(spark, sf_dir, "items"))
     category = patterns.pattern_category(F.col("pattern")).alias("category")
     return uses.groupBy(category).agg(F.count("*").alias("n"))
 

@@ -26,9 +26,13 @@ def item_condition(
     deprecated: bool | None = None,
     stability: str | None = None,
     mode: str = "vector",
+    columns: list[str] | None = None,
 ) -> Column:
     """One condition from the optional search filters.
 
+    With the table's ``columns`` given, a stored ``doc_length`` is used instead of
+    measuring the text, which then need not be read.
+
     ``mode`` picks between two documented readings.  In ``vector`` mode a module
     filter matches the module and everything below it, and ``has_examples=False``
     does nothing.  In ``regex`` mode the module may sit anywhere in the path and
@@ -53,7 +57,8 @@ def item_condition(
         elif mode == "regex":
             out.append(F.col("examples").isNull())
     if min_doc_length is not None:
-        out.append(F.length("content") >= min_doc_length)
+        stored = "doc_length" in (columns or [])
+        out.append((F.col("doc_length") if stored else F.length("content")) >= min_doc_length)
     if visibility is not None:
         out.append(F.col("visibility") == visibility)
     if deprecated is not None:
@@ -64,7 +69,7 @@ def item_condition(
 
 
 def filter_items(items: DataFrame, **filters) -> DataFrame:
-    return items.where(item_condition(**filters))
+    return items.where(item_condition(columns=items.columns, **filters))
 
 
 def module_items(items: DataFrame, module: str) -> DataFrame:

@@ -80,7 +80,7 @@ def pattern_category(pattern: Column) -> Column:
     )
 
 
-def _occurrences(items: DataFrame) -> DataFrame:
+def pattern_uses(items: DataFrame) -> DataFrame:
     """Every pattern use as ``pattern``, ``item_path``, ``seq``, ``context``."""
     signature, examples = F.coalesce("signature", F.lit("")), F.coalesce("examples", F.lit(""))
 
@@ -130,7 +130,7 @@ def usage_patterns(items: DataFrame, limit: int = 10, min_frequency: int = 2, sa
     Counting reduces before the shuffle.  Samples are looked up for the at most
     ``limit`` winners only, so no list of all uses of a pattern is ever built.
     """
-    uses = _occurrences(items)
+    uses = pattern_uses(items)
     counts = uses.groupBy("pattern").agg(F.count("*").alias("frequency"))
     best = counts.where(F.col("frequency") >= min_frequency).orderBy(F.desc("frequency"), "pattern").limit(limit)
     shown = first_per_group(

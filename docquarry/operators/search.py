@@ -106,7 +106,7 @@ def candidates(
     """
     if filter_mode not in ("pre", "post"):
         raise ValueError("filter_mode is 'pre' or 'post'")
-    condition = item_condition(**filters)
+    condition = item_condition(columns=items.columns, **filters)
     if filter_mode == "pre":
         found = _nearest_rows(items, query, fetch_size(k), condition)
     else:
@@ -260,7 +260,7 @@ def regex_search(
     path_hit = F.col("item_path").rlike(insensitive)
     whole = F.regexp_extract("item_path", insensitive, 0) == F.col("item_path")
     score = F.when(path_hit & whole, 1.5).when(path_hit, 1.0).otherwise(0.7)
-    hits = items.where(item_condition(mode="regex", **filters)).where(
+    hits = items.where(item_condition(mode="regex", columns=items.columns, **filters)).where(
         path_hit | F.col("content").rlike(insensitive)
     )
     hits = hits.withColumn("score", score)
@@ -284,7 +284,7 @@ def cross_crate_search(
     that holds most of the items sends no more rows than the others.
     """
     crates = params.crate_list(crates)
-    wanted = items.where(F.col("crate").isin(crates)).where(item_condition(**filters))
+    wanted = items.where(F.col("crate").isin(crates)).where(item_condition(columns=items.columns, **filters))
     wanted = wanted.where(F.size("embedding") == len(query))
     measured = wanted.withColumn("distance", vectors.l2_distance("embedding", query))
     narrow = measured.select(*_row_key(items), "distance")

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from docquarry import schemas
 from docquarry.catalog.corpus import derived
+from docquarry.operators.filters import item_condition
 from docquarry.plans.library import TABLES, Library
 from docquarry.sources import embedding, stdlib, store
 
@@ -19,6 +20,7 @@ def shaped(df, schema):
 def library(spark, sf_dir, tmp_path_factory):
     items = derived(spark, sf_dir, "items").withColumn("version", F.lit("1.0.0")).drop("embedding")
     items = embedding.embed(items, embedding.item_text(), embedding.hashing_model(64))
+    items = items.withColumn("doc_length", F.length("content"))
     newer = items.where("id % 10 <> 0").withColumn("version", F.lit("2.0.0"))
     tables = {
         "items": items.unionByName(newer),
@@ -65,6 +67,14 @@ def test_partition_filter_reaches_the_scan(library):
     assert "PartitionFilters: [isnotnull(crate" in plan and "version" in plan.split("PartitionFilters")[1]
 
 
+def test_length_filter_needs_no_text(library):
+    items = library._release(library.items, "en").select("id", "embedding", "doc_length", "item_path", "content")
+    narrow = items.where(item_condition(min_doc_length=200, columns=items.columns)).select("id", "embedding")
+    plan = narrow._jdf.queryExecution().executedPlan().toString()
+    assert "doc_length" in plan and "content" not in plan
+    assert library.search_items("en", "the thing", 3, min_doc_length=200).count() == 3
+
+
 def test_reading(library):
     path = library.items.where("crate = 'en'").first()["item_path"]
     assert library.get_item_doc("en", path).first()["item_path"] == path
