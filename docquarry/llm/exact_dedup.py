@@ -44,8 +44,8 @@ def exact_groups(
     sketch = staged(keyed.select("n_bytes", "prefix"))
     lengths = sketch.groupBy("n_bytes").count().where("count > 1").select("n_bytes")
     pairs = staged(
-        sketch.join(lengths, "n_bytes", "left_semi")
-        .groupBy("n_bytes", "prefix").count().where("count > 1")
+        sketch.groupBy("n_bytes", "prefix").count()  # before the join: a hot pair is one row
+        .join(lengths, "n_bytes", "left_semi").where("count > 1")
         .select("n_bytes", "prefix", F.lit(True).alias("open"))
     )
     digest = F.unhex(F.sha2(F.col("body").cast("binary"), 256))

@@ -36,7 +36,7 @@ def ngram_slots(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for n in range(2, max(SIZES) + 1):
         rolled = rolled[:-1] * np.uint32(0x01000193) + codes[n - 1 :]
         if n in SIZES:
-            mixed = (rolled ^ (rolled >> np.uint32(15))) * np.uint32(0x9E3779B1) + np.uint32(n * 0x632BE59B)
+            mixed = (rolled ^ (rolled >> np.uint32(15))) * np.uint32(0x9E3779B1) + np.uint32(n * 0x632BE59B & 0xFFFFFFFF)
             yield owner, (mixed >> np.uint32(32 - HASH_BITS)).astype(np.int32)
 
 
@@ -50,6 +50,11 @@ def _present(texts: list[str], keep: np.ndarray | None = None) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
 
 
+def logit(p: float) -> float:
+    p = np.clip(p, 1e-4, 1 - 1e-4)
+    return np.log(p / (1 - p))
+
+
 def fit(texts: list[str], toxic: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray, float]:
     """Slots, their weights and the intercept.
 
@@ -97,8 +102,7 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float) -> tuple[np.ndarray,
         ahead_w = new_w + (speed - 1) / new_speed * (new_w - w)
         ahead_b = new_b + (speed - 1) / new_speed * (new_b - b)
         w, b, speed = new_w, new_b, new_speed
-    logit = lambda p: np.log(p / (1 - p))
-    shift = logit(np.clip(prior, 1e-4, 1 - 1e-4)) - logit(np.clip(positive.mean(), 1e-4, 1 - 1e-4))
+    shift = logit(prior) - logit(positive.mean())
     return chosen.astype(np.int64), w * ratio, float(b + shift)
 
 
@@ -116,8 +120,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts = {r.label_toxic: r["count"] for r in known.groupBy("label_toxic").count().collect()}
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.0
+    flat = np.empty(0, np.int64), np.empty(0), float(logit(prior))
     if not counts.get(0) or not counts.get(1):
-        return np.empty(0, np.int64), np.empty(0), float(np.log(np.clip(prior, 1e-4, 1 - 1e-4) / (1 - np.clip(prior, 1e-4, 1 - 1e-4))))
+        return flat
     by_hash = known.withColumn("label_place", F.xxhash64("label_id"))
     sample = by_hash.where("label_toxic = 1").orderBy("label_place", "label_id").limit(rows_per_class).unionByName(
         by_hash.where("label_toxic = 0").orderBy("label_place", "label_id").limit(rows_per_class)
@@ -132,11 +137,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         slots, weights, intercept = fit(rows.body.tolist(), rows.label_toxic.to_numpy(), prior)
         yield pd.DataFrame({"slot": np.append(slots, -1), "weight": np.append(weights, intercept)})
 
-    model = found.repartition(1).mapInPandas(learn, "slot long, weight double").toPandas()
-    if not len(model):
-        return np.empty(0, np.int64), np.empty(0), float(np.log(np.clip(prior, 1e-4, 1 - 1e-4) / (1 - np.clip(prior, 1e-4, 1 - 1e-4))))
-    own = model.slot >= 0
-    return model.slot[own].to_numpy(), model.weight[own].to_numpy(), float(model.weight[~own].iloc[0])
+    model = found.repartition(1).mapInPandas(learn, "slot long, weight double").collect()
+    if not model:
+        return flat
+    own = [r for r in model if r.slot >= 0]
+    return np.array([r.slot for r in own], np.int64), np.array([r.weight for r in own]), next(r.weight for r in model if r.slot < 0)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text", into: str = "score") -> DataFrame:
