@@ -24,6 +24,8 @@ BITMAP_LONGS = 16
 #: shingles that so many documents of one batch share are ordered last, the most frequent ones at most
 COMMON_IN_BATCH, COMMON = 4, 1 << 17
 BATCH_CHARS = 6_000_000
+#: ids of documents under exact comparison that are broadcast, 8 bytes each
+BROADCAST_IDS = 1_000_000
 
 
 class WordHashes(dict):
@@ -35,8 +37,8 @@ class WordHashes(dict):
 _hashes = WordHashes()
 
 
-def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of all texts in a row, sorted per text; owners; set sizes."""
+def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of all texts in a row, and their owners."""
     if len(_hashes) > 500_000:
         _hashes.clear()
     words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
@@ -58,7 +60,12 @@ def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keep = (place + width <= ends) & ((width == WORDS) | (place == starts))
     rolled, owner = rolled[keep], owner[keep]
     rolled = (rolled ^ (rolled >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    rolled = (rolled ^ (rolled >> np.uint64(29))).view(np.int64)
+    return (rolled ^ (rolled >> np.uint64(29))).view(np.int64), owner
+
+
+def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of all texts in a row, sorted per text; owners; set sizes."""
+    rolled, owner = shingle_hashes(texts)
     order = np.lexsort((rolled, owner))
     rolled, owner = rolled[order], owner[order]
     if len(rolled):
@@ -67,6 +74,15 @@ def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rolled, owner, np.bincount(owner, minlength=len(texts))
 
 
+def set_names(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of every set; 0 for the empty one."""
+    mixed = (shingles.view(np.uint64) ^ (shingles.view(np.uint64) >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    names, has = np.zeros(len(sizes), dtype=np.uint64), sizes > 0
+    if len(shingles):
+        names[has] = np.add.reduceat(mixed ^ (mixed >> np.uint64(27)), (np.cumsum(sizes) - sizes)[has])
+    return names.view(np.int64)
+
+
 def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pieces of bounded text size."""
     for frame in frames:
@@ -85,7 +101,7 @@ def _common(texts: DataFrame) -> np.ndarray:
 
     def repeated(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for piece in _batches(frames):
-            shingles, _, _ = shingle_sets(piece.body.tolist())
+            shingles, _ = shingle_hashes(piece.body.tolist())
             found, times = np.unique(shingles, return_counts=True)
             often = times >= COMMON_IN_BATCH
             yield pd.DataFrame({"shingle": found[often], "times": times[often]})
@@ -110,12 +126,7 @@ def _described(texts: DataFrame, common: np.ndarray) -> DataFrame:
             bits = np.zeros((len(piece), BITMAP_LONGS * 64), dtype=bool)
             bits[owner, shingles.view(np.uint64) % np.uint64(BITMAP_LONGS * 64)] = True
             maps = np.packbits(bits, axis=1).view(np.int64)
-            node = np.zeros(len(piece), dtype=np.uint64)
-            if len(shingles):
-                starts = np.cumsum(sizes) - sizes
-                mixed = (shingles.view(np.uint64) ^ (shingles.view(np.uint64) >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-                has = sizes > 0
-                node[has] = np.add.reduceat(mixed ^ (mixed >> np.uint64(27)), starts[has])
+            node = set_names(shingles, sizes)
             # the part of a set that any linked set must meet: common shingles last
             order = np.lexsort((shingles, late, owner))
             shingles = shingles[order]
@@ -123,7 +134,7 @@ def _described(texts: DataFrame, common: np.ndarray) -> DataFrame:
             reach = np.where(sizes > 0, sizes - (4 * sizes + 4) // 5 + 1, 0)
             yield pd.DataFrame({
                 "doc": piece.doc.to_numpy(),
-                "node": node.view(np.int64),
+                "node": node,
                 "n": sizes,
                 "bitmap": list(maps),
                 "prefix": [shingles[s : s + r] for s, r in zip(starts, reach)],
@@ -144,42 +155,46 @@ def _bitmap_bound(n: str, m: str, a: str, b: str) -> Column:
     return OF * overlap >= NEEDED * (F.col(n) + F.col(m))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sets link, by exact intersection of the sorted arrays.
-
-    Bitmaps are compared first; only sets of pairs that pass are built from text.
-    """
-    maps = sets.select("node", "n", "bitmap")
-    close = staged(
-        pairs.join(maps.toDF("a", "n", "map_a"), "a").join(maps.toDF("b", "m", "map_b"), "b")
-        .where(_fits("n", "m") & _bitmap_bound("n", "m", "map_a", "map_b")).select("a", "b")
+def _close(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that sizes and bitmaps allow, with the document that stands for each side."""
+    side = lambda end: sets.select(
+        F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("bitmap").alias(f"map_{end}"), F.col("doc").alias(f"doc_{end}")
+    )
+    return (
+        pairs.join(side("a"), "a").join(side("b"), "b")
+        .where(_fits("n_a", "n_b") & _bitmap_bound("n_a", "n_b", "map_a", "map_b")).drop("n_a", "n_b", "map_a", "map_b")
     )
-    involved = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = staged(sets.join(involved, "node", "left_semi").select(F.col("doc").alias("wanted")).distinct())
 
-    def arrays(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for piece in _batches(frames):
-            shingles, _, sizes = shingle_sets(piece.body.tolist())
-            starts = np.cumsum(sizes) - sizes
-            nodes = np.zeros(len(piece), dtype=np.uint64)
-            if len(shingles):
-                mixed = (shingles.view(np.uint64) ^ (shingles.view(np.uint64) >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-                has = sizes > 0
-                nodes[has] = np.add.reduceat(mixed ^ (mixed >> np.uint64(27)), starts[has])
-            yield pd.DataFrame({"node": nodes.view(np.int64), "items": [shingles[s : s + n] for s, n in zip(starts, sizes)]})
 
-    found = texts.join(ids, F.col("doc").eqNullSafe(F.col("wanted"))).select("body").mapInPandas(arrays, "node long, items array<long>")
-    built = staged(found.join(involved, "node", "left_semi").dropDuplicates(["node"]))
+def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Names (name_a, name_b) of the pairs whose sets link, by exact intersection of sorted arrays.
+
+    The two whole texts of a pair travel, which is less than their hashes.  Ids
+    of the documents in question are sent to the scan while they are few, so the
+    other texts stay where they are.
+    """
+    ids = staged(pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("wanted")).distinct())
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    wanted = texts.join(ids, F.col("doc").eqNullSafe(F.col("wanted")), "left_semi")
 
     def intersect(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            linked = []
-            for x, y in zip(frame.x, frame.y):
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                linked.append(OF * int((y[at] == x).sum()) >= NEEDED * (len(x) + len(y)))
-            yield frame.loc[linked, ["a", "b"]]
-
-    return close.join(built.toDF("a", "x"), "a").join(built.toDF("b", "y"), "b").mapInPandas(intersect, "a long, b long")
+            good = []
+            for a, b, x, y in zip(frame.a, frame.b, frame.x, frame.y):
+                shingles, owner, sizes = shingle_sets([x, y])
+                # an id may stand for several texts
+                if (set_names(shingles, sizes) == (a, b)).all():
+                    x, y = shingles[owner == 0], shingles[owner == 1]
+                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                    good.append(OF * int((y[at] == x).sum()) >= NEEDED * (len(x) + len(y)))
+                else:
+                    good.append(False)
+            yield frame.loc[good, ["name_a", "name_b"]]
+
+    both = pairs.join(wanted.toDF("key_a", "x"), F.col("doc_a").eqNullSafe(F.col("key_a"))).join(
+        wanted.toDF("key_b", "y"), F.col("doc_b").eqNullSafe(F.col("key_b"))
+    )
+    return both.select("a", "b", "x", "y", "name_a", "name_b").mapInPandas(intersect, "name_a long, name_b long")
 
 
 def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,11 +213,12 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
        prefix shingles and size band;
     2. every node is compared with the leader of the tile it most often shares,
        and components of these links are found;
-    3. what is left are tiles that hold nodes of different components: all pairs
-       across components and neighbouring bands that pass the place bound, the
-       bitmap bound and then the exact intersection.  Pairs within a component can
-       no longer change the result and are never formed, so groups of copies do
-       not grow with the square of their size.
+    3. what is left are tiles that hold nodes of different components: pairs
+       across components and neighbouring bands that pass the place bound and the
+       bitmap bound.  The exact intersection takes the best pair of every two
+       components first, then eight times as many each round, until every pair is
+       tested or lies in one component, where it can no longer change the result.
+       So groups of copies do not grow with the square of their size.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), whole_text(text_col).alias("body"))
     described = staged(_described(texts, _common(texts)))
@@ -224,8 +240,8 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .groupBy("node").agg(F.max(F.struct("count", "leader")).alias("most"))
         .select(F.least("node", "most.leader").alias("a"), F.greatest("node", "most.leader").alias("b")).distinct()
     )
-    links = staged(_verified(stars, sets, texts))
-    roots = components(links)
+    stars = staged(_close(stars, sets).withColumns({"name_a": F.col("a"), "name_b": F.col("b")}))
+    roots = components(_linked(stars, texts).toDF("a", "b"))
     named = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("leader", "leader_n")
     open_ = staged(
         named.withColumn("low", F.min("root").over(same)).withColumn("high", F.max("root").over(same))
@@ -240,11 +256,26 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         one.join(other, ["shingle", "band"])
         .where((F.col("root_a") != F.col("root_b")) & ((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b")))))
         .where(_fits("n", "m") & (OF * follows >= NEEDED * (F.col("n") + F.col("m"))))
-        .select("a", "b").distinct()
+        .groupBy("a", "b").count()
     )
-    more = staged(_verified(pairs, sets, texts))
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
+    left, most = staged(_close(pairs, sets)), 1
+    while True:
+        name = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"name_{end}"))
+        across = (
+            left.join(name("a"), "a", "left").join(name("b"), "b", "left")
+            .withColumns({"name_a": F.coalesce("name_a", "a"), "name_b": F.coalesce("name_b", "b")}).where("name_a <> name_b")
+        )
+        best = Window.partitionBy(F.least("name_a", "name_b"), F.greatest("name_a", "name_b")).orderBy(F.desc("count"), "a", "b")
+        ranked = staged(across.withColumn("nth", F.row_number().over(best)))
+        if ranked.isEmpty():
+            break
+        merged = components(_linked(ranked.where(F.col("nth") <= most), texts).toDF("a", "b"))
+        up = merged.toDF("below", "above")
+        roots = staged(
+            roots.join(up, F.col("root") == F.col("below"), "left").select("node", F.coalesce("above", "root").alias("root"))
+            .unionByName(merged.join(roots.select("node"), "node", "left_anti"))
+        )
+        left, most = ranked.where(F.col("nth") > most).drop("name_a", "name_b", "nth"), most * 8
     member = described.select("doc", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = member.where("n > 0").groupBy("root").agg(F.min("doc").alias("name"))
     names = staged(names)

@@ -15,7 +15,7 @@ from docquarry.session import staged
 
 THRESHOLD = 0.93
 #: hash tables, rotations joined in one table's hash, and buckets probed in each table
-TABLES, JOINED, PROBES = 10, 2, 4
+TABLES, JOINED, PROBES = 8, 2, 3
 SEED = 7
 
 
