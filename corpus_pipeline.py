@@ -1,8 +1,61 @@
-"""Stages that clean, mix and encode the documents table."""
+"""Stages that clean, mix and encode the documents table.
 
-STAGES = []
+Every stage takes what its predecessor wrote; ``run`` stages each result in the
+shared folder, as the stages are meant to be run one by one with tables between.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docquarry.llm import bpe_codec, exact_dedup, mixing, shingle_join, toxicity
+from docquarry.session import staged
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the toxicity model does not reject."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model, into="stage_toxic").where(F.col("stage_toxic") < toxicity.THRESHOLD).drop("stage_toxic")
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact_dedup.drop_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies."""
+    return shingle_join.drop_near_copies(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the target weights of their sources ask for."""
+    return mixing.mixed_copies(docs)
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and hashes of ids and decoded texts."""
+    import public_tokenizers
+
+    coded = bpe_codec.encode(docs.select("doc_id", "text", "lang", "source"), public_tokenizers.path("byte_bpe_50k.json"), with_text=False)
+    return coded.select("doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_exact_copies),
+    ("shingle_join", drop_near_copies),
+    ("mix", mix_sources),
+    ("bpe_codec", encode_texts),
+]
+#: SQL has no linear classifier over character n-grams
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
