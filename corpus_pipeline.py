@@ -7,7 +7,6 @@ shared folder, as the stages are meant to be run one by one with tables between.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from docquarry.llm import bpe_codec, exact_dedup, mixing, shingle_join, toxicity
 from docquarry.session import staged
@@ -16,7 +15,7 @@ from docquarry.session import staged
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the toxicity model does not reject."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, into="stage_toxic").where(F.col("stage_toxic") < toxicity.THRESHOLD).drop("stage_toxic")
+    return toxicity.drop_toxic(docs, model)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -129,7 +129,7 @@ def _codec(path: str) -> ChunkCodec:
 
 
 def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", with_text: bool = True) -> DataFrame:
-    """``docs`` with n_tokens, ids_sha256, decoded_sha256, ids and decoded.
+    """``docs`` with n_tokens, ids_sha256, decoded_sha256, ids and decoded (in place of such columns).
 
     ``ids`` are those the tokenizer library gives for the file at
     ``tokenizer_path`` (a path that every executor has) without added special
@@ -158,9 +158,10 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", with_te
             names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_text else [])]
             yield pd.DataFrame(rows, columns=names)
 
-    coded = docs.withColumn("bpe_coded", run(whole_text(text_col)))
     names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_text else [])]
-    return coded.select(*docs.columns, *[F.col(f"bpe_coded.{n}").alias(n) for n in names])
+    kept = [c for c in docs.columns if c not in names]
+    coded = docs.select(F.struct(*kept).alias("whole"), run(whole_text(text_col)).alias("coded"))
+    return coded.select("whole.*", "coded.*")
 
 
 @query("op8_bpe_codec")

@@ -21,7 +21,7 @@ SWEEPS = 8
 #: classes of the core model that are no word class, and the mark of an unseen word
 REST, END, UNSEEN = CLASSES, CLASSES + 1, 255
 #: tokens of one block and words of one bucket, at most on average
-BLOCK_TOKENS, BUCKET_WORDS = 3_000_000, 250_000
+BLOCK_TOKENS, BUCKET_WORDS = 2_000_000, 150_000
 #: strength of the prior of a class's transitions
 PRIOR = 2.0
 
@@ -266,12 +266,11 @@ def score_texts(docs: DataFrame, held: str, id_col: str = "doc_id", text_col: st
         n = np.concatenate([np.frombuffer(x, "<i4") for x in group.n])
         around = np.frombuffer(b"".join(group.around), np.uint8).reshape(-1, 2)
         whose = np.repeat(at, n)
-        # contexts of a word, counted by class
+        # contexts of every word, counted by class
         size = CLASSES + 2
-        likely = np.zeros((len(every), CLASSES))
-        for side, worth in ((0, enter), (1, leave)):
-            cell, times = np.unique(whose * size + around[:, side], return_counts=True)
-            np.add.at(likely, cell // size, worth[cell % size] * times[:, None])
+        count = lambda side: np.bincount(whose * size + around[:, side], minlength=len(every) * size).reshape(-1, size)
+        likely = count(0).astype(np.float32) @ enter.astype(np.float32)
+        likely += count(1).astype(np.float32) @ leave.astype(np.float32)
         best = np.argmax(likely, axis=1).astype(np.uint8)
         mine = _core_of(every, core)
         best = np.where(mine < m, core_class[np.minimum(mine, max(m - 1, 0))] if m else 0, best).astype(np.uint8)

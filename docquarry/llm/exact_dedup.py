@@ -91,13 +91,13 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.col(id_col).alias("stay_id"), F.col("digest").alias("stay_digest"), (F.col("group_size") > 1).alias("stay_many")
     )
     digest = F.unhex(F.sha2(whole_text(text_col).cast("binary"), 256))
-    found = docs.join(
-        keys, docs[id_col].eqNullSafe(keys["stay_id"]) & digest.eqNullSafe(keys["stay_digest"])
-    )
+    # whole rows in one column, so that no name of theirs can clash
+    rows = docs.select(F.struct(*docs.columns).alias("whole"), F.col(id_col).alias("id"), digest.alias("digest"))
+    found = rows.join(keys, F.col("id").eqNullSafe(F.col("stay_id")) & F.col("digest").eqNullSafe(F.col("stay_digest")))
     once = found.where("NOT stay_many")
     # only groups of several rows can repeat id and text
     many = found.where("stay_many").dropDuplicates(["stay_id", "stay_digest"])
-    return once.unionByName(many).select(*docs.columns)
+    return once.unionByName(many).select("whole.*")
 
 
 @query(

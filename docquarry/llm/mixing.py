@@ -202,11 +202,13 @@ def mixed_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .agg(F.max(times).alias("mix_times")).where("mix_times > 0")
     )
     size = F.regexp_count(whole_text(text_col), F.lit(WORD)).cast("long")
-    found = docs.join(
+    # whole rows in one column, so that no name of theirs can clash
+    rows = docs.select(F.struct(*docs.columns).alias("whole"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"))
+    found = rows.join(
         wanted,
-        docs[id_col].eqNullSafe(wanted["mix_id"]) & docs[source_col].eqNullSafe(wanted["mix_source"]) & (size == wanted["mix_size"]),
+        F.col("id").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("size") == F.col("mix_size")),
     )
-    return found.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("mix_times"))).alias("mix_nth")).drop("mix_nth")
+    return found.select("whole", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select("whole.*")
 
 
 ORACLE = f"""

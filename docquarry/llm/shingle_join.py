@@ -228,10 +228,16 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(BAND))).cast("int")
     met = described.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "shingle"))
     same, tile = Window.partitionBy("shingle"), Window.partitionBy("shingle", "band")
+    meeting = staged(
+        met.withColumn("low", F.min("node").over(same)).withColumn("high", F.max("node").over(same))
+        .withColumn("many", F.count("*").over(same)).where("low <> high")
+        .select("shingle", "node", "n", "place", band.alias("band"), "many").distinct()
+    )
+    # the text that copies stem from shares most with the others: it leads its tiles
+    favour = meeting.groupBy("node").agg(F.sum("many").alias("favour"))
     shared = staged(
-        met.withColumn("low", F.min("node").over(same)).withColumn("high", F.max("node").over(same)).where("low <> high")
-        .withColumn("band", band)
-        .withColumn("leader", F.min(F.struct("n", "node")).over(tile))
+        meeting.drop("many").join(favour, "node")
+        .withColumn("leader", F.max(F.struct("favour", "node", "n")).over(tile))
         .select("shingle", "node", "n", "place", "band", F.col("leader.node").alias("leader"), F.col("leader.n").alias("leader_n"))
     )
     stars = (
@@ -292,7 +298,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     groups = shingle_components(docs, id_col, text_col)
     gone = groups.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("gone_id")).distinct()
-    return docs.join(staged(gone), docs[id_col].eqNullSafe(F.col("gone_id")), "left_anti")
+    # whole rows in one column, so that no name of theirs can clash
+    rows = docs.select(F.struct(*docs.columns).alias("whole"), F.col(id_col).alias("id"))
+    return rows.join(staged(gone), F.col("id").eqNullSafe(F.col("gone_id")), "left_anti").select("whole.*")
 
 
 @query("op4_shingle_join")

@@ -131,7 +131,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     found = texts.join(F.broadcast(sample), F.col("doc") == F.col("label_id")).select("label_place", "label_id", "body", "label_toxic")
 
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["label_place", "label_id", "body"], kind="stable")
+        parts = [f for f in frames if len(f)]
+        if not parts:
+            return
+        rows = pd.concat(parts).sort_values(["label_place", "label_id", "body"], kind="stable")
         if rows.label_toxic.nunique() < 2:
             return
         slots, weights, intercept = fit(rows.body.tolist(), rows.label_toxic.to_numpy(), prior)
@@ -169,6 +172,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col
     return docs.withColumn(into, probability(whole_text(text_col)))
 
 
+def drop_toxic(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The documents that score below ``threshold``, with all their columns."""
+    rows = docs.select(F.struct(*docs.columns).alias("whole"), F.col(text_col).alias("text"))
+    return score(rows, model).where(F.col("score") < threshold).select("whole.*")
+
+
 @query("op2_toxicity")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

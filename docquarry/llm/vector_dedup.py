@@ -39,7 +39,7 @@ def polytope_probes(x: np.ndarray, tables: int = TABLES, joined: int = JOINED, p
     replace it by the next nearest axis in one rotation or in several, in the
     order of the distance lost.
     """
-    width = 1 << max(int(x.shape[1] - 1).bit_length(), 1)
+    width = 1 << max(int(x.shape[1] - 1).bit_length(), 2)  # three nearest axes
     padded = np.zeros((len(x), width))
     padded[:, : x.shape[1]] = x / np.linalg.norm(x, axis=1, keepdims=True)
     rng = np.random.default_rng(seed)
