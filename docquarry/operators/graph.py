@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,8 +19,8 @@ LINKS = ["dependency", "crossref", "reexport"]
 # --- trees -------------------------------------------------------------------
 
 
-def module_tree(modules: DataFrame, max_levels: int = 64) -> DataFrame:
-    """Modules reachable from the roots with their ``level``.
+def module_tree(modules: DataFrame, max_levels: int | None = None) -> DataFrame:
+    """Modules reachable from the roots with their ``level``, down to ``max_levels`` if given.
 
     One equi join per level, each on the rows of the level before only.  Levels
     are checkpointed, so a lost executor never replays the whole climb.
@@ -27,7 +28,9 @@ def module_tree(modules: DataFrame, max_levels: int = 64) -> DataFrame:
     rows = modules.select("id", "name", "path", "parent_id", "depth", "item_count")
     level = durable(rows.where(F.col("parent_id").isNull()).withColumn("level", F.lit(0)))
     out = level
-    for step in range(1, max_levels + 1):
+    for step in itertools.count(1):
+        if max_levels is not None and step > max_levels:
+            break
         parents = level.select(F.col("id").alias("parent_id"))
         level = durable(rows.join(parents, "parent_id", "left_semi").withColumn("level", F.lit(step)))
         if level.isEmpty():

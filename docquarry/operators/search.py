@@ -22,9 +22,9 @@ from docquarry.operators.filters import item_condition
 from docquarry.operators.topn import first_per_group
 
 
-def fetch_size(k: int) -> int:
-    """Candidates to rank for ``k`` results; never more than 50."""
-    return min(min(k, 20) + 10, 50)
+def fetch_size(k: int, extra: int = 10) -> int:
+    """Candidates to rank for ``k`` results."""
+    return k + extra
 
 
 def nearest(items: DataFrame, query: Sequence[float], k: int, vector: str = "embedding") -> DataFrame:
@@ -186,7 +186,7 @@ def see_also(
     limit: int = 5,
 ) -> DataFrame:
     """Close neighbours that are not among the results in ``exclude``."""
-    near = nearest(items.select("id", "item_path", "item_type", "embedding"), query, min(k, 20))
+    near = nearest(items.select("id", "item_path", "item_type", "embedding"), query, k)
     near = near.where(1.0 - F.col("distance") >= threshold).drop("embedding")
     fresh = near.join(exclude.select("item_path"), "item_path", "left_anti")
     return fresh.orderBy("distance", "id").limit(limit)
@@ -206,7 +206,7 @@ def search_examples(
         condition = condition & (F.col("crate") == crate)
     if language is not None:
         condition = condition & (F.col("language") == language)
-    fetch = min(min(k, 20) + 5, 30)
+    fetch = fetch_size(k, 5)
     if filter_mode == "pre":
         found = nearest(examples.where(condition), query, fetch)
     else:
