@@ -21,6 +21,8 @@ NEEDED, OF = 4, 9  # so 9 * intersection >= 4 * (size + other size)
 #: sizes of one band differ by at most this factor, so links reach the next band only
 BAND = 1.25
 BITMAP_LONGS = 16
+#: sets beyond this size have a second bitmap of two to four bits a shingle, as the first one is full
+WIDE_FROM = BITMAP_LONGS * 32
 #: shingles that so many documents of one batch share are ordered last, the most frequent ones at most
 COMMON_IN_BATCH, COMMON = 4, 1 << 17
 BATCH_CHARS = 6_000_000
@@ -83,6 +85,17 @@ def set_names(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return names.view(np.int64)
 
 
+def _wide_maps(shingles: np.ndarray, sizes: np.ndarray) -> list[np.ndarray | None]:
+    """Bitmaps of the large sets; their length is a power of two."""
+    ends = np.cumsum(sizes)
+    maps: list[np.ndarray | None] = [None] * len(sizes)
+    for i in np.flatnonzero(sizes > WIDE_FROM):
+        bits = np.zeros(1 << (2 * int(sizes[i]) - 1).bit_length(), dtype=bool)
+        bits[shingles[ends[i] - sizes[i] : ends[i]].view(np.uint64) % np.uint64(len(bits))] = True
+        maps[i] = np.packbits(bits).view(np.int64)
+    return maps
+
+
 def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pieces of bounded text size."""
     for frame in frames:
@@ -112,7 +125,7 @@ def _common(texts: DataFrame) -> np.ndarray:
 
 
 def _described(texts: DataFrame, common: np.ndarray) -> DataFrame:
-    """Per document: node (hash of its set), set size, bitmap and prefix."""
+    """Per document: node (hash of its set), set size, bitmaps and prefix."""
     by_hash = np.argsort(common, kind="stable")
     sorted_common = common[by_hash]
 
@@ -127,6 +140,7 @@ def _described(texts: DataFrame, common: np.ndarray) -> DataFrame:
             bits[owner, shingles.view(np.uint64) % np.uint64(BITMAP_LONGS * 64)] = True
             maps = np.packbits(bits, axis=1).view(np.int64)
             node = set_names(shingles, sizes)
+            wide = _wide_maps(shingles, sizes)
             # the part of a set that any linked set must meet: common shingles last
             order = np.lexsort((shingles, late, owner))
             shingles = shingles[order]
@@ -137,10 +151,11 @@ def _described(texts: DataFrame, common: np.ndarray) -> DataFrame:
                 "node": node,
                 "n": sizes,
                 "bitmap": list(maps),
+                "wide": wide,
                 "prefix": [shingles[s : s + r] for s, r in zip(starts, reach)],
             })
 
-    return texts.mapInPandas(describe, "doc long, node long, n long, bitmap array<long>, prefix array<long>")
+    return texts.mapInPandas(describe, "doc long, node long, n long, bitmap array<long>, wide array<long>, prefix array<long>")
 
 
 def _fits(n: str, m: str) -> Column:
@@ -166,6 +181,36 @@ def _close(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
+def _within_wide(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that the bitmaps of large sets allow too.
+
+    Sizes that may link give lengths that are equal or one the double of the
+    other; the longer one is folded.  Pairs with a small set stay.  Only bitmaps
+    of sets in a pair travel.
+    """
+    ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct())
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    large = sets.where("wide is not null").join(ids, F.col("node") == F.col("wanted"), "left_semi")
+    side = lambda end: large.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("wide").alias(f"wide_{end}"))
+
+    def folded(own: str, other: str) -> Column:
+        length = F.size(other)
+        halves = F.transform(F.slice(own, 1, length), lambda x, i: x.bitwiseOR(F.col(own)[i + length]))
+        return F.when(F.size(own) > length, halves).otherwise(F.col(own))
+
+    def lacks(own: str, other: str) -> Column:
+        bits = F.zip_with(own, other, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))))
+        return F.aggregate(bits, F.lit(0), lambda total, x: total + x)
+
+    overlap = F.least(F.col("n_a") - lacks("even_a", "even_b"), F.col("n_b") - lacks("even_b", "even_a"))
+    return (
+        pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+        .withColumns({"even_a": folded("wide_a", "wide_b"), "even_b": folded("wide_b", "wide_a")})
+        .where(F.col("wide_a").isNull() | F.col("wide_b").isNull() | (OF * overlap >= NEEDED * (F.col("n_a") + F.col("n_b"))))
+        .select(*pairs.columns)
+    )
+
+
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Names (name_a, name_b) of the pairs whose sets link, by exact intersection of sorted arrays.
 
@@ -215,7 +260,7 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
        and components of these links are found;
     3. what is left are tiles that hold nodes of different components: pairs
        across components and neighbouring bands that pass the place bound and the
-       bitmap bound.  The exact intersection takes the best pair of every two
+       bitmap bounds (large sets have a wider bitmap).  The exact intersection takes the best pair of every two
        components first, then eight times as many each round, until every pair is
        tested or lies in one component, where it can no longer change the result.
        So groups of copies do not grow with the square of their size.
@@ -223,7 +268,7 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), whole_text(text_col).alias("body"))
     described = staged(_described(texts, _common(texts)))
     sets = staged(
-        described.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
+        described.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.first("wide").alias("wide"))
     )
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(BAND))).cast("int")
     met = described.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "shingle"))
@@ -246,7 +291,8 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .groupBy("node").agg(F.max(F.struct("count", "leader")).alias("most"))
         .select(F.least("node", "most.leader").alias("a"), F.greatest("node", "most.leader").alias("b")).distinct()
     )
-    stars = staged(_close(stars, sets).withColumns({"name_a": F.col("a"), "name_b": F.col("b")}))
+    stars = _within_wide(staged(_close(stars, sets)), sets)
+    stars = staged(stars.withColumns({"name_a": F.col("a"), "name_b": F.col("b")}))
     roots = components(_linked(stars, texts).toDF("a", "b"))
     named = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("leader", "leader_n")
     open_ = staged(
@@ -264,7 +310,7 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .where(_fits("n", "m") & (OF * follows >= NEEDED * (F.col("n") + F.col("m"))))
         .groupBy("a", "b").count()
     )
-    left, most = staged(_close(pairs, sets)), 1
+    left, most = staged(_within_wide(staged(_close(pairs, sets)), sets)), 1
     while True:
         name = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"name_{end}"))
         across = (

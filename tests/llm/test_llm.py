@@ -223,6 +223,39 @@ def test_shingle_components(docs, rows, none):
     assert shingle_join.shingle_components(none).count() == 0
 
 
+def test_shingle_links_of_large_sets(spark):
+    """Overlaps on both sides of the threshold, and sizes on both sides of a doubling of the bitmap."""
+    rnd, rows = random.Random(11), []
+    for i, size in enumerate((540, 1020, 1030, 2040, 2060, 2600)):
+        base = [f"w{i}.{rnd.randrange(10**6)}" for _ in range(size)]
+        rows.append(base)
+        for share in (0.05, 0.1, 0.18, 0.195, 0.205, 0.22, 0.4):
+            rows.append(base[int(size * share) :])
+            rows.append(base[: size - int(size * share / 2)] + [f"x{rnd.randrange(10**6)}" for _ in range(int(size * share / 2))])
+    shingles = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in rows]
+    root = list(range(len(rows)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if 100 * len(shingles[a] & shingles[b]) >= 80 * len(shingles[a] | shingles[b]):
+            low, high = sorted((top(a), top(b)))
+            root[high] = low
+    want = collections.Counter((i, len(s), top(i)) for i, s in enumerate(shingles))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    assert bag(shingle_join.shingle_components(docs), "doc_id", "n_shingles", "component_id") == want
+    sets = [np.sort(np.frombuffer(rnd.randbytes(8 * n), np.int64)) for n in (600, 740, 1500)]
+    for x, y in itertools.permutations(sets[:2] + [np.sort(np.append(sets[0], sets[1][:120]))], 2):
+        maps = shingle_join._wide_maps(np.concatenate((x, y)), np.array([len(x), len(y)]))
+        frame = spark.createDataFrame([(1, len(x), maps[0].tolist()), (2, len(y), maps[1].tolist())], "node long, n long, wide array<long>")
+        kept = shingle_join._within_wide(spark.createDataFrame([(1, 2)], "a long, b long"), frame).count()
+        # unrelated sets are told apart, links never
+        assert kept == (9 * len(np.intersect1d(x, y)) >= 4 * (len(x) + len(y)))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(200)] + [(500, 400), (400, 450), (7, 7)]
     found = dict(components(spark.createDataFrame(chain, "a long, b long")).collect())
