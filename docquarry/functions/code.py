@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from docquarry import constants as C
 from docquarry import schemas
@@ -14,28 +12,6 @@ from docquarry.functions.binding import once
 _EXAMPLES_DDL = "array<struct<code:string,language:string,detected:boolean>>"
 
 
-@F.pandas_udf(StringType())
-def guess_language(code: pd.Series) -> pd.Series:
-    """Language of an untagged block; 'rust' unless a lexer is fairly sure."""
-    try:
-        from pygments.lexers import guess_lexer
-    except ImportError:
-        return code.map(lambda c: None if c is None else "rust")
-
-    def guess(text):
-        if text is None:
-            return None
-        try:
-            lexer = guess_lexer(text)
-            if lexer.analyse_text(text) > 0.3:
-                return lexer.aliases[0] if lexer.aliases else lexer.name.lower()
-        except Exception:
-            pass
-        return "rust"
-
-    return code.map(guess)
-
-
 def fenced_blocks(text: Column) -> Column:
     """Every non-empty fenced block as ``struct<tag, code>``, in order."""
     whole = F.regexp_extract_all(text, F.lit(C.FENCED_BLOCK), F.lit(0))
@@ -52,8 +28,7 @@ def fenced_blocks(text: Column) -> Column:
 def code_examples(text: Column, default_language: str = "rust") -> Column:
     """Examples of a text with the tag as language; untagged ones count as detected.
 
-    Untagged blocks get ``default_language`` here; ``with_guessed_languages``
-    asks a lexer instead.
+    Untagged blocks get ``default_language``.
     """
     return F.transform(
         fenced_blocks(text),
@@ -132,4 +107,3 @@ def embedding_text(code: Column, language: Column, context: Column) -> Column:
         F.concat(F.lit("Context: "), F.substring(context, 1, C.EXAMPLE_CONTEXT_CHARS)),
     )
     return F.concat_ws("\n\n", tag, about, code)
-

@@ -98,11 +98,6 @@ def stalled(status: DataFrame, now: str, after_seconds: int = C.STALL_SECONDS) -
     return active.withColumn("stale_seconds", quiet).where(F.col("stale_seconds") > after_seconds)
 
 
-def without_status(status: DataFrame, crate_ids: list[int]) -> DataFrame:
-    """Status table after crates are reset for re-ingestion."""
-    return status.where(~F.col("crate_id").isin(crate_ids))
-
-
 def progress(status: DataFrame, elapsed_seconds: float, concurrency: int = 3) -> DataFrame:
     """One row of overall progress with an estimate of the time left.
 
@@ -139,17 +134,3 @@ def progress(status: DataFrame, elapsed_seconds: float, concurrency: int = 3) ->
         rate.alias("rate_per_second"),
         eta.cast("bigint").alias("eta_seconds"),
     )
-
-
-def duration_text(seconds: Column) -> Column:
-    """``42s``, ``5m 3s`` or ``2h 10m``."""
-    s, m, h = seconds % 60, F.floor(seconds / 60), F.floor(seconds / 3600)
-
-    def text(*parts) -> Column:
-        return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
-
-    return (
-        F.when(seconds < 60, text(seconds, "s"))
-        .when(seconds < 3600, text(m, "m ", s, "s"))
-        .otherwise(text(h, "h ", m % 60, "m"))
-    )

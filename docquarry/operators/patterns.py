@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docquarry.functions import paths
 from docquarry.functions.text import context_window
 from docquarry.operators.topn import first_per_group
 
@@ -134,7 +133,7 @@ def usage_patterns(items: DataFrame, limit: int = 10, min_frequency: int = 2, sa
     counts = uses.groupBy("pattern").agg(F.count("*").alias("frequency"))
     best = counts.where(F.col("frequency") >= min_frequency).orderBy(F.desc("frequency"), "pattern").limit(limit)
     shown = first_per_group(
-        uses.join(F.broadcast(best.select("pattern")), "pattern"),  # at most `limit` rows
+        uses.join(best.select("pattern"), "pattern"),
         ["pattern"],
         [F.asc("item_path"), F.asc("seq")],
         samples,
@@ -219,13 +218,19 @@ def error_catalog(items: DataFrame, pattern: str | None = None, samples: int = 3
 
 
 def api_evolution(releases: DataFrame, items: DataFrame) -> DataFrame:
-    """Item counts and stability per release; releases without items are kept."""
-    joined = releases.join(items, ["crate", "version"], "left")
-    stats = joined.groupBy("crate", "version").agg(
+    """Item counts and stability per release; releases without items are kept.
+
+    Items are counted before the join, so a release that holds many of them
+    meets the release list as one row.
+    """
+    counts = items.groupBy("crate", "version").agg(
         F.count_distinct("item_path").alias("item_count"),
         F.count_distinct(F.when(F.col("deprecated"), F.col("item_path"))).alias("deprecated_count"),
         F.count_distinct("item_type").alias("type_diversity"),
     )
+    stats = releases.select("crate", "version").distinct().join(counts, ["crate", "version"], "left").na.fill(
+        0, ["item_count", "deprecated_count", "type_diversity"]
+    )
     return stats.withColumn(
         "stability_score",
         1.0 - F.col("deprecated_count") / F.greatest(F.col("item_count"), F.lit(1)),
@@ -248,9 +253,3 @@ def evolution_steps(stats: DataFrame, order: Column) -> DataFrame:
             (F.col("item_count") / F.greatest(F.col("_item_count"), F.lit(1)) - 1).alias("growth_rate"),
         )
     )
-
-
-def module_item_counts(items: DataFrame) -> DataFrame:
-    """Items directly in each module; the count a module listing needs."""
-    module = paths.parent_of(F.col("item_path"))
-    return items.groupBy("crate", module.alias("path")).agg(F.count("*").alias("item_count"))

@@ -200,17 +200,26 @@ def search_examples(
     language: str | None = None,
     filter_mode: str = "pre",
 ) -> DataFrame:
-    """Nearest code examples, one per distinct example, best first."""
+    """Nearest code examples, one per distinct example, best first.
+
+    ``pre`` filters and takes the nearest copy of every example before the cut,
+    so copies leave no place empty: each task sends one key per example, and the
+    at most ``k`` keys then select whole rows.  ``post`` cuts first and may
+    return fewer rows.
+    """
     condition = F.lit(True)
     if crate is not None:
         condition = condition & (F.col("crate") == crate)
     if language is not None:
         condition = condition & (F.col("language") == language)
-    fetch = fetch_size(k, 5)
     if filter_mode == "pre":
-        found = nearest(examples.where(condition), query, fetch)
+        wanted = examples.where(condition & (F.size("embedding") == len(query)))
+        wanted = wanted.withColumn("distance", vectors.l2_distance("embedding", query))
+        closest = wanted.groupBy("example_hash").agg(F.min(F.struct("distance", "id")).alias("closest"))
+        top = closest.orderBy("closest", "example_hash").limit(k).select(F.col("example_hash").alias("top_hash"), "closest.id")
+        found = wanted.join(top, (wanted.id == top.id) & wanted.example_hash.eqNullSafe(top.top_hash), "left_semi")
     else:
-        found = nearest(examples, query, fetch).where(condition)
+        found = nearest(examples, query, fetch_size(k, 5)).where(condition)
     unique = first_per_group(found, ["example_hash"], [F.asc("distance"), F.asc("id")])
     scored = unique.withColumn("score", 1.0 - F.col("distance"))
     return scored.orderBy("distance", "id").limit(k)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from docquarry import params
 from docquarry.functions import vectors
 from docquarry.operators import search
+from docquarry.operators.patterns import api_evolution
 from docquarry.operators.topn import first_per_group
 
 ITEMS = (
@@ -150,3 +151,21 @@ def test_second_read_is_pruned_by_id(spark, sf_dir):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(doc_id,3)" in plan or "In(doc_id" in plan
     assert [(r["id"], r["distance"]) for r in found.collect()] == [(3, 0.5)]
+
+
+def test_copies_of_examples_take_no_places(spark):
+    rows = [(i, "c", "rust", "same", [0.0, 0.1]) for i in range(100)] + [(100 + i, "c", "rust", f"h{i}", [0.0, 1.0 + i]) for i in range(20)]
+    rows += [(200, "c", "rust", None, [0.0, 0.2]), (201, "c", "rust", None, [0.0, 0.3]), (202, "c", "rust", "h99", None)]
+    examples = spark.createDataFrame(rows, "id bigint, crate string, language string, example_hash string, embedding array<float>")
+    got = [r["id"] for r in search.search_examples(examples, [0.0, 0.0], k=5).collect()]
+    assert got == [0, 200, 100, 101, 102]
+
+
+def test_releases_meet_counted_items(spark):
+    releases = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1"), ("a", "1")], "crate string, version string")
+    items = spark.createDataFrame(
+        [("a", "1", f"p{i % 7}", i % 7 == 0, "function") for i in range(50)] + [("a", "2", "p", None, None)],
+        "crate string, version string, item_path string, deprecated boolean, item_type string",
+    )
+    got = {tuple(r)[:5]: r["stability_score"] for r in api_evolution(releases, items).collect()}
+    assert got == {("a", "1", 7, 1, 1): pytest.approx(6 / 7), ("a", "2", 1, 0, 0): 1.0, ("b", "1", 0, 0, 0): 1.0}
