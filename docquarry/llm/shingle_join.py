@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,48 +26,72 @@ COMMON_IN_BATCH, COMMON = 4, 1 << 17
 BATCH_CHARS = 6_000_000
 #: ids of documents under exact comparison that are broadcast, 8 bytes each
 BROADCAST_IDS = 1_000_000
+#: texts are hashed in blocks of about so many bytes
+BLOCK_BYTES = 1 << 20
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
+def _mixed(values: np.ndarray) -> np.ndarray:
+    values = (values ^ (values >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return values ^ (values >> np.uint64(29))
 
 
-_hashes = WordHashes()
+#: a number per byte; capitals count as small letters, blanks as nothing
+_letters = _mixed(np.arange(1, 257, dtype=np.uint64) * FACTOR)
+_letters[65:91] = _letters[97:123]
+_blank = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_letters[_blank] = 0
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts in a row, and the number of words of each text."""
+    data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
+    gap = _blank[data]
+    first = ~gap
+    first[1:] &= gap[:-1]
+    starts = np.flatnonzero(first)
+    froms = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    counts = np.diff(np.searchsorted(starts, froms))
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64), counts
+    place = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(starts, append=len(data)))
+    powers = np.full(int(place.max()) + 1, FACTOR)
+    powers[0] = 1
+    return _mixed(np.add.reduceat(_letters[data[starts[0] :]] * np.cumprod(powers)[place], starts - starts[0])), counts
 
 
 def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles of all texts in a row, and their owners."""
-    if len(_hashes) > 500_000:
-        _hashes.clear()
-    words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-    counts = np.array([len(w) for w in words], dtype=np.int64)
-    total = int(counts.sum())
-    single = np.fromiter(map(_hashes.__getitem__, itertools.chain.from_iterable(words)), np.uint64, total)
-    owner = np.repeat(np.arange(len(texts)), counts)
-    ends = np.repeat(np.cumsum(counts), counts)
-    starts = ends - np.repeat(counts, counts)
-    width = np.minimum(np.repeat(counts, counts), WORDS)
-    place = np.arange(total)
-    factor = np.uint64(0x9E3779B97F4A7C15)
-    rolled = np.zeros(total, dtype=np.uint64)
+    encoded = [t.encode("utf-8", "surrogatepass") for t in texts]
+    block = np.cumsum([len(t) for t in encoded]) // BLOCK_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1), len(encoded)]
+    parts = [word_hashes(encoded[i:j]) for i, j in zip(cuts, cuts[1:]) if i < j]
+    counts = np.concatenate([np.zeros(0, dtype=np.int64), *(c for _, c in parts)])
+    single = np.concatenate([*(h for h, _ in parts), np.zeros(WORDS, dtype=np.uint64)]) + np.uint64(1)
+    total, ends = int(counts.sum()), np.cumsum(counts)
+    rolled, whole = np.zeros(total, dtype=np.uint64), np.ones(total, dtype=bool)
     for i in range(WORDS):
+        rolled *= FACTOR
+        rolled += single[i : i + total]
+        if i:  # a shingle that starts here would reach into the next text
+            whole[np.maximum(ends - i, 0)[counts > 0]] = False
+    for few in range(1, WORDS):
         # a text of fewer words is one shingle
-        step = place + i < np.minimum(ends, place + width)
-        nxt = single[np.minimum(place + i, total - 1)] if total else single
-        rolled = np.where(step, rolled * factor + nxt + np.uint64(1), rolled)
-    keep = (place + width <= ends) & ((width == WORDS) | (place == starts))
-    rolled, owner = rolled[keep], owner[keep]
-    rolled = (rolled ^ (rolled >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return (rolled ^ (rolled >> np.uint64(29))).view(np.int64), owner
+        at = (ends - counts)[counts == few]
+        value = np.zeros(len(at), dtype=np.uint64)
+        for i in range(few):
+            value = value * FACTOR + single[at + i]
+        rolled[at], whole[at] = value, True
+    owner = np.repeat(np.arange(len(texts)), np.where(counts < WORDS, counts > 0, counts - WORDS + 1))
+    return _mixed(rolled[whole]).view(np.int64), owner
 
 
 def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all texts in a row, sorted per text; owners; set sizes."""
     rolled, owner = shingle_hashes(texts)
-    order = np.lexsort((rolled, owner))
-    rolled, owner = rolled[order], owner[order]
+    ends = np.cumsum(np.bincount(owner, minlength=len(texts)))
+    for start, end in zip([0, *ends[:-1]], ends):
+        rolled[start:end].sort()
     if len(rolled):
         new = np.concatenate(([True], (rolled[1:] != rolled[:-1]) | (owner[1:] != owner[:-1])))
         rolled, owner = rolled[new], owner[new]
@@ -128,23 +150,36 @@ def _described(texts: DataFrame, common: np.ndarray) -> DataFrame:
     """Per document: node (hash of its set), set size, bitmaps and prefix."""
     by_hash = np.argsort(common, kind="stable")
     sorted_common = common[by_hash]
+    # most shingles are ruled out by their last bits
+    listed = np.zeros(1 << 20, dtype=bool)
+    listed[common & (len(listed) - 1)] = True
+
+    def places(shingles: np.ndarray) -> np.ndarray:
+        """Place in the list of common shingles, -1 for others."""
+        late = np.full(len(shingles), -1, dtype=np.int64)
+        maybe = np.flatnonzero(listed[shingles & (len(listed) - 1)])
+        if len(maybe):
+            at = np.minimum(np.searchsorted(sorted_common, shingles[maybe]), len(sorted_common) - 1)
+            late[maybe] = np.where(sorted_common[at] == shingles[maybe], by_hash[at], -1)
+        return late
+
+    def prefix(shingles: np.ndarray, late: np.ndarray, reach: int) -> np.ndarray:
+        """The part of a set that any linked set must meet: common shingles last."""
+        rare = shingles[late < 0]
+        if len(rare) >= reach:
+            return rare[:reach]
+        last = np.flatnonzero(late >= 0)
+        return np.concatenate((rare, shingles[last[np.argsort(late[last], kind="stable")]]))[:reach]
 
     def describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for piece in _batches(frames):
             shingles, owner, sizes = shingle_sets(piece.body.tolist())
-            late = np.full(len(shingles), -1, dtype=np.int64)
-            if len(sorted_common) and len(shingles):
-                at = np.minimum(np.searchsorted(sorted_common, shingles), len(sorted_common) - 1)
-                late = np.where(sorted_common[at] == shingles, by_hash[at], -1)
             bits = np.zeros((len(piece), BITMAP_LONGS * 64), dtype=bool)
             bits[owner, shingles.view(np.uint64) % np.uint64(BITMAP_LONGS * 64)] = True
             maps = np.packbits(bits, axis=1).view(np.int64)
             node = set_names(shingles, sizes)
             wide = _wide_maps(shingles, sizes)
-            # the part of a set that any linked set must meet: common shingles last
-            order = np.lexsort((shingles, late, owner))
-            shingles = shingles[order]
-            starts = np.cumsum(sizes) - sizes
+            late, starts = places(shingles), np.cumsum(sizes) - sizes
             reach = np.where(sizes > 0, sizes - (4 * sizes + 4) // 5 + 1, 0)
             yield pd.DataFrame({
                 "doc": piece.doc.to_numpy(),
@@ -152,7 +187,7 @@ def _described(texts: DataFrame, common: np.ndarray) -> DataFrame:
                 "n": sizes,
                 "bitmap": list(maps),
                 "wide": wide,
-                "prefix": [shingles[s : s + r] for s, r in zip(starts, reach)],
+                "prefix": [prefix(shingles[s : s + n], late[s : s + n], r) for s, n, r in zip(starts, sizes, reach)],
             })
 
     return texts.mapInPandas(describe, "doc long, node long, n long, bitmap array<long>, wide array<long>, prefix array<long>")
@@ -272,10 +307,12 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(BAND))).cast("int")
     met = described.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "shingle"))
+    # the smaller set of a link has the first shared shingle in the first ninth of its order
     same, tile = Window.partitionBy("shingle"), Window.partitionBy("shingle", "band")
     meeting = staged(
         met.withColumn("low", F.min("node").over(same)).withColumn("high", F.max("node").over(same))
-        .withColumn("many", F.count("*").over(same)).where("low <> high")
+        .withColumn("many", F.count("*").over(same)).withColumn("early", F.min(F.expr("9L * place - n")).over(same))
+        .where("low <> high and early <= 0")
         .select("shingle", "node", "n", "place", band.alias("band"), "many").distinct()
     )
     # the text that copies stem from shares most with the others: it leads its tiles
