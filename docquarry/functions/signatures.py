@@ -51,50 +51,80 @@ def return_type(signature: Column) -> Column:
     return F.when(signature.rlike(C.RETURN_TYPE), found)
 
 
-def render_type(node) -> str | None:
-    """Readable form of a type tree.  The tree nests, so this is plain Python."""
-    if not isinstance(node, dict):
-        return str(node) if node else None
-    if isinstance(node.get("resolved_path"), dict):
-        target = node["resolved_path"]
-        name = target.get("path", target.get("name", ""))
-        listed = ((target.get("args") or {}).get("angle_bracketed") or {}).get("args") or []
-        inner = [render_type(a["type"]) for a in listed if isinstance(a, dict) and "type" in a]
-        inner = [text for text in inner if text]
-        return f"{name}<{', '.join(inner)}>" if inner else name
-    if "path" in node:
-        target = node["path"]
-        if isinstance(target, dict) and "name" in target:
-            return target["name"]
-        if isinstance(target, str):
-            return target
-    if node.get("tuple"):
-        inner = [text for text in map(render_type, node["tuple"]) if text]
-        if inner:
-            return f"({inner[0]},)" if len(inner) == 1 else f"({', '.join(inner)})"
-    for leaf in ("generic", "primitive"):
-        if leaf in node:
-            return node[leaf]
-    if isinstance(node.get("array"), dict):
-        element = render_type(node["array"].get("type"))
-        if element:
-            return f"[{element}; {node['array'].get('len', 'N')}]"
-    if node.get("slice"):
-        element = render_type(node["slice"])
-        if element:
-            return f"[{element}]"
-    if isinstance(node.get("borrowed_ref"), dict):
-        target = node["borrowed_ref"]
-        element = render_type(target.get("type"))
-        if element:
-            lifetime = f"'{target['lifetime']} " if target.get("lifetime") else ""
-            return f"&{lifetime}{'mut ' if target.get('mutable') else ''}{element}"
-    if "function_pointer" in node:
-        return "fn(...)"
-    for key in ("name", "id"):
-        if isinstance(node.get(key), str):
-            return node[key]
-    return "UnknownType"
+def _listed(trees: list | None, between: str = ", ") -> str:
+    return between.join(text for text in map(render_type, trees or []) if text)
+
+
+def _path(body: dict | str) -> str:
+    """A path with its generic arguments; ``Fn`` traits have theirs in parentheses."""
+    if isinstance(body, str):
+        return body
+    name, args = body.get("path", body.get("name", "")), body.get("args") or {}
+    within = args.get("angle_bracketed") or {}
+    inner = _listed([a["type"] for a in within.get("args") or [] if isinstance(a, dict) and "type" in a])
+    if called := args.get("parenthesized"):
+        output = render_type(called.get("output"))
+        return f"{name}({_listed(called.get('inputs'))})" + (f" -> {output}" if output else "")
+    return f"{name}<{inner}>" if inner else name
+
+
+def _bounds(bounds: list) -> str:
+    """Traits of ``dyn`` and ``impl`` types."""
+    paths = [b.get("trait_bound", b).get("trait") for b in bounds if isinstance(b, dict)]
+    return " + ".join(_path(p) for p in paths if p)
+
+
+def _is_mutable(body: dict) -> bool:
+    return bool(body.get("is_mutable") or body.get("mutable"))
+
+
+def _reference(body: dict) -> str | None:
+    lifetime = (body.get("lifetime") or "").lstrip("'")
+    target = render_type(body.get("type"))
+    words = [f"'{lifetime}" if lifetime else "", "mut" if _is_mutable(body) else "", target or ""]
+    return target and "&" + " ".join(w for w in words if w)
+
+
+def _tuple(trees: list) -> str | None:
+    inner = _listed(trees)
+    return inner and f"({inner},)" if len(trees) == 1 else inner and f"({inner})"
+
+
+def _qualified(body: dict) -> str:
+    owner, trait = render_type(body.get("self_type")), body.get("trait")
+    return f"<{owner} as {_path(trait)}>::{body['name']}" if trait else f"{owner}::{body['name']}"
+
+
+#: how each kind of type of the rustdoc format is written
+TYPE_WRITERS = {
+    "resolved_path": _path,
+    "path": _path,
+    "generic": str,
+    "primitive": str,
+    "borrowed_ref": _reference,
+    "raw_pointer": lambda body: f"*{'mut' if _is_mutable(body) else 'const'} {render_type(body.get('type'))}",
+    "tuple": _tuple,
+    "slice": lambda body: (text := render_type(body)) and f"[{text}]",
+    "array": lambda body: (text := render_type(body.get("type"))) and f"[{text}; {body.get('len', 'N')}]",
+    "dyn_trait": lambda body: f"dyn {_bounds(body.get('traits') or [])}",
+    "impl_trait": lambda body: f"impl {_bounds(body)}",
+    "qualified_path": _qualified,
+    "function_pointer": lambda body: "fn(...)",
+    "name": str,
+    "id": str,
+}
+
+
+def render_type(tree: dict | str | None) -> str | None:
+    """Readable form of a type tree: an object whose key is its kind.
+
+    A kind the table lacks, or one with nothing to write, is ``UnknownType``; a
+    text stands for itself.  The tree nests, so this is plain Python.
+    """
+    if not isinstance(tree, dict):
+        return str(tree) if tree else None
+    kind = next((k for k in TYPE_WRITERS if tree.get(k)), None)
+    return (kind and TYPE_WRITERS[kind](tree[kind])) or "UnknownType"
 
 
 def _render_json(text: str | None) -> str | None:
@@ -170,10 +200,11 @@ def receiver(first_input: Column) -> Column:
     """``self``, ``&self`` or ``&mut self``; null for a plain function."""
     tree = input_type(first_input)
     mutable = F.coalesce(
+        F.get_json_object(tree, "$.borrowed_ref.is_mutable") == "true",
         F.get_json_object(tree, "$.borrowed_ref.mutable") == "true",
         F.get_json_object(tree, "$.borrowed_ref.mutability") == "mutable",
         F.lit(False),
-    ) | F.coalesce(F.get_json_object(tree, "$.borrowed_ref.mutability") == "mutable", F.lit(False))
+    )
     borrowed = F.get_json_object(tree, "$.borrowed_ref").isNotNull()
     return F.when(
         input_name(first_input) == "self",

@@ -11,13 +11,7 @@ from docquarry.functions import fuzzy
 
 def static_alias(crate: Column, path: Column) -> Column:
     """Fixed alias of a path, tried with the crate in front and then as it is."""
-    pairs = [
-        F.lit(x)
-        for name, names in C.PATH_ALIASES_BY_CRATE.items()
-        for short, full in names.items()
-        for x in (f"{name}::{short}", full)
-    ]
-    table = F.create_map(*pairs)
+    table = F.create_map(*[F.lit(x) for pair in C.PATH_ALIASES.items() for x in pair])
     return F.coalesce(
         F.try_element_at(table, F.concat_ws("::", crate, path)), F.try_element_at(table, path)
     )

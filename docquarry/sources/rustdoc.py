@@ -219,9 +219,7 @@ def modules_table(files: Parsed) -> DataFrame:
 
 def standard_trait(name: Column) -> Column:
     """Full path of a well-known trait; any other name stays."""
-    table = F.create_map(
-        *[F.lit(x) for module, names in C.STD_TRAITS.items() for n in names for x in (n, f"{module}::{n}")]
-    )
+    table = F.create_map(*[F.lit(x) for pair in C.STD_TRAITS.items() for x in pair])
     return F.coalesce(F.try_element_at(table, name), name)
 
 

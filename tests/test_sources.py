@@ -111,6 +111,14 @@ def test_rendered_types():
     assert signatures.render_type({"borrowed_ref": {"lifetime": "a", "mutable": True, "type": path}}) == "&'a mut Vec<u8>"
     assert signatures.render_type({"array": {"type": path, "len": 3}}) == "[Vec<u8>; 3]"
     assert signatures.render_type({"odd": 1}) == "UnknownType"
+    assert signatures.render_type({"borrowed_ref": {"lifetime": "'a", "is_mutable": True, "type": path}}) == "&'a mut Vec<u8>"
+    assert signatures.render_type({"borrowed_ref": {"lifetime": None, "is_mutable": False, "type": path}}) == "&Vec<u8>"
+    assert signatures.render_type({"raw_pointer": {"is_mutable": False, "type": {"primitive": "u8"}}}) == "*const u8"
+    function = {"path": "Fn", "args": {"parenthesized": {"inputs": [{"primitive": "u8"}], "output": {"generic": "T"}}}}
+    assert signatures.render_type({"dyn_trait": {"traits": [{"trait": function}]}}) == "dyn Fn(u8) -> T"
+    assert signatures.render_type({"impl_trait": [{"trait_bound": {"trait": {"path": "Iterator"}}}]}) == "impl Iterator"
+    item = {"name": "Item", "self_type": {"generic": "I"}, "trait": {"path": "Iterator"}}
+    assert signatures.render_type({"qualified_path": item}) == "<I as Iterator>::Item"
 
 
 def test_rustdoc_traits_and_broken_file(spark):
