@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -34,10 +36,28 @@ WIDE = {
 #: words near a span that speak for it
 CUES = "mail|contact|write|phone|tel|call|fax|mobile|card|visa|pay|account|ip|server|host|address"
 CONTEXT = 24
+#: words of each kind that speak for it when no digit stands between
+OWN_CUES = {"email": "mail|contact|write", "ip": "ip|server|host|address", "card": "card|visa|pay|account", "phone": "phone|tel|call|fax|mobile"}
+#: the part of a proposed span before the end of a sentence, if that part is a whole one
+WHOLE = {
+    "email": r"^(.*?(?:@|[(\[]at[)\]]) ?[A-Za-z0-9-]+(?: ?(?:\.|[(\[]dot[)\]]) ?[A-Za-z0-9-]+)*?(?:\.| ?[(\[]dot[)\]] ?)[A-Za-z]{2,12})\. .*$",
+    "ip": r"^([0-9]{1,4}(?: ?[.:] ?[0-9]{1,4}){3})\. .*$",
+    "card": r"^([0-9](?:[ .-]{0,2}[0-9]){11,18}?)\. .*$",
+    "phone": r"^([+(]?[0-9](?:[ ().-]*[0-9]){8,14}?)\. .*$",
+}
+#: usual ways to write each kind, which need no word that speaks for them
+SHAPES = {
+    "email": r"^[^ @]+(?: @ |@| ?[(\[]at[)\]] ?)[^ @]",
+    "ip": r"^[0-9.]+$|^(?:[^0-9]*[0-9]){7}",
+    "card": r"^[0-9]+$|^[0-9]{4}([ .-]{1,2})[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}$|^[0-9]{4}([ .-]{1,2})[0-9]{6}\2[0-9]{4,5}$",
+    "phone": r"^\+|^(?:00?1[ .-])?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}$|^00[1-9][0-9]{0,2}[ .-]",
+}
 #: candidates the trees are fitted on, at most; trees and their depth
 FIT_ROWS, TREES, DEPTH = 4_000, 10, 3
-#: wanted precision of what the trees add, measured on candidates they did not see
+#: wanted precision of what the trees add, measured on all candidates
 PRECISION = 0.995
+#: steps of the scores
+STEPS = 10_000
 
 
 def _matches(text: Column, pattern: str, needs: str) -> Column:
@@ -89,6 +109,28 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.filter(_matches(text, BASE[kind], NEEDS[kind]), lambda m: _holds(kind, m["hit"]))
 
 
+def _plain(hit: Column) -> Column:
+    """A span with its written-out marks as marks and without blanks."""
+    marked = F.regexp_replace(F.regexp_replace(hit, r"[(\[]at[)\]]", "@"), r"[(\[]dot[)\]]", ".")
+    return F.replace(marked, F.lit(" "), F.lit(""))
+
+
+def _checked(kind: str, hit: Column) -> Column:
+    """The check of a span of any writing, on its plain form or its digits."""
+    plain, digits = _plain(hit), _digits(hit)
+    return {
+        "email": plain.rlike(r"^[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,12}$"),
+        "ip": plain.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$"),
+        "card": F.when(F.length(digits).between(13, 19), digits.rlike("^[2-6]") & _luhn(digits)).otherwise(False),
+        "phone": F.length(digits).between(9, 15),
+    }[kind]
+
+
+def _of_kind(make) -> Column:
+    """What ``make`` gives for the name of the row's kind."""
+    return F.coalesce(*[F.when(F.col("kind") == i, make(k)) for i, k in enumerate(KINDS)])
+
+
 def _listed(spans: Column) -> Column:
     """kind:start:end by start, then kind."""
     names = F.array(*map(F.lit, KINDS))
@@ -120,6 +162,9 @@ def _features() -> dict[str, Column]:
         "after_mark": flag(before.rlike("[.,:;+-]$")),
         "before_mark": flag(after.rlike("^[.,:;-][0-9]")),
         "cue": flag(F.lower(before).rlike(rf"\b(?:{CUES})\b")),
+        "own_cue": flag(_of_kind(lambda k: F.lower(before).rlike(rf"\b(?:{OWN_CUES[k]})\b[^0-9]*$"))),
+        "checked": flag(_of_kind(lambda k: _checked(k, hit))),
+        "shaped": flag(_of_kind(lambda k: hit.rlike(SHAPES[k]))),
     }
 
 
@@ -135,20 +180,34 @@ def find_pii(
     ``base`` and ``spans`` are arrays of (start, kind number, end) in code points;
     the counts are those of base spans.  Base spans are the leftmost matches of
     the base patterns that pass their checks and are always among the spans.
-    Wide generators propose further, overlapping spans.  Boosted trees learn from
-    at most ``fit_rows`` candidates, chosen by hash, whether a candidate is a base
-    span, by its format and the text around it; half of them set the threshold
-    for each kind: the lowest score from which at least ``precision`` of the
-    candidates are base spans.  What scores as high elsewhere and touches no base
-    span is added, the best of overlapping ones.
+    Wide generators propose further, overlapping spans.  A candidate counts as
+    good if it is a base span, or if its plain form passes the check of its kind,
+    it is written in a usual way or after a word that speaks for it, and it
+    touches no letter or digit; a candidate that no base pattern meets can be
+    good too.  Boosted trees learn this from the candidates' format and the text
+    around them, on at most ``fit_rows`` distinct ones, dealt over kinds and
+    labels.  Scores of all candidates are counted by kind; the threshold of a kind
+    is the lowest score from which at least ``precision`` of all candidates, and
+    of those that touch no base span, are good.  What reaches it and touches no
+    base span is added, the best of overlapping ones.
 
     Null is the empty text; texts without spans have empty arrays; null ids and
     rows that repeat are treated row by row; an empty table gives no rows; other
-    columns are ignored.  Without candidates of both kinds nothing is added.
+    columns are ignored.  Without good candidates nothing is added, without others
+    all are.
     """
     text = F.col("body")
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("body"))
-    wide = {f"wide_{k}": _matches(text, WIDE[k], r"@|[(\[]at[)\]]" if k == "email" else "[0-9]") for k in KINDS}
+
+    def proposals(kind: str) -> Column:
+        def whole(m: Column) -> Column:
+            part = F.regexp_extract(m["hit"], WHOLE[kind], 1)
+            hit = F.when(part != "", part).otherwise(m["hit"])
+            return F.struct(m["start"].alias("start"), (m["start"] + F.length(hit)).alias("end"), hit.alias("hit"))
+
+        return F.transform(_matches(text, WIDE[kind], r"@|[(\[]at[)\]]" if kind == "email" else "[0-9]"), whole)
+
+    wide = {f"wide_{k}": proposals(k) for k in KINDS}
     found = rows.withColumns({f"base_{k}": base_spans(text, k) for k in KINDS} | wide)
 
     def of_kind(name: str, i: int, context: bool) -> Column:
@@ -177,34 +236,52 @@ def find_pii(
         kept.where(F.size("proposed") > 0).select("row", "base", F.explode("proposed").alias("c")).select("row", "base", "c.*")
         .withColumns(features)
         .withColumns({
-            "label": F.exists("base", lambda b: (b["start"] == F.col("start")) & (b["end"] == F.col("end")) & (b["kind"] == F.col("kind"))).cast("double"),
+            "label": (
+                F.exists("base", lambda b: (b["start"] == F.col("start")) & (b["end"] == F.col("end")) & (b["kind"] == F.col("kind")))
+                | F.expr("checked = 1 AND (shaped = 1 OR own_cue = 1) AND after_alnum = 0 AND before_alnum = 0")
+            ).cast("double"),
             "free": ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start"))),
             # equal spans in equal surroundings have one place
             "lot": F.xxhash64("hit", "before", "after"),
         })
         .select("row", "start", "kind", "end", "label", "free", "lot", *features)
     )
-    names = ["lot", "start", "kind", "end", "label", *features]
-    sample = staged(candidates.select(*names).orderBy(*names).limit(fit_rows).coalesce(1))
-    to_vector = VectorAssembler(inputCols=list(features), outputCol="features")
-    learning, judging = sample.where("lot % 2 = 0"), sample.where("lot % 2 <> 0")
+    # distinct candidates, as many of every kind and label
+    key = ["kind", "label", "lot"]
+    lots = staged(candidates.select(*key).distinct())
+    share = fit_rows // (2 * len(KINDS))
+    parts = [lots.where((F.col("kind") == k) & (F.col("label") == v)).orderBy("lot").limit(share) for k in range(len(KINDS)) for v in (0.0, 1.0)]
+    fitted = staged(functools.reduce(DataFrame.unionByName, parts))
+    sample = staged(
+        candidates.select(*key, *features).join(F.broadcast(fitted), key).dropDuplicates(key)
+        .repartition(1).sortWithinPartitions(*key)
+    )
+    labels = {r.label for r in sample.select("label").distinct().collect()}
     added = None
-    if learning.select("label").distinct().count() == 2:
-        trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=1, labelCol="label").fit(to_vector.transform(learning).select("features", "label"))
-        scored = lambda part: trees.transform(to_vector.transform(part)).withColumn("p", vector_to_array("probability")[1])
-        # lowest score of each kind from which the wanted share are base spans
-        by_score = scored(judging).groupBy("kind", "p").agg(F.sum("label").alias("good"), F.count("*").alias("all")).orderBy("kind", F.desc("p")).collect()
-        least: dict[int, float] = {}
-        kind, good, every = None, 0.0, 0
-        for r in by_score:  # at most fit_rows rows
+    if 1.0 in labels:
+        if 0.0 in labels:
+            to_vector = VectorAssembler(inputCols=list(features), outputCol="features")
+            trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=1, labelCol="label").fit(to_vector.transform(sample).select("features", "label"))
+            rated = trees.transform(to_vector.transform(candidates)).withColumn("p", F.floor(vector_to_array("probability")[1] * STEPS).cast("int"))
+        else:
+            rated = candidates.withColumn("p", F.lit(STEPS))
+        scored = staged(rated.select("row", "start", "kind", "end", "free", "label", "p"))
+        # lowest score of each kind from which the wanted share is good, of all and of the free ones
+        by_score = scored.groupBy("kind", "p").agg(
+            F.sum("label").alias("good"), F.count("*").alias("all"),
+            F.sum(F.col("label") * F.col("free").cast("int")).alias("free_good"), F.count_if("free").alias("free"),
+        ).orderBy("kind", F.desc("p")).collect()
+        least: dict[int, int] = {}
+        kind, sums = None, [0.0] * 4
+        for r in by_score:  # at most STEPS rows of a kind
             if r.kind != kind:
-                kind, good, every = r.kind, 0.0, 0
-            good, every = good + r.good, every + r["all"]
-            if good >= precision * every:
+                kind, sums = r.kind, [0.0] * 4
+            sums = [a + b for a, b in zip(sums, (r.good, r["all"], r.free_good, r.free))]
+            if sums[0] >= precision * sums[1] and sums[2] >= precision * sums[3]:
                 least[kind] = r.p
         if least:
             limit = F.coalesce(*[F.when(F.col("kind") == k, F.lit(p)) for k, p in least.items()])
-            chosen = scored(candidates.where("free")).where(F.col("p") >= limit).select("row", "start", "kind", "end", "p")
+            chosen = scored.where("free").where(F.col("p") >= limit).select("row", "start", "kind", "end", "p")
             better = chosen.select(F.col("row").alias("r"), F.struct("p", -F.col("start"), -F.col("kind"), "end").alias("by"), F.col("start").alias("s"), F.col("end").alias("e"))
             worse = chosen.withColumn("own", F.struct("p", -F.col("start"), -F.col("kind"), "end")).join(
                 better, (F.col("row") == F.col("r")) & (F.col("s") < F.col("end")) & (F.col("e") > F.col("start")) & (F.col("by") > F.col("own")), "left_anti")
