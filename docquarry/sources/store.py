@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docquarry import constants as C
 from docquarry import schemas
 from docquarry.functions import code, paths
 
@@ -47,6 +48,20 @@ def header_or_fallback(header: Column, path: Column, kind: Column) -> Column:
     )
 
 
+def item_key(path: Column, stored: Column) -> Column:
+    """The stored path; with a hash of the given one where the two differ.
+
+    Cutting and tidying make equal paths of different ones, so the hash keeps
+    their items apart.  The key is not longer than a path may be.
+    """
+    given = F.coalesce(F.trim(path), F.lit(""))
+    digest = F.concat(F.lit("_"), F.substring(F.sha2(given, 256), 1, C.KEY_HASH_LENGTH))
+    room = F.substring(stored, 1, C.MAX_PATH_LENGTH - C.KEY_HASH_LENGTH - 1)
+    return F.when((given == "") | (given == stored), stored).otherwise(
+        F.concat(F.regexp_replace(room, ":+$", ""), digest)
+    )
+
+
 def prepare_items(chunks: DataFrame) -> DataFrame:
     """Rows ready for the item table: valid paths, headers, text never null."""
     checked = chunks.withColumn(
@@ -56,7 +71,7 @@ def prepare_items(chunks: DataFrame) -> DataFrame:
     return checked.withColumns(
         {
             "header": header_or_fallback(F.col("header"), F.col("item_path"), F.col("item_type")),
-            "item_path": F.col("_path.path"),
+            "item_path": item_key(F.col("item_path"), F.col("_path.path")),
             "content": F.coalesce("doc", F.lit("")),
             "visibility": F.coalesce("visibility", F.lit("public")),
             "deprecated": F.coalesce("deprecated", F.lit(False)),
