@@ -21,6 +21,9 @@ from docquarry import constants as C
 from docquarry.plans.spread import spread
 
 ROW = "crate string, item_path string, header string, item_type string, signature string, content string, visibility string"
+MACRO_ROW = f"{ROW}, definition string, arms array<string>"
+#: a fragment of a macro pattern: its name and kind
+FRAGMENT = r"\$(\w+)\s*:\s*(\w+)"
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -148,11 +151,14 @@ def module_docs(files: DataFrame) -> DataFrame:
 
 _EXPORT = re.compile(r"^#\[macro_export(?:\([^)]*\))?\]")
 _RULES = re.compile(r"macro_rules!\s+(\w+)")
-_PUB_MACRO = re.compile(r"pub\s+macro\s+(\w+)\s*(?:\([^)]*\))?\s*\{")
+_PUB_MACRO = re.compile(r"pub\s+macro\s+(\w+)\s*(?=[({])")
 _PROC = re.compile(
     r"#\[(proc_macro(?:_attribute)?|proc_macro_derive\((\w+)(?:,\s*attributes\([^)]*\))?\))\]\s*\n\s*pub\s+fn\s+(\w+)"
 )
 _DOC = re.compile(C.DOC_LINE)
+_TOKEN = re.compile(
+    r'''\br(#*)".*?"\1|"(?:[^"\\]|\\.)*"|//[^\n]*|/\*.*?\*/|'(?:[^'\\\n]|\\[^\n][^'\n]*)'|[(\[{]|[)\]}]''', re.DOTALL
+)
 
 
 def _docs_above(lines: list[str], at: int) -> str:
@@ -167,15 +173,32 @@ def _docs_above(lines: list[str], at: int) -> str:
     return "\n".join(reversed(out))
 
 
-def _body_end(lines: list[str], at: int) -> int:
-    """Last line of the braces that open at or after line ``at``."""
-    depth, opened = 0, False
-    for i in range(at, len(lines)):
-        opened = opened or "{" in lines[i]
-        depth += lines[i].count("{") - lines[i].count("}")
-        if opened and depth <= 0:
-            return i
-    return at
+def _body(text: str, at: int) -> tuple[int, list[str]]:
+    """End of the brackets that open at or after ``at``, and the groups right inside them.
+
+    Brackets in strings, characters and comments do not count, and groups come
+    without strings and comments.  Brackets that never close end at ``at``.
+    """
+    depth, groups, parts, last = 0, [], [], at
+    for token in _TOKEN.finditer(text, at):
+        mark = token.group(0)
+        if depth >= 2:
+            parts.append(text[last : token.start()])
+        last = token.end()
+        if mark in "([{":
+            parts = [*parts, mark] if depth >= 2 else []
+            depth += 1
+        elif mark in ")]}":
+            depth -= 1
+            if depth >= 2:
+                parts.append(mark)
+            elif depth == 1:
+                groups.append("".join(parts))
+            elif depth <= 0:
+                return token.end(), groups
+        elif depth >= 2:
+            parts.append(" ")
+    return at, []
 
 
 def _shorten(text: str, longest: int) -> str:
@@ -184,15 +207,21 @@ def _shorten(text: str, longest: int) -> str:
 
 
 def find_macros(text: str) -> list[dict]:
-    """Macros of one file: name, kind, signature, docs and visibility."""
+    """Macros of one file: name, kind, signature, docs, visibility, definition and arms.
+
+    The signature is for display and shortened.  The definition is the whole
+    source of the macro, and ``arms`` has the whole matcher of each arm.
+    """
     lines, out, at = text.split("\n"), [], 0
+    starts = [0, *(m.end() for m in re.finditer("\n", text))]
     while at < len(lines):
-        if "macro" not in lines[at]:
+        if "macro" not in lines[at] or lines[at].lstrip().startswith("//"):
             at += 1
             continue
         rules = _RULES.search(lines[at])
         if rules:
-            end = _body_end(lines, at)
+            stop, groups = _body(text, starts[at] + rules.end())
+            end = at + text.count("\n", starts[at], stop)
             exported = any(_EXPORT.match(line) for line in lines[max(0, at - 4) : at])
             shown = [line.strip() for line in lines[at : min(end, at + 10) + 1]]
             if end > at + 10:
@@ -204,13 +233,21 @@ def find_macros(text: str) -> list[dict]:
                     "signature": _shorten(" ".join(shown), 300),
                     "docs": _docs_above(lines, at),
                     "visibility": "public" if exported else "crate",
+                    "definition": text[starts[at] + rules.start() : stop],
+                    "arms": groups[::2],
                 }
             )
             at = end
         public = _PUB_MACRO.search(lines[at])
         if public and not rules:
-            end = min(_body_end(lines, at), at + 19)
-            body = " ".join(line.strip() for line in lines[at : end + 1])
+            opened = starts[at] + public.end()
+            stop, groups = _body(text, opened)
+            arms = groups[::2]
+            if text[opened] == "(":  # one arm beside the name, not several in the braces
+                arms = [_TOKEN.sub(lambda t: t.group(0) if t.group(0) in "([{)]}" else " ", text[opened + 1 : stop - 1])]
+                stop, _ = _body(text, stop)
+            end = at + text.count("\n", starts[at], stop)
+            body = " ".join(line.strip() for line in lines[at : min(end, at + 19) + 1])
             out.append(
                 {
                     "name": public.group(1),
@@ -218,8 +255,11 @@ def find_macros(text: str) -> list[dict]:
                     "signature": _shorten(body, 200),
                     "docs": _docs_above(lines, at),
                     "visibility": "public",
+                    "definition": text[starts[at] + public.start() : stop],
+                    "arms": arms,
                 }
             )
+            at = max(at, end)
         at += 1
     for found in _PROC.finditer(text):
         tag, derived, function = found.groups()
@@ -230,6 +270,8 @@ def find_macros(text: str) -> list[dict]:
                 "signature": found.group(0).replace("\n", " "),
                 "docs": _docs_above(lines, text[: found.start()].count("\n")),
                 "visibility": "public",
+                "definition": found.group(0),
+                "arms": [],
                 "root": True,
             }
         )
@@ -242,19 +284,20 @@ def macro_parameters(matcher: str) -> list[tuple[str, str]]:
 
 
 def macro_arms(macros: DataFrame) -> DataFrame:
-    """One row per fragment of every arm of a ``macro_rules`` signature."""
+    """One row per fragment of every arm of a macro, from the arm's whole matcher."""
     kinds = F.create_map(*[F.lit(x) for pair in C.MACRO_FRAGMENTS.items() for x in pair])
-    names = F.regexp_extract_all("signature", F.lit(r"\$(\w+):(\w+)"), F.lit(1))
-    specs = F.regexp_extract_all("signature", F.lit(r"\$(\w+):(\w+)"), F.lit(2))
+    single = macros.select("item_path", F.explode("arms").alias("arm"))
+    names = F.regexp_extract_all("arm", F.lit(FRAGMENT), F.lit(1))
+    specs = F.regexp_extract_all("arm", F.lit(FRAGMENT), F.lit(2))
     pairs = F.arrays_zip(names.alias("name"), specs.alias("spec"))
-    rows = macros.select("item_path", F.inline(pairs).alias("name", "spec"))
+    rows = single.select("item_path", F.inline(pairs).alias("name", "spec"))
     return rows.select(
         "item_path", "name", F.coalesce(F.try_element_at(kinds, F.col("spec")), F.col("spec")).alias("type")
     )
 
 
 def macros(files: DataFrame) -> DataFrame:
-    """Macro items of all files that contain a macro definition."""
+    """Macro items of all files that contain a macro definition, with their whole source and arms."""
     has_macro = F.col("text").rlike(r"macro_rules!|#\[proc_macro|pub\s+macro\s")
     rows = files.where(has_macro).select(
         "crate", module_path(F.col("crate"), F.col("file")).alias("module"), "text"
@@ -271,15 +314,17 @@ def macros(files: DataFrame) -> DataFrame:
                     m["signature"],
                     m["docs"],
                     m["visibility"],
+                    m["definition"],
+                    m["arms"],
                 )
                 for crate, module, text in zip(batch["crate"], batch["module"], batch["text"])
                 for m in find_macros(text)
             ]
-            yield pd.DataFrame(found, columns=[c.split()[0] for c in ROW.split(", ")])
+            yield pd.DataFrame(found, columns=[c.split()[0] for c in MACRO_ROW.split(", ")])
 
-    return rows.mapInPandas(extract, ROW)
+    return rows.mapInPandas(extract, MACRO_ROW)
 
 
 def source_items(files: DataFrame) -> DataFrame:
     """Everything found in source files, in the shape of the item table."""
-    return module_docs(files).unionByName(macros(files)).unionByName(declarations(files))
+    return module_docs(files).unionByName(macros(files).drop("definition", "arms")).unionByName(declarations(files))
