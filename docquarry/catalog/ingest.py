@@ -17,6 +17,7 @@ from docquarry.plans.spread import spread
 from docquarry.session import shared_dir
 from docquarry.sources import archives, cargo, embedding, rust_source, rustdoc, store
 from docquarry.streaming import events as streams
+from docquarry.streaming import stateful
 
 # %1$s is the document number, %2$s its text as JSON
 RUSTDOC = """{"index": {
@@ -562,10 +563,10 @@ def embed_texts(spark, sf_dir):
     FROM events GROUP BY 1, 2""",
 )
 def str1_stream_rates(spark, sf_dir):
-    stream = streams.windowed_rates(streams.read_events(spark, sf_dir, "events.parquet"), "1 hour")
-    out = streams.run_available(stream)
-    rows = spark.read.schema("window_start timestamp, event_type string, n bigint, rate double").parquet(out)
-    return rows.select(
+    base = stateful.stream_folder(spark, "rates")
+    windows = streams.window_table(spark, f"{base}/table")
+    stateful.feed(streams.windowed_rates(streams.read_events(spark, sf_dir, "events.parquet"), "1 hour"), windows, f"{base}/progress", "update")
+    return windows.read().select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n",
         F.round("rate", 8).alias("rate"),
     )
@@ -573,8 +574,11 @@ def str1_stream_rates(spark, sf_dir):
 
 @query("str2_stream_counters", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def str2_stream_counters(spark, sf_dir):
-    out = streams.run_available(streams.counters(streams.read_events(spark, sf_dir, "events.parquet")))
-    return spark.read.schema("event_type string, n bigint").parquet(out)
+    base = stateful.stream_folder(spark, "counters")
+    counted = streams.read_events(spark, sf_dir, "events.parquet").select("event_type", F.lit(1).cast("bigint").alias("n"))
+    table_ = stateful.counter_table(spark, f"{base}/table")
+    stateful.feed(counted, table_, f"{base}/progress")
+    return table_.read()
 
 
 @query(
@@ -582,9 +586,73 @@ def str2_stream_counters(spark, sf_dir):
     """SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 50""",
 )
 def str2_stream_history(spark, sf_dir):
-    events = streams.read_events(spark, sf_dir, "events.parquet")
-    path = streams.keep_history(events, 50)
-    return spark.read.schema("event_type string, event_id bigint").parquet(path)
+    progress = stateful.stream_folder(spark, "history")
+    stateful.run_history(streams.read_events(spark, sf_dir, "events.parquet"), 50, progress)
+    return stateful.history(spark, progress, 50).select("event_type", "event_id")
+
+
+@query("str2_stream_lifetime", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def str2_stream_lifetime(spark, sf_dir):
+    progress = stateful.stream_folder(spark, "history")
+    stateful.run_history(streams.read_events(spark, sf_dir, "events.parquet"), 50, progress)
+    return stateful.lifetime_counters(spark, progress)
+
+
+def _status_log(spark, sf_dir):
+    """The reports of ``status_log``, as a stream."""
+    events, number = streams.read_events(spark, sf_dir, "events.parquet"), F.col("event_id")
+    status = F.create_map(*[F.lit(v) for v in ("view", "started", "click", "downloading", "signup", "processing", "purchase", "completed")])
+    return events.select(
+        number.alias("seq"), F.col("user_id").alias("crate_id"), F.concat(F.lit("crate_"), "user_id").alias("crate"), F.col("ts").alias("updated_at"),
+        F.coalesce(F.try_element_at(status, F.col("event_type")), F.lit("failed")).alias("status"),
+        F.when(F.col("event_type") == "error", F.concat(F.lit("failed at "), number)).alias("error_message"),
+        F.when(number % 3 != 0, number % 97).alias("items_processed"),
+        F.when(number % 5 == 0, 100 + number % 50).alias("total_items"),
+        F.when(number % 7 == 0, "rustdoc_json").when(number % 7 == 1, "source_extraction").alias("ingestion_tier"),
+    )
+
+
+@query(
+    "str3_stream_stalled",
+    with_tables(
+        "status_log",
+        """WITH last AS (SELECT crate_id, arg_max(crate, (updated_at, seq)) AS crate, arg_max(status, (updated_at, seq)) AS status, max(updated_at) AS updated_at,
+          arg_max(items_processed, (updated_at, seq)) FILTER (WHERE items_processed IS NOT NULL) AS items_processed FROM status_log GROUP BY crate_id)
+        SELECT crate_id, crate, status, strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS updated_at, items_processed FROM last
+        WHERE status IN ('started', 'downloading', 'processing') AND updated_at < (SELECT max(updated_at) FROM status_log) - INTERVAL 600 SECONDS""",
+    ),
+)
+def str3_stream_stalled(spark, sf_dir):
+    base = stateful.stream_folder(spark, "stalled")
+    runs = stateful.stalled_table(spark, f"{base}/table")
+    stateful.feed(stateful.quiet_runs(_status_log(spark, sf_dir)), runs, f"{base}/progress", "update")
+    status = stateful.status_table(spark, f"{base}/status")
+    stateful.feed(stateful.status_parts(_status_log(spark, sf_dir)), status, f"{base}/status-progress")
+    return stateful.stalled_runs(runs, status).select(
+        "crate_id", "crate", "status", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"), "items_processed"
+    )
+
+
+@query(
+    "str9_stream_upsert",
+    with_tables(
+        "status_log",
+        """SELECT crate_id, crate, arg_max(status, (updated_at, seq)) AS status, strftime(min(updated_at), '%Y-%m-%d %H:%M:%S') AS started_at,
+          strftime(max(updated_at) FILTER (WHERE status = 'completed'), '%Y-%m-%d %H:%M:%S') AS completed_at,
+          arg_max(items_processed, (updated_at, seq)) FILTER (WHERE items_processed IS NOT NULL) AS items_processed,
+          arg_max(total_items, (updated_at, seq)) FILTER (WHERE total_items IS NOT NULL) AS total_items,
+          arg_max(ingestion_tier, (updated_at, seq)) FILTER (WHERE ingestion_tier IS NOT NULL) AS ingestion_tier
+        FROM status_log GROUP BY crate_id, crate""",
+    ),
+)
+def str9_stream_upsert(spark, sf_dir):
+    base = stateful.stream_folder(spark, "status")
+    runs = stateful.status_table(spark, f"{base}/table")
+    stateful.feed(stateful.status_parts(_status_log(spark, sf_dir)), runs, f"{base}/progress")
+    return stateful.current_status(runs).select(
+        "crate_id", "crate", "status", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("started_at", "completed_at")],
+        "items_processed", "total_items", "ingestion_tier",
+    )
 
 
 @query(
@@ -603,8 +671,9 @@ def str9_stream_status(spark, sf_dir):
         *[F.lit(None).cast(t).alias(n) for n, t in (
             ("error_message", "string"), ("items_processed", "bigint"), ("total_items", "bigint"), ("ingestion_tier", "string"))],
     )
-    out = streams.run_available(streams.status(log))
-    rows = spark.read.schema("crate_id bigint, status string, completed_at timestamp").parquet(out)
+    base = stateful.stream_folder(spark, "status")
+    runs = stateful.status_table(spark, f"{base}/table")
+    stateful.feed(stateful.status_parts(log), runs, f"{base}/progress")
     status = F.when(F.col("status") == "completed", "purchase").otherwise(F.col("status"))
-    return rows.select("crate_id", status.alias("status"), F.col("completed_at").isNotNull().alias("was_completed"))
+    return stateful.current_status(runs).select("crate_id", status.alias("status"), F.col("completed_at").isNotNull().alias("was_completed"))
 

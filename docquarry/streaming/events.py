@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.operators import metrics
-from docquarry.operators.topn import first_per_group
 from docquarry.session import shared_dir
+from docquarry.streaming import stateful
+from docquarry.streaming.merged import MergedTable
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -34,6 +35,16 @@ def windowed_rates(events: DataFrame, window: str = "60 seconds", late: str = "1
     )
 
 
+def window_table(spark: SparkSession, path: str) -> MergedTable:
+    """Windows as ``windowed_rates`` updates them; a count only grows, so the largest one holds.
+
+    Fed in ``update`` mode: the stream forgets a window once it is behind the
+    watermark, the table keeps it.
+    """
+    schema = spark.createDataFrame([], "window_start timestamp, event_type string, n bigint, rate double").schema
+    return MergedTable(spark, path, ["window_start", "event_type"], {"n": F.max, "rate": F.max}, schema)
+
+
 def counters(events: DataFrame) -> DataFrame:
     """Lifetime counters per type."""
     return events.groupBy("event_type").agg(F.count("*").alias("n"))
@@ -68,35 +79,16 @@ def run_available(stream: DataFrame, out: str | None = None, mode: str = "comple
 
 
 def keep_history(events: DataFrame, per_type: int, out: str | None = None) -> str:
-    """Keep the last events of every type in a table that each batch renews.
+    """Keep the last events of every type, and write them to a folder when all that is there has been read.
 
-    A batch is cut to its own last events first, then merged with the table, so
-    a frequent type costs no more than a rare one.  Versions of the table
-    alternate between two folders by batch number: a batch that is run again
-    after a failure reads the version before it and writes the same one.
+    They are kept in the state store, so a batch costs what it brings and no table
+    is rewritten between batches; see ``stateful.track_history``.  A later call
+    with the same ``out`` goes on where this one stopped.
     """
     spark = events.sparkSession
-    base = out or f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
-    order = [F.desc("ts"), F.desc("event_id")]
-
-    def version(epoch: int) -> str:
-        return f"{base}/v{epoch % 2}"
-
-    done: list[int] = []
-
-    def merge(batch: DataFrame, epoch: int) -> None:
-        rows = first_per_group(batch, ["event_type"], order, per_type)
-        if epoch > 0:
-            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(version(epoch - 1)))
-        first_per_group(rows, ["event_type"], order, per_type).write.mode("overwrite").parquet(version(epoch))
-        done.append(epoch)
-
-    query = (
-        events.writeStream.foreachBatch(merge)
-        .option("checkpointLocation", f"{base}/progress")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    base = out or stateful.stream_folder(spark, "history")
+    query = stateful.run_history(events, per_type, f"{base}/progress")
     last = query.lastProgress
-    return version(done[-1] if done else last["batchId"])
+    path = f"{base}/kept-{last['batchId'] if last else uuid.uuid4().hex}"
+    stateful.history(spark, f"{base}/progress", per_type).write.mode("overwrite").parquet(path)
+    return path
