@@ -187,7 +187,7 @@ class QuietRuns(StatefulProcessor):
 STALLED_SCHEMA = "crate_id bigint, report struct<micros:bigint,seq:bigint,stalled:boolean,crate:string,status:string>"
 
 
-def quiet_runs(log: DataFrame, after_seconds: int = C.STALL_SECONDS, late: str | None = "0 seconds", shards: int = SHARDS) -> DataFrame:
+def quiet_runs(log: DataFrame, after_seconds: int = C.STALL_SECONDS, late: str | None = "0 seconds", shards: int = 4) -> DataFrame:
     """A stream of (crate_id, report): the last report of a run as it changes, and again, marked, when it has stalled.
 
     With ``late`` the clock is the watermark, the largest report time less that
