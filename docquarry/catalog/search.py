@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docquarry.catalog.corpus import derived, query_vector, table, with_tables
 from docquarry.catalog.registry import query
 from docquarry.functions import text, vectors
-from docquarry.operators import search
+from docquarry.operators import pivots, search
 from docquarry.plans.spread import spread
+from docquarry.session import shared_dir
 
 DISTANCE = """sqrt(list_sum(list_transform(range(1, len({t}.embedding) + 1),
   lambda j: pow(CAST({t}.embedding[j] AS DOUBLE) - CAST(q.embedding[j] AS DOUBLE), 2))))"""
@@ -35,6 +38,18 @@ def knn1_nearest(spark, sf_dir):
     return near.select(F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"))
 
 
+@query(
+    "knn1_pruned",
+    f"""SELECT e.vec_id AS vec_id, round({DISTANCE.format(t='e')}, 6) AS distance
+    FROM embeddings e, {QUERY} ORDER BY {DISTANCE.format(t='e')}, vec_id LIMIT 10""",
+)
+def knn1_pruned(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
+    layout = pivots.PivotLayout.write(rows, f"{shared_dir(spark)}/pivots-{uuid.uuid4().hex}")
+    near = layout.nearest(query_vector(spark, sf_dir), 10)
+    return near.select(F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"))
+
+
 FILTERS = dict(item_type="function", crate="en", min_doc_length=200)
 FILTER_SQL = "item_type = 'function' AND starts_with(item_path, 'en::') AND length(content) >= 200"
 
