@@ -339,6 +339,23 @@ def grf4_has_cycles(spark, sf_dir):
     )
 
 
+@query(
+    "grf4_components",
+    with_tables(
+        "edge_numbers",
+        """WITH e AS (SELECT DISTINCT CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst FROM edge_numbers),
+        reach AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM reach r JOIN e ON e.src = r.dst)
+        SELECT a.src AS node, min(a.dst) AS component FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src""",
+        recursive=True,
+    ),
+)
+def grf4_components(spark, sf_dir):
+    edges = derived(spark, sf_dir, "edge_numbers")
+    return graph.strong_components(
+        edges.select(F.col("src").cast("string").alias("source"), F.col("dst").cast("string").alias("target"))
+    )
+
+
 @query(
     "grf5_hierarchy",
     with_tables(

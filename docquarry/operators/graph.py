@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.functions import paths
+from docquarry.operators.cycles import cyclic_core, has_cycles, strong_components  # noqa: F401
 from docquarry.operators.lookup import first_edges
 from docquarry.session import durable, staged
 
@@ -162,36 +163,6 @@ def dependency_graph(
     )
 
 
-def _peel(edges: DataFrame) -> DataFrame:
-    """Edges whose source has a way in and whose target has a way out."""
-    has_in = edges.select(F.col("target").alias("source")).distinct()
-    has_out = edges.select(F.col("source").alias("target")).distinct()
-    return edges.join(has_in, "source", "left_semi").join(has_out, "target", "left_semi")
-
-
-def cyclic_core(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """Edges left after nodes without a way in or a way out are peeled off.
-
-    Something is left exactly when the graph has a cycle.  A peel is two semi
-    joins on distinct node lists, whatever the degree of a node; two peels share
-    one checkpoint.
-    """
-    rest = durable(edges.select("source", "target").distinct())
-    size = rest.count()
-    for _ in range(max_rounds):
-        rest = durable(_peel(_peel(rest)))
-        left = rest.count()
-        if left == size or left == 0:
-            return rest
-        size = left
-    raise RuntimeError(f"the graph has chains longer than {2 * max_rounds}")
-
-
-def has_cycles(edges: DataFrame) -> DataFrame:
-    """One row: does the graph have a directed cycle, self-loops included?"""
-    return cyclic_core(edges).agg((F.count("*") > 0).alias("has_cycles"))
-
-
 def hierarchy(edges: DataFrame, root: str, max_depth: int = 3) -> DataFrame:
     """The graph below ``root``, each node opened at its first, shallowest visit.
 
