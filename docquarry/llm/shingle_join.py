@@ -22,8 +22,8 @@ BITMAP_LONGS = 16
 #: sets beyond this size have a second bitmap of two to four bits a shingle, as the first one is full
 WIDE_FROM = BITMAP_LONGS * 32
 #: shingles that so many documents of one batch share are ordered last, the most frequent ones at most
-COMMON_IN_BATCH, COMMON = 4, 1 << 17
-BATCH_CHARS = 6_000_000
+COMMON_IN_BATCH, COMMON = 4, 1 << 15
+BATCH_CHARS = 1_000_000
 #: ids of documents under exact comparison that are broadcast, 8 bytes each
 BROADCAST_IDS = 1_000_000
 #: texts are hashed in blocks of about so many bytes
@@ -336,7 +336,8 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         named.withColumn("low", F.min("root").over(same)).withColumn("high", F.max("root").over(same))
         .where("low <> high").drop("low", "high").distinct()
     )
-    one = open_.select("shingle", F.col("node").alias("a"), "n", F.col("place").alias("i"), F.col("root").alias("root_a"),
+    # of a link, the smaller set has the first shared shingle in the first ninth of its order
+    one = open_.where("9L * place <= n").select("shingle", F.col("node").alias("a"), "n", F.col("place").alias("i"), F.col("root").alias("root_a"),
                        F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
     other = open_.select("shingle", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("j"), F.col("root").alias("root_b"), "band")
     # at the first shingle they share, what follows bounds the overlap
