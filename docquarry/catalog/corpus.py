@@ -34,13 +34,13 @@ ID = "CAST(d.doc_id AS STRING)"
 
 SQL: dict[str, str] = {}
 
-# documents with a vector are items; labels give visibility and deprecation
+# every document is an item, some have a vector; labels give visibility and deprecation
 SQL["items"] = f"""
 SELECT d.doc_id AS id, d.lang AS crate, d.source AS module,
   d.lang || '::' || d.source AS parent_id,
   d.lang || '::' || d.source || '::doc_' || {ID} AS item_path,
   substr(d.text, 1, 60) AS header, d.text AS content, e.embedding AS embedding,
-  CASE e.label % 5 WHEN 0 THEN 'function' WHEN 1 THEN 'struct' WHEN 2 THEN 'trait'
+  CASE coalesce(e.label, d.doc_id) % 5 WHEN 0 THEN 'function' WHEN 1 THEN 'struct' WHEN 2 THEN 'trait'
     WHEN 3 THEN 'enum' ELSE 'module' END AS item_type,
   CASE d.doc_id % 6
     WHEN 0 THEN 'pub fn doc_' || {ID} || '(a: u32, b: Vec<String>) -> Result<Vec<u8>, E' || d.source || '>'
@@ -59,7 +59,7 @@ SELECT d.doc_id AS id, d.lang AS crate, d.source AS module,
   CASE WHEN l.toxic = 1 THEN TRUE WHEN l.toxic = 0 THEN FALSE END AS deprecated,
   CASE WHEN l.toxic = 1 THEN 'unstable' ELSE 'stable' END AS stability_level,
   CASE WHEN d.doc_id % 6 = 2 THEN FALSE ELSE TRUE END AS is_safe
-FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id
+FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id
 """
 
 # every document as a plain item, without vector

@@ -16,7 +16,7 @@ from docquarry.session import shared_dir
 DISTANCE = """sqrt(list_sum(list_transform(range(1, len({t}.embedding) + 1),
   lambda j: pow(CAST({t}.embedding[j] AS DOUBLE) - CAST(q.embedding[j] AS DOUBLE), 2))))"""
 QUERY = "(SELECT embedding FROM embeddings WHERE vec_id = 0) q"
-MEASURED = f"measured AS MATERIALIZED (SELECT i.*, {DISTANCE.format(t='i')} AS distance FROM items i, {QUERY})"
+MEASURED = f"measured AS MATERIALIZED (SELECT i.*, {DISTANCE.format(t='i')} AS distance FROM items i, {QUERY} WHERE i.embedding IS NOT NULL)"
 SCORE = """greatest(0.0, least(1.0, 0.6 * (1 - distance) + 0.15 * ((1 - distance) * CASE item_type
     WHEN 'function' THEN 1.2 WHEN 'trait' THEN 1.15 WHEN 'struct' THEN 1.1 WHEN 'trait_impl' THEN 1.1
     WHEN 'module' THEN 0.9 ELSE 1.0 END) + 0.1 * least(1.0, coalesce(length(content), 0) / 1000.0)
@@ -124,7 +124,7 @@ def rnk1_composite_score(spark, sf_dir):
     ),
 )
 def rnk1_score_all_items(spark, sf_dir):
-    items = derived(spark, sf_dir, "items")
+    items = derived(spark, sf_dir, "items").where("embedding IS NOT NULL")
     distance = vectors.l2_distance("embedding", query_vector(spark, sf_dir))
     scored = items.withColumn("score", search.composite_score(distance))
     return scored.groupBy("item_type").agg(
