@@ -597,6 +597,15 @@ def agg13_event_stats(spark, sf_dir):
     return metrics.event_stats(_events(spark, sf_dir))
 
 
+@query(
+    "agg13_all_events",
+    """WITH d AS (SELECT event_type, count(*) AS events, list_sort(list(value) FILTER (WHERE value <> 0)) AS v FROM events GROUP BY event_type)
+    SELECT event_type, events, round(list_sum(v) / len(v), 3) AS avg_duration, round(v[CAST(floor(len(v) * 0.95) AS BIGINT) + 1], 3) AS p95_duration FROM d""",
+)
+def agg13_all_events(spark, sf_dir):
+    return metrics.all_event_stats(_events(spark, sf_dir), ["event_type"])
+
+
 @query("agg13_counters", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def agg13_counters(spark, sf_dir):
     return metrics.counters(_events(spark, sf_dir))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docquarry import constants as C
 from docquarry.functions import semver
-from docquarry.operators.topn import running_total
+from docquarry.operators.ranks import prefix_sums
 
 
 def list_versions(published: DataFrame) -> DataFrame:
@@ -124,18 +124,14 @@ def with_downloads(files: DataFrame, popularity: DataFrame) -> DataFrame:
 def evictions(files: DataFrame, popularity: DataFrame, limit_bytes: int = C.CACHE_LIMIT_BYTES) -> DataFrame:
     """Stored crates to remove until the rest fits: unpopular and old ones first.
 
-    ``files`` has ``crate``, ``size_bytes``, ``mtime``.  The running size is
-    built from bucket sums, so no task sorts the whole table.
+    ``files`` has ``crate``, ``size_bytes``, ``mtime``.  No task sorts the whole
+    table, and crates with one download count are split among tasks.
     """
     ranked = with_downloads(files, popularity).withColumn(
         "priority",
         F.when(F.col("downloads") > 0, F.log10(F.col("downloads") + 1)).otherwise(F.lit(0.0)),
     )
-    bucket = F.struct(
-        F.floor(F.col("priority") * 1000).alias("p"),
-        F.when(F.col("priority") == 0, F.floor(F.col("mtime") / 1000)).otherwise(0).alias("t"),
-    )
-    running = running_total(ranked, "size_bytes", ["priority", "mtime", "crate"], bucket, "removed_bytes")
+    running = prefix_sums(ranked, "size_bytes", ["priority", "mtime", "crate"], "removed_bytes")
     excess = files.agg(F.sum("size_bytes")).scalar() - limit_bytes
     return running.where(F.col("removed_bytes") - F.col("size_bytes") < excess)
 
