@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from docquarry.catalog.corpus import derived, query_vector, table, with_tables
 from docquarry.catalog.registry import query
 from docquarry.functions import text, vectors
-from docquarry.operators import pivots, search
+from docquarry.operators import pivots, search, trigrams
 from docquarry.plans.spread import spread
 from docquarry.session import shared_dir
 
@@ -283,6 +283,21 @@ def rex1_regex_search(spark, sf_dir):
     return out.select("id", "item_path", "score")
 
 
+@query(
+    "rex1_trigram_search",
+    with_tables(
+        "items",
+        "WITH "
+        + REGEX_HITS.format(p="src1?7::doc_[0-9]*7|stupid")
+        + "SELECT id, item_path, score FROM hits ORDER BY score DESC, id LIMIT 20",
+    ),
+)
+def rex1_trigram_search(spark, sf_dir):
+    items = derived(spark, sf_dir, "items")
+    index = trigrams.TrigramIndex.write(items, f"{shared_dir(spark)}/trigrams-{uuid.uuid4().hex}")
+    return index.search(items, "src1?7::doc_[0-9]*7|stupid", 20).select("id", "item_path", "score")
+
+
 @query(
     "rex1_first_hits",
     with_tables(
