@@ -202,7 +202,7 @@ def trace_reexports(reexports: DataFrame, max_hops: int = 10) -> DataFrame:
 
     Chains are doubled instead of walked: after joining the chains of length
     1, 2, 4 and 8 with themselves, every alias knows its next sixteen steps from
-    four joins with one row per alias.  The chain is then cut at the first node
+    four joins with one row per alias, each of a table that was written before.  The chain is then cut at the first node
     seen before and at ``max_hops``; ``original_source`` is empty for a cycle or
     a chain that is still going after the last hop.
     """
@@ -211,6 +211,7 @@ def trace_reexports(reexports: DataFrame, max_hops: int = 10) -> DataFrame:
     )
     length = 1
     while length <= max_hops:
+        chains = staged(chains)
         ends = chains.select("crate", F.col("node").alias("_end"), F.col("steps").alias("_more"))
         chains = (
             chains.withColumn("_end", F.element_at("steps", -1))
