@@ -8,13 +8,17 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from docquarry.catalog.corpus import derived, table, with_tables
 from docquarry.catalog.registry import query
 from docquarry.functions import signatures
+from docquarry.operators import search
+from docquarry.plans.library import Library
 from docquarry.plans.spread import spread
 from docquarry.session import shared_dir
+from docquarry.sources import ingest as chain
 from docquarry.sources import archives, cargo, embedding, rust_source, rustdoc, store
 from docquarry.streaming import events as streams
 from docquarry.streaming import stateful
@@ -475,9 +479,7 @@ def snk2_insert_ignore(spark, sf_dir):
     """SELECT 'c' || CAST(doc_id AS VARCHAR) || '::Tr' AS trait_path, d.is_definition AS is_definition FROM documents, (VALUES (TRUE), (FALSE)) d(is_definition)""",
 )
 def snk3_trait_definitions(spark, sf_dir):
-    files = _rustdoc(spark, sf_dir)
-    definitions = rustdoc.traits(files).select("trait_path", F.lit(True).alias("is_definition"))
-    return definitions.unionByName(rustdoc.trait_impls(files).select("trait_path", F.lit(False).alias("is_definition")))
+    return rustdoc.trait_rows(_rustdoc(spark, sf_dir)).select("trait_path", "is_definition")
 
 
 @query(
@@ -677,3 +679,92 @@ def str9_stream_status(spark, sf_dir):
     status = F.when(F.col("status") == "completed", "purchase").otherwise(F.col("status"))
     return stateful.current_status(runs).select("crate_id", status.alias("status"), F.col("completed_at").isNotNull().alias("was_completed"))
 
+
+
+# --- from files to searches: releases of one crate per source
+
+# %1$s is the document number, %2$s its text as JSON, %3$s the crate, %4$s the release
+RELEASE_PART = """{"index": {
+"%1$s:0": {"name": "S%1$s", "docs": %2$s, "visibility": "public", "inner": {"struct": {"kind": {"plain": {"fields": ["%1$s:6"]}}, "generics": {"params": [
+  {"name": "'a", "kind": {"lifetime": {"outlives": ["'static"]}}},
+  {"name": "T", "kind": {"type": {"bounds": [{"trait_bound": {"trait": {"name": "Clone"}, "modifier": "none"}}, {"trait_bound": {"trait": {"name": "Sized"}, "modifier": "maybe"}}]}}},
+  {"name": "U", "kind": {"type": {"bounds": [], "default": {"primitive": "u8"}}}}],
+  "where_predicates": [{"bound_predicate": {"type": {"generic": "T"}, "bounds": [{"trait_bound": {"trait": {"name": "Into", "args": {"angle_bracketed": {"args": [{"type": {"resolved_path": {"name": "P%1$s"}}}]}}}}}, {"outlives": "'a"},
+    {"trait_bound": {"trait": {"name": "Clone"}}}]}}]}}}},
+"%1$s:1": {"name": null, "docs": "", "inner": {"impl": {"trait": null, "for": {"resolved_path": {"name": "S%1$s", "id": "%1$s:0"}}, "items": ["%1$s:2"], "generics": {"params": [], "where_predicates": []}}}},
+"%1$s:2": {"name": "new", "docs": "makes one", "inner": {"function": {"decl": {"inputs": [], "output": {"generic": "Self"}}, "generics": {"params": [{"name": "N", "kind": {"const": {"type": {"primitive": "usize"}, "default": "%1$s"}}}]}}}},
+"%1$s:3": {"name": null, "docs": "", "inner": {"impl": {"trait": {"name": "Make", "id": "m"}, "for": {"resolved_path": {"name": "S%1$s", "id": "%1$s:0"}}, "items": ["%1$s:4"], "generics": {"params": [], "where_predicates": []}}}},
+"%1$s:4": {"name": "new", "docs": "of release %4$s", "inner": {"function": {"decl": {"inputs": [["n", {"primitive": "u8"}]], "output": null}}}},
+"%1$s:6": {"name": "field", "docs": "a field", "inner": {"struct_field": {"primitive": "u8"}}}},
+"paths": {"%1$s:0": {"crate_id": 0, "path": ["%3$s", "S%1$s"], "kind": "struct"}}}"""
+RELEASE_CRATE = "concat('lib_', lower(coalesce(source, 'none')))"
+
+
+def _releases(spark, sf_dir):
+    """Every document as a part of its source's crate, in two releases; the second has other texts."""
+    docs = spread(table(spark, sf_dir, "documents")).withColumn("crate", F.expr(RELEASE_CRATE))
+    rows = docs.select("doc_id", "crate", "text", F.explode(F.array(F.lit("1.0.0"), F.lit("2.0.0"))).alias("version"))
+    body = F.when(F.col("version") == "2.0.0", F.concat(F.lit("again "), F.coalesce("text", F.lit("")))).otherwise(
+        F.coalesce("text", F.lit(""))
+    )
+    text = F.expr("substring(to_json(named_struct('d', body)), 6, length(to_json(named_struct('d', body))) - 6)")
+    number = F.col("doc_id").cast("string")
+    return rows.withColumn("body", body).select(
+        "crate", "version", F.format_string(RELEASE_PART, number, text, "crate", "version").alias("text")
+    )
+
+
+def _counts(texts: list[str]) -> np.ndarray:
+    """A model of two whole numbers per text, which SQL can compute too."""
+    return np.array([[len(t), t.count("e")] for t in texts], dtype=np.float32).reshape(-1, 2)
+
+
+def _ingested(spark, sf_dir) -> Library:
+    """Both releases of every crate, stored."""
+    root = f"{shared_dir(spark)}/library-{uuid.uuid4().hex}"
+    chain.ingest(_releases(spark, sf_dir), root, _counts)
+    return Library.open(spark, root, _counts)
+
+
+@query(
+    "ing1_stored_items",
+    f"""WITH d AS (SELECT doc_id, {RELEASE_CRATE} AS crate, v.version, {RELEASE_CRATE} || '::S' || CAST(doc_id AS VARCHAR) AS s,
+      CASE WHEN v.version = '2.0.0' THEN 'again ' ELSE '' END || coalesce(text, '') AS text FROM documents, (VALUES ('1.0.0'), ('2.0.0')) v(version))
+    SELECT crate, version, s AS item_path, crate AS parent_id, 'S' || CAST(doc_id AS VARCHAR) AS header, text AS content, CAST(NULL AS VARCHAR) AS signature FROM d
+    UNION ALL SELECT crate, version, s || '::new', s, 'new', 'makes one', 'fn new<const N: usize>() -> Self' FROM d
+    UNION ALL SELECT crate, version, s || '::Make::new', s || '::Make', 'new', 'of release ' || version, 'fn new(n: u8)' FROM d
+    UNION ALL SELECT crate, version, s || '::field', s, 'field', 'a field', NULL FROM d""",
+)
+def ing1_stored_items(spark, sf_dir):
+    items = _ingested(spark, sf_dir).items
+    return items.select("crate", "version", "item_path", "parent_id", "header", "content", "signature")
+
+
+@query(
+    "ing2_nearest_after_ingest",
+    f"""WITH d AS (SELECT doc_id, source, 'S' || CAST(doc_id AS VARCHAR) AS n, coalesce(text, '') AS text FROM documents WHERE {RELEASE_CRATE} = 'lib_src1'),
+    t AS (SELECT n || ' again ' || text AS text FROM d UNION ALL SELECT 'new makes one' FROM d
+      UNION ALL SELECT 'new of release 2.0.0' FROM d UNION ALL SELECT 'field a field' FROM d),
+    v AS (SELECT length(text) AS a, length(text) - length(replace(text, 'e', '')) AS b FROM t)
+    SELECT CAST(power(a - 400, 2) + power(b - 40, 2) AS BIGINT) AS squared FROM v ORDER BY squared LIMIT 10""",
+)
+def ing2_nearest_after_ingest(spark, sf_dir):
+    library = _ingested(spark, sf_dir)
+    latest = library._release(library.items, "lib_src1")
+    found = search.nearest(latest, [400.0, 40.0], 10)
+    return found.select(F.round(F.col("distance") * F.col("distance")).cast("long").alias("squared"))
+
+
+@query(
+    "typ5_constraints_of_files",
+    f"""SELECT {RELEASE_CRATE} AS crate, v.version, {RELEASE_CRATE} || '::S' || CAST(doc_id AS VARCHAR) || p.tail AS item_path, p.name AS param_name, p.kind AS param_kind,
+      replace(p.bounds, '%', CAST(doc_id AS VARCHAR)) AS bounds, replace(p.def, '%', CAST(doc_id AS VARCHAR)) AS default_value, p.position AS position
+    FROM documents, (VALUES ('1.0.0'), ('2.0.0')) v(version),
+      (VALUES ('', '''a', 'lifetime', '''static', NULL, 0), ('', 'T', 'type', 'Clone + ?Sized + Into<P%> + ''a', NULL, 1), ('', 'U', 'type', NULL, 'u8', 2),
+        ('::new', 'N', 'const', 'usize', '%', 0)) p(tail, name, kind, bounds, def, position)""",
+)
+def typ5_constraints_of_files(spark, sf_dir):
+    found = rustdoc.generic_constraints(rustdoc.parse(_releases(spark, sf_dir)))
+    return found.select(
+        "crate", "version", "item_path", "param_name", "param_kind", "bounds", "default_value", "position"
+    )

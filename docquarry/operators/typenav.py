@@ -61,7 +61,8 @@ def method_status(methods: DataFrame) -> DataFrame:
     def listed(values: Column) -> Column:
         return F.array_join(F.sort_array(values), ", ")
 
-    stats = methods.groupBy("crate", "parent_type_path", "method_name").agg(
+    scope = [c for c in ("crate", "version") if c in methods.columns]  # releases are told apart
+    stats = methods.groupBy(*scope, "parent_type_path", "method_name").agg(
         F.count("*").alias("candidates"),
         F.count_if(kind == "inherent").alias("inherent"),
         F.count_if(kind == "trait").alias("from_traits"),
@@ -91,7 +92,7 @@ def method_status(methods: DataFrame) -> DataFrame:
     )
     status = F.when(F.col("candidates") == 1, "unique").otherwise("ambiguous")
     return stats.select(
-        "crate",
+        *scope,
         "parent_type_path",
         "method_name",
         "candidates",

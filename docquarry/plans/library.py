@@ -159,23 +159,25 @@ class Library:
 
     # --- types
 
-    def get_trait_implementors(self, crate: str, trait_path: str) -> DataFrame:
-        return typenav.trait_implementors(self.impls, crate, trait_path)
+    def get_trait_implementors(self, crate: str, trait_path: str, version: str | None = None) -> DataFrame:
+        return typenav.trait_implementors(self._release(self.impls, crate, version), crate, trait_path)
 
-    def get_type_traits(self, crate: str, type_path: str) -> DataFrame:
-        return typenav.type_traits(self.impls, crate, type_path)
+    def get_type_traits(self, crate: str, type_path: str, version: str | None = None) -> DataFrame:
+        return typenav.type_traits(self._release(self.impls, crate, version), crate, type_path)
 
-    def resolve_method(self, crate: str, type_path: str, name: str) -> DataFrame:
-        return typenav.resolve_method(self.methods, crate, type_path, name)
+    def resolve_method(self, crate: str, type_path: str, name: str, version: str | None = None) -> DataFrame:
+        return typenav.resolve_method(self._release(self.methods, crate, version), crate, type_path, name)
 
-    def method_status(self, crate: str, type_path: str, name: str) -> DataFrame:
-        return typenav.method_status(self.resolve_method(crate, type_path, name))
+    def method_status(self, crate: str, type_path: str, name: str, version: str | None = None) -> DataFrame:
+        return typenav.method_status(self.resolve_method(crate, type_path, name, version))
 
-    def get_associated_items(self, crate: str, container: str, kind: str | None = None) -> DataFrame:
-        return typenav.associated_items(self.associated, crate, container, kind)
+    def get_associated_items(
+        self, crate: str, container: str, kind: str | None = None, version: str | None = None
+    ) -> DataFrame:
+        return typenav.associated_items(self._release(self.associated, crate, version), crate, container, kind)
 
-    def get_generic_constraints(self, crate: str, path: str) -> DataFrame:
-        return typenav.generic_constraints(self.constraints, crate, path)
+    def get_generic_constraints(self, crate: str, path: str, version: str | None = None) -> DataFrame:
+        return typenav.generic_constraints(self._release(self.constraints, crate, version), crate, path)
 
     def get_code_intelligence(self, crate: str, path: str) -> DataFrame:
         return lookup.item_intelligence(self._release(self.items, crate), crate, path)
@@ -222,8 +224,20 @@ class Library:
     def resolve_import(self, crate: str, path: str, alternatives: bool = False) -> DataFrame:
         return lookup.resolve_import(self._release(self.items, crate), self.reexports, crate, path, alternatives)
 
-    def get_dependency_graph(self, crate: str, max_depth: int = 3) -> DataFrame:
-        return graph.dependency_graph(self.reexports, self.items, self.crates, crate, max_depth)
+    def _releases(self, crate: str, version: str | None = None) -> DataFrame:
+        """One (``crate``, ``version``) per crate: the wanted one of ``crate``, the latest of the others."""
+        wanted = params.version(version)
+        rows = self.crates
+        if wanted not in (None, "latest"):
+            rows = rows.where((F.col("crate") != params.crate_name(crate)) | (F.col("version") == wanted))
+        return rows.groupBy("crate").agg(F.max_by("version", semver.sort_key(F.col("version"))).alias("version"))
+
+    def get_dependency_graph(self, crate: str, max_depth: int = 3, version: str | None = None) -> DataFrame:
+        """Links between known items; every crate counts with one release."""
+        chosen = self._releases(crate, version)
+        links = self._release(self.reexports, crate, version)
+        items = self.items.join(chosen, ["crate", "version"], "left_semi")
+        return graph.dependency_graph(links, items, chosen, crate, max_depth)
 
     def trace_reexports(self, crate: str, path: str) -> DataFrame:
         chains = graph.trace_reexports(self._release(self.reexports, crate))

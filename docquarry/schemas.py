@@ -111,6 +111,7 @@ INGESTION_STATUS = _table(
 )
 TRAIT_IMPLS = _table(
     ("crate", S),
+    ("version", S),
     ("trait_path", S),
     ("impl_type_path", S),
     ("generic_params", S),
@@ -124,6 +125,7 @@ TRAIT_IMPLS = _table(
 )
 METHODS = _table(
     ("crate", S),
+    ("version", S),
     ("parent_type_path", S),
     ("method_name", S),
     ("full_signature", S),
@@ -142,6 +144,7 @@ METHODS = _table(
 )
 ASSOCIATED_ITEMS = _table(
     ("crate", S),
+    ("version", S),
     ("container_path", S),
     ("item_name", S),
     ("item_kind", S),
@@ -153,6 +156,7 @@ ASSOCIATED_ITEMS = _table(
 )
 GENERIC_CONSTRAINTS = _table(
     ("crate", S),
+    ("version", S),
     ("item_path", S),
     ("param_name", S),
     ("param_kind", S),
@@ -165,10 +169,10 @@ GENERIC_CONSTRAINTS = _table(
 # unique keys the store enforces on write
 KEYS = {
     "items": ["crate", "version", "item_path"],
-    "reexports": ["crate", "alias_path", "actual_path", "link_type"],
+    "reexports": ["crate", "version", "alias_path", "actual_path", "link_type"],
     "example_items": ["crate", "version", "example_hash"],
-    "trait_impls": ["crate", "trait_path", "impl_type_path", "generic_params"],
-    "methods": ["crate", "parent_type_path", "method_name", "full_signature"],
-    "associated_items": ["crate", "container_path", "item_name", "item_kind"],
-    "generic_constraints": ["crate", "item_path", "param_name"],
+    "trait_impls": ["crate", "version", "trait_path", "impl_type_path", "generic_params"],
+    "methods": ["crate", "version", "parent_type_path", "method_name", "full_signature"],
+    "associated_items": ["crate", "version", "container_path", "item_name", "item_kind"],
+    "generic_constraints": ["crate", "version", "item_path", "param_name"],
 }

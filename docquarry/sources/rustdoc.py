@@ -291,6 +291,8 @@ def trait_impls(files: Parsed) -> DataFrame:
         (_json("body", "$.negative") == "true") | (_json("body", "$.polarity") == "negative"), F.lit(False)
     )
     blanket = _json("body", "$.blanket_impl")
+    rendered = signatures.type_name(F.concat(F.lit('{"resolved_path": '), "trait_ref", F.lit("}")))
+    arguments = F.coalesce(F.regexp_extract(rendered, "(<.*)$", 1), F.lit(""))
     return rows.where(F.col("trait_path").isNotNull()).select(
         *KEY,
         "trait_path",
@@ -301,7 +303,7 @@ def trait_impls(files: Parsed) -> DataFrame:
         negative.alias("is_negative"),
         synthetic.alias("is_synthetic"),
         F.concat(
-            F.lit("impl"), generic, F.lit(" "), "trait_path", F.lit(" for "), "impl_type_path",
+            F.lit("impl"), generic, F.lit(" "), "trait_path", arguments, F.lit(" for "), "impl_type_path",
             F.when(has_where, " where ...").otherwise(""),
         ).alias("impl_signature"),
         intelligence.stability(F.col("attrs"), F.col("deprecation")).alias("stability_level"),
@@ -424,6 +426,144 @@ def methods(files: Parsed) -> DataFrame:
     return found.unionByName(extra, allowMissingColumns=True)
 
 
+def trait_rows(files: Parsed) -> DataFrame:
+    """Rows of the table of implementations: impl blocks, and traits as their own definitions."""
+    defined = traits(files).select(
+        *KEY, "trait_path", F.col("trait_path").alias("impl_type_path"), "generic_params", "stability_level",
+        F.lit(False).alias("is_blanket"), F.lit(False).alias("is_negative"),
+        F.concat(F.when(F.col("is_unsafe"), "unsafe trait ").otherwise("trait "), "trait_path").alias("impl_signature"),
+        F.lit(True).alias("is_definition"),
+    )
+    blocks = trait_impls(files).withColumn("is_definition", F.lit(False))
+    return blocks.unionByName(defined, allowMissingColumns=True)
+
+
+# --- places and generics ---------------------------------------------------------
+
+
+def _ids(*places: str) -> Column:
+    """Member ids from the first of several places that has a list; they may be numbers."""
+    return F.coalesce(*[_json_array("body", place) for place in places])
+
+
+def located_paths(files: Parsed) -> DataFrame:
+    """``located_path`` of members that the path table leaves out, by what holds them.
+
+    Methods lie under the type of their impl block, those of a trait's impl under
+    type and trait; associated items, variants, fields and module members under
+    their container.  Where several members of a release would share a path, each
+    gets a hash of its impl block and signature, so none replaces another.
+    """
+    known = full_paths(files).select("crate", "version", F.col("item_id").alias("_type_id"), F.col("full").alias("_type"))
+    blocks = resolve_traits(impls(files), full_paths(files), "trait_ref", "trait_path")
+    blocks = blocks.withColumns({
+        "_type_id": _json("body", "$.for.resolved_path.id"),
+        "_trait": signatures.type_name(F.concat(F.lit('{"resolved_path": '), "trait_ref", F.lit("}"))),
+    }).join(known, ["crate", "version", "_type_id"], "left")
+    # a type without a place keeps its name, less its arguments
+    name = F.coalesce("_type", F.regexp_replace("impl_type_path", "<.*", ""))
+    of_blocks = blocks.select(
+        "crate", "version",
+        F.concat_ws("::", name, paths.last_segment(F.col("trait_path"))).alias("owner"),
+        F.concat_ws("|", "impl_type_path", "_trait", _json("body", "$.generics.where_predicates")).alias("block"),
+        F.explode("members").alias("item_id"),
+    )
+    holders = parse_items(files).where(F.coalesce("inner_kind", F.lit("")) != "impl")
+    of_holders = holders.select(
+        "crate", "version", F.col("item_path").alias("owner"), F.lit("").alias("block"),
+        F.explode(_ids("$.items", "$.variants", "$.kind.plain.fields", "$.fields", "$.kind.struct.fields")).alias("item_id"),
+    )
+    owners = of_blocks.unionByName(of_holders).groupBy(*KEY).agg(F.min(F.struct("owner", "block")).alias("o"))
+    bodies = files.index.where(F.coalesce("name", F.lit("")) != "").select(
+        *KEY, "name", F.xxhash64(F.to_json("inner")).alias("_inner")
+    )
+    members = owners.join(bodies, KEY).join(files.paths.where(F.size("path") > 0), KEY, "left_anti").select(
+        *KEY, F.concat_ws("::", "o.owner", "name").alias("short"), F.concat_ws("|", "o.block", "_inner").alias("long")
+    )
+    taken = members.groupBy("crate", "version", "short").agg(F.count("*").alias("_sharing"))
+    apart = F.concat_ws("_", "short", F.substring(F.sha2("long", 256), 1, C.KEY_HASH_LENGTH))
+    return members.join(taken, ["crate", "version", "short"]).select(
+        *KEY, F.when(F.col("_sharing") > 1, apart).otherwise(F.col("short")).alias("located_path")
+    )
+
+
+def with_places(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """Rows of ``item_path`` with the path of their container where their own lacks it."""
+    placed = rows.join(places, KEY, "left")
+    return placed.withColumn("item_path", F.coalesce("located_path", "item_path")).drop("located_path")
+
+
+def _unquoted(name: Column) -> Column:
+    return F.regexp_replace(name, "^'", "")
+
+
+def generic_constraints(files: Parsed, places: DataFrame | None = None) -> DataFrame:
+    """Generic parameters of items with all their bounds, from the list and the where clauses.
+
+    One row per item and parameter: ``bounds`` joins the distinct bounds with
+    `` + `` in the order they are written and is null without any; a const
+    parameter has its type there.  Predicates on anything but a bare parameter
+    (``T::Item: Debug``) belong to no parameter and are left out.  ``places`` are
+    ``located_paths`` at hand.
+    """
+    places = located_paths(files) if places is None else places
+    generic = parse_items(files).where(F.size(_json_array("body", "$.generics.params")) > 0)
+    items = with_places(generic, places).select(
+        *KEY, "item_path",
+        _json_array("body", "$.generics.params").alias("params"),
+        F.coalesce(_json_array("body", "$.generics.where_predicates"), F.array().cast("array<string>")).alias("where"),
+    )
+
+    def listed(tree: Column, place: str) -> Column:
+        return F.coalesce(F.from_json(_json(tree, place), "array<string>"), F.array().cast("array<string>"))
+
+    def pairs(name: Column, trees: Column) -> Column:
+        return F.transform(trees, lambda t: F.struct(_unquoted(name).alias("name"), t.alias("tree")))
+
+    own = F.transform("params", lambda p: pairs(_json(p, "$.name"), F.concat(
+        listed(p, "$.kind.type.bounds"), listed(p, "$.kind.lifetime.outlives"),
+        F.array_compact(F.array(_json(p, "$.kind.const.type"))),
+    )))
+    named = F.transform("where", lambda w: pairs(
+        F.coalesce(_json(w, "$.bound_predicate.type.generic"), _json(w, "$.lifetime_predicate.lifetime"),
+                   _json(w, "$.region_predicate.lifetime")),
+        F.concat(listed(w, "$.bound_predicate.bounds"), listed(w, "$.lifetime_predicate.outlives")),
+    ))
+    all_bounds = F.filter(F.flatten(F.concat(own, named)), lambda x: x["name"].isNotNull())
+
+    def tree_of(bound: Column) -> Column:
+        """The type tree of a bound; a lifetime stands for itself."""
+        trait = F.coalesce(_json(bound, "$.trait_bound.trait"), _json(bound, "$.trait"))
+        tree = F.when(F.coalesce(trait, F.lit("")).rlike(r'^\s*\{(?!"resolved_path")'), F.concat(F.lit('{"resolved_path": '), trait, F.lit("}")))
+        return F.coalesce(tree, trait, _json(bound, "$.outlives"), bound)
+
+    rows = items.withColumn("_all", all_bounds)
+    rows = rows.withColumn("_texts", signatures.type_names(F.transform("_all", lambda x: tree_of(x["tree"]))))
+    relaxed = F.transform("_all", lambda x: F.coalesce(_json(x["tree"], "$.trait_bound.modifier"), F.lit("")) == "maybe")
+    rows = rows.withColumn("_known", F.zip_with(
+        F.zip_with("_all", relaxed, lambda x, r: F.struct(x["name"].alias("name"), r.alias("relaxed"))), "_texts",
+        lambda x, t: F.struct(x["name"].alias("name"), F.concat(F.when(x["relaxed"], "?").otherwise(""), t).alias("text")),
+    ))
+    one = rows.select(*KEY, "item_path", "_known", F.posexplode("params").alias("position", "param"))
+    name = _json("param", "$.name")
+    kind = F.when(_json("param", "$.kind.lifetime").isNotNull(), "lifetime").when(
+        _json("param", "$.kind.const").isNotNull(), "const").otherwise("type")
+    mine = F.filter("_known", lambda b: (b["name"] == _unquoted(name)) & b["text"].isNotNull())
+    bounds = F.array_join(F.array_distinct(F.transform(mine, lambda b: b["text"])), " + ")
+    return one.select(
+        *KEY,
+        "item_path",
+        F.when(kind == "lifetime", F.concat(F.lit("'"), _unquoted(name))).otherwise(name).alias("param_name"),
+        kind.alias("param_kind"),
+        F.when(bounds != "", bounds).alias("bounds"),
+        F.coalesce(signatures.type_name(_json("param", "$.kind.type.default")), _json("param", "$.kind.const.default")).alias(
+            "default_value"
+        ),
+        F.lit(None).cast("string").alias("variance"),  # not part of the format
+        "position",
+    ).where(F.col("param_name").isNotNull())
+
+
 # --- links -----------------------------------------------------------------------
 
 

@@ -63,7 +63,10 @@ def item_key(path: Column, stored: Column) -> Column:
 
 
 def prepare_items(chunks: DataFrame) -> DataFrame:
-    """Rows ready for the item table: valid paths, headers, text never null."""
+    """Rows ready for the item table: valid paths, headers, text never null.
+
+    The text is in ``doc`` or, as in tables made from rustdoc files, in ``content``.
+    """
     checked = chunks.withColumn(
         "_path",
         paths.valid_path(F.col("item_path"), F.col("item_id").cast("string"), F.col("item_type")),
@@ -72,7 +75,7 @@ def prepare_items(chunks: DataFrame) -> DataFrame:
         {
             "header": header_or_fallback(F.col("header"), F.col("item_path"), F.col("item_type")),
             "item_path": item_key(F.col("item_path"), F.col("_path.path")),
-            "content": F.coalesce("doc", F.lit("")),
+            "content": F.coalesce("doc" if "doc" in chunks.columns else "content", F.lit("")),
             "visibility": F.coalesce("visibility", F.lit("public")),
             "deprecated": F.coalesce("deprecated", F.lit(False)),
         }
@@ -113,8 +116,9 @@ def number_modules(modules: DataFrame, key: str = "raw_id", parent: str = "raw_p
     a rerun numbers the same module the same way.
     """
     numbered = modules.withColumn("id", F.xxhash64("crate", "path"))
-    targets = numbered.select(F.col("crate"), F.col(key).alias(parent), F.col("id").alias("parent_id"))
-    return numbered.join(targets, ["crate", parent], "left").drop(parent)
+    scope = [c for c in ("crate", "version") if c in modules.columns]
+    targets = numbered.select(*scope, F.col(key).alias(parent), F.col("id").alias("parent_id"))
+    return numbered.join(targets, [*scope, parent], "left").drop(parent)
 
 
 def dependency_edges(dependencies: DataFrame) -> DataFrame:
@@ -162,6 +166,17 @@ def write_table(df: DataFrame, path: str, partitions: tuple[str, ...] = ("crate"
     (writer.partitionBy(*columns) if columns else writer).parquet(path)
 
 
+def _folder(spark, path: str):
+    """A path with the file system it lies on, through Spark's own settings."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark, path: str) -> bool:
+    place, system = _folder(spark, path)
+    return system.exists(place)
+
+
 def read_table(spark, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
