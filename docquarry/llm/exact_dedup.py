@@ -84,20 +84,43 @@ def exact_groups(
     )
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns."""
-    staying = exact_groups(docs, id_col, text_col, digest_all=True).where("kept")
-    keys = staying.select(
-        F.col(id_col).alias("stay_id"), F.col("digest").alias("stay_digest"), (F.col("group_size") > 1).alias("stay_many")
+def drop_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_keys: int = BROADCAST_KEYS
+) -> DataFrame:
+    """The documents that stay, with all their columns.
+
+    Only the dropped rows of surviving groups are listed, as id and digest, and
+    taken out of the scan.  Up to ``broadcast_keys`` of them are sent to it: then
+    no text moves, and only texts under a listed id are hashed again.  Beyond,
+    every text is hashed in the scan and rows are shuffled once by id and digest.
+    Null texts are empty texts, null ids are ids like any other; of rows that
+    repeat id and text one stays, whichever its other columns; an empty table
+    stays empty.  Other columns pass through, whatever their names.
+    """
+    groups = exact_groups(docs, id_col, text_col, broadcast_keys=broadcast_keys)
+    dropped = staged(
+        groups.where("NOT kept").select(
+            F.col(id_col).alias("mark_id"), F.col("digest").alias("mark_digest"),
+            (~F.col(id_col).eqNullSafe(F.col("keep_id"))).alias("gone"),
+        ).distinct()
     )
-    digest = F.unhex(F.sha2(whole_text(text_col).cast("binary"), 256))
+    listed, repeats = dropped.agg(F.count("*"), F.count_if(~F.col("gone"))).head()
     # whole rows in one column, so that no name of theirs can clash
-    rows = docs.select(F.struct(*docs.columns).alias("whole"), F.col(id_col).alias("id"), digest.alias("digest"))
-    found = rows.join(keys, F.col("id").eqNullSafe(F.col("stay_id")) & F.col("digest").eqNullSafe(F.col("stay_digest")))
-    once = found.where("NOT stay_many")
-    # only groups of several rows can repeat id and text
-    many = found.where("stay_many").dropDuplicates(["stay_id", "stay_digest"])
-    return once.unionByName(many).select("whole.*")
+    rows = docs.select(F.struct(*docs.columns).alias("whole"), F.col(id_col).alias("id"))
+    digest = F.unhex(F.sha2(F.coalesce(F.col("whole").getField(text_col), F.lit("")).cast("binary"), 256))
+    if listed <= broadcast_keys:
+        ids = F.broadcast(dropped.select(F.col("mark_id").alias("open_id"), F.lit(True).alias("open")).distinct())
+        opened = rows.join(ids, F.col("id").eqNullSafe(F.col("open_id")), "left")
+        hashed, marks = opened.withColumn("digest", F.when(F.col("open"), digest)), F.broadcast(dropped)
+    else:
+        hashed, marks = rows.withColumn("digest", digest), dropped
+    same = F.col("id").eqNullSafe(F.col("mark_id")) & (F.col("digest") == F.col("mark_digest"))
+    found = hashed.join(marks, same, "left").select("whole", "id", "digest", "gone")
+    staying = found.where("gone IS NULL").select("whole.*")
+    if repeats == 0:
+        return staying
+    # rows that stay and repeat id and text in full
+    return staying.union(found.where("NOT gone").dropDuplicates(["id", "digest"]).select("whole.*"))
 
 
 @query(
