@@ -2,8 +2,8 @@
 
 A file is one row (``crate``, ``file``, ``text``) and is worked on inside that
 row, so no source text is shuffled.  Declarations come from array functions;
-macros, whose bodies need brace counting, from a small Python helper that sees
-only files with a macro in them.
+macros, whose bodies need brackets counted, from one pass over the pieces of each
+file that has a macro in it.
 """
 
 from __future__ import annotations
@@ -149,30 +149,29 @@ def module_docs(files: DataFrame) -> DataFrame:
 
 # --- macros ----------------------------------------------------------------------
 
-_EXPORT = re.compile(r"^#\[macro_export(?:\([^)]*\))?\]")
-_RULES = re.compile(r"macro_rules!\s+(\w+)")
-_PUB_MACRO = re.compile(r"pub\s+macro\s+(\w+)\s*(?=[({])")
-_PROC = re.compile(
-    r"#\[(proc_macro(?:_attribute)?|proc_macro_derive\((\w+)(?:,\s*attributes\([^)]*\))?\))\]\s*\n\s*pub\s+fn\s+(\w+)"
+#: what matters while a file is read from its start: a doc line, a comment or literal to
+#: pass over, an attribute, a definition, or anything else, which parts docs from what follows
+_PIECE = re.compile(
+    r'''(?m:^)[ \t]*///(?P<doc>[^\n]*)
+    |(?P<comment>//[^\n]*|/\*.*?\*/)
+    |(?P<attribute>\#!?\[)
+    |(?P<rules>macro_rules!\s+(?P<rules_name>\w+))
+    |(?P<scoped>pub\s+macro\s+(?P<scoped_name>\w+)\s*(?=[({]))
+    |(?P<function>pub\s+fn\s+(?P<function_name>\w+))
+    |\br(?P<hashes>\#*)".*?"(?P=hashes)
+    |"(?:[^"\\]|\\.)*"
+    |'(?:[^'\\\n]|\\[^\n][^'\n]*)'
+    |\w+
+    |[^\w\s]''',
+    re.DOTALL | re.VERBOSE,
 )
-_DOC = re.compile(C.DOC_LINE)
+#: an attribute that makes a function a macro: its kind and, for derives, the derived name
+_PROC = re.compile(r"#\[(proc_macro\w*)(?:\(\s*(\w+))?")
 _TOKEN = re.compile(
     r'''\br(#*)".*?"\1|"(?:[^"\\]|\\.)*"|//[^\n]*|/\*.*?\*/|'(?:[^'\\\n]|\\[^\n][^'\n]*)'|[(\[{]|[)\]}]''', re.DOTALL
 )
 
 
-def _docs_above(lines: list[str], at: int) -> str:
-    """Doc comments right above a line; blanks and other attributes may sit between."""
-    out: list[str] = []
-    for line in reversed(lines[:at]):
-        doc = _DOC.match(line)
-        if doc:
-            out.append(doc.group(1))
-        elif line.strip() and not line.strip().startswith("#["):
-            break
-    return "\n".join(reversed(out))
-
-
 def _body(text: str, at: int) -> tuple[int, list[str]]:
     """End of the brackets that open at or after ``at``, and the groups right inside them.
 
@@ -209,73 +208,56 @@ def _shorten(text: str, longest: int) -> str:
 def find_macros(text: str) -> list[dict]:
     """Macros of one file: name, kind, signature, docs, visibility, definition and arms.
 
-    The signature is for display and shortened.  The definition is the whole
-    source of the macro, and ``arms`` has the whole matcher of each arm.
+    One pass over the pieces of the file: doc lines and attributes are held until
+    the definition they belong to, and dropped at any other code.  Definitions are
+    passed over whole, so macros that a macro writes are not listed.
+
+    The signature is for display: the definition on one line, shortened.  The
+    definition is the whole source of the macro, and ``arms`` has the whole matcher
+    of each arm.
     """
-    lines, out, at = text.split("\n"), [], 0
-    starts = [0, *(m.end() for m in re.finditer("\n", text))]
-    while at < len(lines):
-        if "macro" not in lines[at] or lines[at].lstrip().startswith("//"):
-            at += 1
+    found: list[dict] = []
+    docs: list[str] = []
+    attributes: list[str] = []
+    at = 0
+    while piece := _PIECE.search(text, at):
+        at = piece.end()
+        if piece["doc"] is not None:
+            said = piece["doc"]
+            docs.append(said[1:] if said[:1].isspace() else said)
             continue
-        rules = _RULES.search(lines[at])
-        if rules:
-            stop, groups = _body(text, starts[at] + rules.end())
-            end = at + text.count("\n", starts[at], stop)
-            exported = any(_EXPORT.match(line) for line in lines[max(0, at - 4) : at])
-            shown = [line.strip() for line in lines[at : min(end, at + 10) + 1]]
-            if end > at + 10:
-                shown.append("...")
-            out.append(
-                {
-                    "name": rules.group(1),
-                    "kind": "macro",
-                    "signature": _shorten(" ".join(shown), 300),
-                    "docs": _docs_above(lines, at),
-                    "visibility": "public" if exported else "crate",
-                    "definition": text[starts[at] + rules.start() : stop],
-                    "arms": groups[::2],
-                }
-            )
-            at = end
-        public = _PUB_MACRO.search(lines[at])
-        if public and not rules:
-            opened = starts[at] + public.end()
-            stop, groups = _body(text, opened)
+        if piece["comment"] is not None and not piece["comment"].startswith("//"):
+            continue
+        if piece["attribute"]:
+            at = max(at, _body(text, piece.end() - 1)[0])
+            attributes.append(text[piece.start() : at])
+            continue
+        item: dict = {}
+        if piece["rules"]:
+            at, groups = _body(text, at)
+            public = any(a.startswith("#[macro_export") for a in attributes)
+            item = {"name": piece["rules_name"], "visibility": "public" if public else "crate", "arms": groups[::2]}
+        elif piece["scoped"]:
+            opened = at
+            at, groups = _body(text, opened)
             arms = groups[::2]
             if text[opened] == "(":  # one arm beside the name, not several in the braces
-                arms = [_TOKEN.sub(lambda t: t.group(0) if t.group(0) in "([{)]}" else " ", text[opened + 1 : stop - 1])]
-                stop, _ = _body(text, stop)
-            end = at + text.count("\n", starts[at], stop)
-            body = " ".join(line.strip() for line in lines[at : min(end, at + 19) + 1])
-            out.append(
-                {
-                    "name": public.group(1),
-                    "kind": "macro",
-                    "signature": _shorten(body, 200),
-                    "docs": _docs_above(lines, at),
-                    "visibility": "public",
-                    "definition": text[starts[at] + public.start() : stop],
-                    "arms": arms,
-                }
-            )
-            at = max(at, end)
-        at += 1
-    for found in _PROC.finditer(text):
-        tag, derived, function = found.groups()
-        out.append(
-            {
-                "name": derived or function,
-                "kind": "derive macro" if derived else tag.replace("_", " "),
-                "signature": found.group(0).replace("\n", " "),
-                "docs": _docs_above(lines, text[: found.start()].count("\n")),
-                "visibility": "public",
-                "definition": found.group(0),
-                "arms": [],
-                "root": True,
-            }
-        )
-    return out
+                arms = [_TOKEN.sub(lambda t: t.group(0) if t.group(0) in "([{)]}" else " ", text[opened + 1 : at - 1])]
+                at, _ = _body(text, at)
+            item = {"name": piece["scoped_name"], "visibility": "public", "arms": arms}
+        elif piece["function"]:
+            for attribute in attributes:
+                if marked := _PROC.match(attribute):
+                    kind = "derive macro" if marked[2] else marked[1].replace("_", " ")
+                    shown = f"{attribute} {piece['function']}"
+                    item = {"name": marked[2] or piece["function_name"], "kind": kind, "visibility": "public", "arms": [], "definition": shown, "root": True}
+        if item:
+            item.setdefault("kind", "macro")
+            item.setdefault("definition", text[piece.start() : at])
+            longest = C.MACRO_SIGNATURE_CHARS if piece["rules"] else C.SIGNATURE_CHARS
+            found.append(item | {"signature": _shorten(item["definition"], longest), "docs": "\n".join(docs)})
+        docs, attributes = [], []
+    return found
 
 
 def macro_parameters(matcher: str) -> list[tuple[str, str]]:
