@@ -58,27 +58,44 @@ FIT_ROWS, TREES, DEPTH = 4_000, 10, 3
 PRECISION = 0.995
 #: steps of the scores
 STEPS = 10_000
+#: matches that are placed together
+BLOCK = 256
+#: code points of a cell of a text; only spans that share one are compared
+CELL = 512
 
 
 def _matches(text: Column, pattern: str, needs: str) -> Column:
     """Array of (start, end, hit) of the leftmost matches, in code points, end exclusive.
 
-    The pieces between the matches give the starts.
+    The pieces between the matches give the starts.  Matches are placed inside
+    blocks of ``BLOCK`` first and the blocks then moved by what lies before them,
+    as every step of a fold copies what it has so far.
     """
     empty = F.expr("CAST(array() AS array<struct<start:int,end:int,hit:string>>)")
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.zip_with(F.split(text, pattern, -1), hits, lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
-    start = lambda done, x: F.coalesce(F.element_at(done, -1)["end"], F.lit(0)) + F.length(x["gap"])
-    placed = F.aggregate(
-        F.filter(both, lambda x: x["hit"].isNotNull()),
-        empty,
-        lambda done, x: F.concat(done, F.array(F.struct(
-            start(F.when(F.size(done) > 0, done), x).alias("start"),
-            (start(F.when(F.size(done) > 0, done), x) + F.length(x["hit"])).alias("end"),
-            x["hit"].alias("hit"),
-        ))),
-    )
-    return F.when(text.rlike(needs), placed).otherwise(empty)
+    both = F.zip_with(F.split(text, pattern, -1), hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
+
+    def place(done: Column, x: Column) -> Column:
+        start = done["at"] + x["gap"]
+        end = start + F.length(x["hit"])
+        found = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"))
+        return F.struct(F.concat(done["found"], F.array(found)).alias("found"), end.alias("at"))
+
+    def blocks(x: Column) -> Column:
+        last = F.greatest(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int"))
+        none = F.struct(empty.alias("found"), F.lit(0).alias("at"))
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.aggregate(F.slice(x, b * BLOCK + 1, F.lit(BLOCK)), none, place))
+
+    def move(done: Column, block: Column) -> Column:
+        moved = F.transform(block["found"], lambda m: F.struct(
+            (m["start"] + done["at"]).alias("start"), (m["end"] + done["at"]).alias("end"), m["hit"].alias("hit")))
+        return F.struct(F.concat(done["found"], F.array(moved)).alias("found"), (done["at"] + block["at"]).alias("at"))
+
+    nothing = F.struct(F.expr("CAST(array() AS array<array<struct<start:int,end:int,hit:string>>>)").alias("found"), F.lit(0).alias("at"))
+    # an array of one element binds its value, which is then computed once
+    matched = F.array(F.filter(both, lambda x: x["hit"].isNotNull()))
+    placed = F.transform(matched, lambda x: F.aggregate(blocks(x), nothing, move, lambda done: F.flatten(done["found"])))
+    return F.when(text.rlike(needs), F.get(placed, F.lit(0))).otherwise(empty)
 
 
 def _digits(hit: Column) -> Column:
@@ -168,6 +185,20 @@ def _features() -> dict[str, Column]:
     }
 
 
+def _in_cells(spans: DataFrame) -> DataFrame:
+    """Every span once for each cell of its text that it lies in."""
+    cell = lambda at: F.floor(at / CELL)
+    return spans.withColumn("cell", F.explode(F.sequence(cell(F.col("start")), cell(F.col("end") - 1))))
+
+
+def _overlapping(spans: DataFrame, others: DataFrame) -> DataFrame:
+    """Pairs of ``spans`` and overlapping ``others``, whose columns are named o_...; equal pairs may repeat."""
+    other = _in_cells(others)
+    other = other.select(*[F.col(c).alias(f"o_{c}") for c in other.columns])
+    same = (F.col("row") == F.col("o_row")) & (F.col("cell") == F.col("o_cell"))
+    return _in_cells(spans).join(other, same & (F.col("o_start") < F.col("end")) & (F.col("o_end") > F.col("start")))
+
+
 def find_pii(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -191,8 +222,8 @@ def find_pii(
     of those that touch no base span, are good.  What reaches it and touches no
     base span is added, the best of overlapping ones.
 
-    Null is the empty text; texts without spans have empty arrays; null ids and
-    rows that repeat are treated row by row; an empty table gives no rows; other
+    Null is the empty text; texts without spans have empty arrays; texts of any
+    length take time in proportion; null ids and rows that repeat are treated row by row; an empty table gives no rows; other
     columns are ignored.  Without good candidates nothing is added, without others
     all are.
     """
@@ -208,15 +239,22 @@ def find_pii(
         return F.transform(_matches(text, WIDE[kind], r"@|[(\[]at[)\]]" if kind == "email" else "[0-9]"), whole)
 
     wide = {f"wide_{k}": proposals(k) for k in KINDS}
-    found = rows.withColumns({f"base_{k}": base_spans(text, k) for k in KINDS} | wide)
+    # a place is looked up in short pieces, as a text is read from its start to every place
+    pieces = {"pieces": F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CELL}}}"), F.lit(0))}
+    found = rows.withColumns({f"base_{k}": base_spans(text, k) for k in KINDS} | wide | pieces)
+
+    def around_at(at: Column, n: Column) -> Column:
+        piece = F.floor(at / CELL).cast("int")
+        both = F.concat(F.coalesce(F.get("pieces", piece), F.lit("")), F.coalesce(F.get("pieces", piece + 1), F.lit("")))
+        return F.substring(both, at - piece * CELL + 1, n)
 
     def of_kind(name: str, i: int, context: bool) -> Column:
         def span(m: Column) -> Column:
             own = [m["start"].alias("start"), F.lit(i).alias("kind"), m["end"].alias("end")]
             around = [
                 m["hit"].alias("hit"),
-                F.substring(text, F.greatest(m["start"] - CONTEXT, F.lit(0)) + 1, F.least(m["start"], F.lit(CONTEXT))).alias("before"),
-                F.substring(text, m["end"] + 1, F.lit(4)).alias("after"),
+                around_at(F.greatest(m["start"] - CONTEXT, F.lit(0)), F.least(m["start"], F.lit(CONTEXT))).alias("before"),
+                around_at(m["end"], F.lit(4)).alias("after"),
             ]
             return F.struct(*own, *(around if context else []))
 
@@ -231,20 +269,23 @@ def find_pii(
             base.alias("base"), proposed.alias("proposed"),
         )
     )
-    features = _features()
+    features, place = _features(), ["row", "start", "kind", "end"]
+    proposed_spans = kept.where(F.size("proposed") > 0).select("row", F.explode("proposed").alias("c")).select("row", "c.*")
+    base_rows = kept.where(F.size("base") > 0).select("row", F.explode("base").alias("b")).select("row", "b.*")
+    equal = (F.col("o_start") == F.col("start")) & (F.col("o_end") == F.col("end")) & (F.col("o_kind") == F.col("kind"))
+    met = _overlapping(proposed_spans.select(*place), base_rows).groupBy(*place).agg(F.bool_or(equal).alias("is_base"))
     candidates = staged(
-        kept.where(F.size("proposed") > 0).select("row", "base", F.explode("proposed").alias("c")).select("row", "base", "c.*")
-        .withColumns(features)
+        proposed_spans.withColumns(features).join(met, place, "left")
         .withColumns({
             "label": (
-                F.exists("base", lambda b: (b["start"] == F.col("start")) & (b["end"] == F.col("end")) & (b["kind"] == F.col("kind")))
+                F.coalesce("is_base", F.lit(False))
                 | F.expr("checked = 1 AND (shaped = 1 OR own_cue = 1) AND after_alnum = 0 AND before_alnum = 0")
             ).cast("double"),
-            "free": ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start"))),
+            "free": F.col("is_base").isNull(),
             # equal spans in equal surroundings have one place
             "lot": F.xxhash64("hit", "before", "after"),
         })
-        .select("row", "start", "kind", "end", "label", "free", "lot", *features)
+        .select(*place, "label", "free", "lot", *features)
     )
     # distinct candidates, as many of every kind and label
     key = ["kind", "label", "lot"]
@@ -282,10 +323,10 @@ def find_pii(
         if least:
             limit = F.coalesce(*[F.when(F.col("kind") == k, F.lit(p)) for k, p in least.items()])
             chosen = scored.where("free").where(F.col("p") >= limit).select("row", "start", "kind", "end", "p")
-            better = chosen.select(F.col("row").alias("r"), F.struct("p", -F.col("start"), -F.col("kind"), "end").alias("by"), F.col("start").alias("s"), F.col("end").alias("e"))
-            worse = chosen.withColumn("own", F.struct("p", -F.col("start"), -F.col("kind"), "end")).join(
-                better, (F.col("row") == F.col("r")) & (F.col("s") < F.col("end")) & (F.col("e") > F.col("start")) & (F.col("by") > F.col("own")), "left_anti")
-            added = worse.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
+            order = lambda p: F.struct(F.col(f"{p}p"), -F.col(f"{p}start"), -F.col(f"{p}kind"), F.col(f"{p}end"))
+            beaten = _overlapping(chosen, chosen).where(order("o_") > order("")).select(*place).distinct()
+            best = chosen.join(beaten, place, "left_anti")
+            added = best.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
     if added is None:
         out = kept.withColumn("spans", F.col("base"))
     else:
