@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -146,67 +147,70 @@ def current_status(table: MergedTable) -> DataFrame:
     )
 
 
-class QuietRuns(StatefulProcessor):
-    """The last report of a run, and a timer that fires when no other one came for ``after`` seconds."""
+#: states that hold the last reports of some runs each, so that a call serves many runs
+BUCKETS = 1024
+_LAST = {"run": "string", "shard": "int", "crate": "string", "status": "string", "micros": "bigint", "seq": "bigint"}
+_LAST_STATE = ", ".join(f"{name} array<{kind}>" for name, kind in {**_LAST, "marked": "boolean"}.items())
 
-    COLUMNS = ("crate_id", "shard", "crate", "status", "micros", "seq", "stalled")
 
-    def __init__(self, after: int, by_event_time: bool):
-        self.after, self.by_event_time = after, by_event_time
+def _follow(after: int, by_event_time: bool):
+    """The last reports of a bucket's runs are its state, with marks on those that stalled.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "crate string, status string, micros bigint, seq bigint")
-
-    def _row(self, key: tuple, last: tuple, stalled: bool) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], key[1], *last, stalled)], columns=list(self.COLUMNS))
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        last = tuple(self.last.get()) if self.last.exists() else None
-        before = last
-        for part in rows:
-            newest = part.sort_values(["micros", "seq"]).iloc[-1]
-            if last is None or (newest.micros, newest.seq) > (last[2], last[3]):
-                last = (newest.crate, newest.status, int(newest.micros), int(newest.seq))
-        if last == before:
-            return
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if last[1] in C.ACTIVE_STATUSES:
-            self.handle.registerTimer(last[2] // 1000 + self.after * 1000 + 1)
-        self.last.update(last)
-        yield self._row(key, last, False)
-
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
-        yield self._row(key, tuple(self.last.get()), True)
+    It times out when the first unmarked run has had no other report for ``after`` seconds.
+    """
 
-    def close(self) -> None:
-        pass
+    def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        # of equal reports the last one stays, so known ones come after new ones
+        parts = [] if state.hasTimedOut else [part[[*_LAST]].assign(marked=False, fresh=True) for part in frames]
+        if state.exists:
+            parts.append(pd.DataFrame(dict(zip([*_LAST, "marked"], state.get))).assign(fresh=False))
+        last = pd.concat(parts).sort_values(["micros", "seq"], kind="stable").drop_duplicates(["run", "shard"], keep="last")
+        now = state.getCurrentWatermarkMs() if by_event_time else state.getCurrentProcessingTimeMs()
+        waiting = last["status"].isin(C.ACTIVE_STATUSES) & ~last["marked"]
+        due = last["micros"] // 1000 + after * 1000
+        stalled = waiting & (due < now)
+        last["marked"] |= stalled
+        state.update(tuple(last[name].tolist() for name in (*_LAST, "marked")))
+        if (waiting & ~stalled).any():
+            first = int(due[waiting & ~stalled].min())
+            if by_event_time:
+                state.setTimeoutTimestamp(max(first, now + 1))
+            else:
+                state.setTimeoutDuration(max(first - now, 1))
+        out = pd.concat([last[last["fresh"]].assign(stalled=False), last[stalled].assign(stalled=True)])
+        if len(out):
+            yield out[[*_LAST, "stalled"]]
+
+    return follow
 
 
 STALLED_SCHEMA = "crate_id bigint, report struct<micros:bigint,seq:bigint,stalled:boolean,crate:string,status:string>"
 
 
-def quiet_runs(log: DataFrame, after_seconds: int = C.STALL_SECONDS, late: str | None = "0 seconds", shards: int = 4) -> DataFrame:
+def quiet_runs(
+    log: DataFrame, after_seconds: int = C.STALL_SECONDS, late: str | None = "0 seconds", shards: int = 4, buckets: int = BUCKETS
+) -> DataFrame:
     """A stream of (crate_id, report): the last report of a run as it changes, and again, marked, when it has stalled.
 
     With ``late`` the clock is the watermark, the largest report time less that
     much; reports behind it are dropped.  With None it is the time of day, and runs
-    are found without any new report.
+    are found without any new report.  Runs share ``buckets`` states; a batch
+    rewrites the states it has reports for.  Reports without a time are left out.
     """
     log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    timed = log.withColumn("updated_at", F.col("updated_at").cast("timestamp"))
+    timed = log.withColumn("updated_at", F.col("updated_at").cast("timestamp")).where("updated_at IS NOT NULL")
     timed = timed.withWatermark("updated_at", late) if late is not None else timed
+    # ids as text: a column of numbers with a null would become floats
     rows = timed.select(
-        F.col("crate_id").cast("bigint").alias("crate_id"), _shard("seq", shards), "crate", "status", F.unix_micros("updated_at").alias("micros"),
-        F.col("seq").cast("bigint").alias("seq"), *(["updated_at"] if late is not None else []),
+        F.col("crate_id").cast("bigint").cast("string").alias("run"), _shard("seq", shards), "crate", "status", F.unix_micros("updated_at").alias("micros"),
+        F.coalesce(F.col("seq").cast("bigint"), F.lit(-(2**63))).alias("seq"), *(["updated_at"] if late is not None else []),
     )
-    kinds = ("bigint", "int", "string", "string", "bigint", "bigint", "boolean")
-    out = rows.groupBy("crate_id", "shard").transformWithStateInPandas(
-        QuietRuns(after_seconds, late is not None), ", ".join(f"{n} {k}" for n, k in zip(QuietRuns.COLUMNS, kinds)),
-        "update", "eventTime" if late is not None else "processingTime",
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("run", "shard"), F.lit(buckets)))
+    out = dealt.groupBy("bucket").applyInPandasWithState(
+        _follow(after_seconds, late is not None), ", ".join(f"{n} {k}" for n, k in _LAST.items()) + ", stalled boolean", _LAST_STATE, "update",
+        GroupStateTimeout.EventTimeTimeout if late is not None else GroupStateTimeout.ProcessingTimeTimeout,
     )
-    return out.select("crate_id", F.struct("micros", "seq", "stalled", "crate", "status").alias("report"))
+    return out.select(F.col("run").cast("bigint").alias("crate_id"), F.struct("micros", "seq", "stalled", "crate", "status").alias("report"))
 
 
 def stalled_table(spark: SparkSession, path: str, every: int = 20) -> MergedTable:

@@ -153,3 +153,29 @@ def test_a_run_stalls_without_another_report(spark, tmp_path):
         assert [(r.crate_id, r.status) for r in stateful.stalled_runs(table).collect()] == [(1, "processing")]
     finally:
         query.stop()
+
+
+def test_many_runs_share_a_state(spark, tmp_path):
+    rows = [(i, i, f"c{i}", START + datetime.timedelta(seconds=i % 2 * 500), "started", None, None, None, None) for i in range(3000)]
+    write_log(spark, tmp_path / "in", [*rows, (3000, None, None, START, "started", None, None, None, None)])
+    table = stateful.stalled_table(spark, str(tmp_path / "table"))
+    query = stateful.feed(stateful.quiet_runs(log_stream(spark, tmp_path / "in"), 60, buckets=32), table, str(tmp_path / "progress"), "update")
+    assert sum(s["numRowsTotal"] for s in query.lastProgress["stateOperators"]) <= 32
+    assert {r.crate_id for r in stateful.stalled_runs(table).collect()} == {None, *range(0, 3000, 2)}
+
+
+def test_a_stalled_run_reports_again(spark, tmp_path):
+    row = lambda seq, crate, seconds, status: (seq, crate, f"c{crate}", START + datetime.timedelta(seconds=seconds), status, None, None, None, None)
+    progress, table = str(tmp_path / "progress"), stateful.stalled_table(spark, str(tmp_path / "table"))
+    seen = []
+    for part in (
+        [row(1, 1, 0, "started"), row(2, 2, 0, "started"), row(3, 3, 0, "started"), row(4, 9, 60, "completed")],
+        [row(5, 9, 61, "completed")],  # more than 60 seconds later
+        [row(6, 1, 62, "processing"), row(7, 2, 62, "failed"), row(8, 9, 100, "completed")],
+        [row(9, 9, 400, "completed")],
+    ):
+        write_log(spark, tmp_path / "in", part)
+        stateful.feed(stateful.quiet_runs(log_stream(spark, tmp_path / "in"), 60), table, progress, "update")
+        seen.append(sorted((r.crate_id, r.status) for r in stateful.stalled_runs(table).collect()))
+    every = [(1, "started"), (2, "started"), (3, "started")]
+    assert seen == [[], every, [(3, "started")], [(1, "processing"), (3, "started")]]
