@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.operators.search import regex_search
+from docquarry.plans.spread import pieces
 
 try:
     from re import _constants as ops
@@ -27,6 +28,10 @@ except ImportError:  # the parser is not a documented part of Python
 
 #: ids that become a list in the scan's filter, so that row groups are skipped; more are joined
 LISTED_IDS = 10_000
+#: text of the items whose ids are gathered in one row of a trigram
+PIECE_BYTES = 4_000_000
+#: files at most that the rows of one trigram are dealt out to
+SPREAD = 16
 
 #: ("all", parts), ("any", parts), ("text", literal); None where nothing is known
 Needed = tuple | None
@@ -107,9 +112,21 @@ def _holds(needed: tuple) -> Column:
     return out
 
 
+def _postings(numbers: list[int], texts: list[list[str | None]]) -> pa.RecordBatch:
+    """One row per trigram of some items: the ids of those that have it."""
+    own = [np.unique(np.concatenate([grams(t or "") for t in row])) for row in texts]
+    found = np.concatenate([*own, np.zeros(0, np.int64)])
+    ids = np.repeat(np.array(numbers, dtype=np.int64), [len(g) for g in own])
+    order = np.argsort(found, kind="stable")
+    found, ids = found[order], ids[order]
+    starts = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1]))) if len(found) else np.zeros(0, np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(found)).astype(np.int32)), pa.array(ids))
+    return pa.record_batch({"gram": pa.array(found[starts]), "ids": lists})
+
+
 @dataclass
 class TrigramIndex:
-    """Postings (gram, id) in order of the grams, over path and text of each item."""
+    """Postings (gram, ids) in order of the grams, over path and text of each item."""
 
     spark: SparkSession
     path: str
@@ -118,28 +135,30 @@ class TrigramIndex:
     def write(cls, items: DataFrame, path: str, files: int | None = None) -> TrigramIndex:
         """Postings of all items with an ``id``; null texts have none.
 
-        They are dealt out by ranges of (gram, id), so a trigram that every item has
-        is spread over many files, and a search reads the row groups of its trigrams.
+        A row has the ids of some thousand items at most, so a trigram that every
+        item has is many rows.  They are dealt out by gram and first id: such a
+        trigram lies in up to ``SPREAD`` files, and a search reads the row groups
+        of its trigrams.  Texts are read and cut into trigrams once.
         """
         spark = items.sparkSession
 
         def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for number, *texts in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    own = np.unique(np.concatenate([grams(t or "") for t in texts]))
-                    yield pa.record_batch({"gram": pa.array(own), "id": pa.array(np.full(len(own), number, dtype=np.int64))})
+            for part in pieces(batches, "content", PIECE_BYTES):
+                yield _postings(part.column(0).to_pylist(), list(zip(part.column(1).to_pylist(), part.column(2).to_pylist())))
 
-        rows = items.where("id IS NOT NULL").select(F.col("id").cast("bigint"), "item_path", "content").mapInArrow(post, "gram bigint, id bigint")
+        rows = items.where("id IS NOT NULL").select(F.col("id").cast("bigint"), "item_path", "content").mapInArrow(post, "gram bigint, ids array<bigint>")
         count = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-        rows.repartitionByRange(count, "gram", "id").sortWithinPartitions("gram", "id").write.mode("overwrite").parquet(path)
+        dealt = rows.repartition(count, F.col("gram"), F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(SPREAD)))
+        dealt.sortWithinPartitions("gram").write.mode("overwrite").parquet(path)
         return cls(spark, path)
 
     def candidates(self, needed: tuple) -> DataFrame:
         """Ids of the items that have all trigrams they need."""
         wanted = wanted_grams(needed)
-        postings = self.spark.read.schema("gram bigint, id bigint").parquet(self.path).where(F.col("gram").isin(sorted(wanted)))
+        postings = self.spark.read.schema("gram bigint, ids array<bigint>").parquet(self.path).where(F.col("gram").isin(sorted(wanted)))
         # at most as many trigrams as the pattern has
-        return postings.groupBy("id").agg(F.collect_set("gram").alias("found")).where(_holds(needed)).select("id")
+        single = postings.select("gram", F.explode("ids").alias("id"))
+        return single.groupBy("id").agg(F.collect_set("gram").alias("found")).where(_holds(needed)).select("id")
 
     def narrowed(self, items: DataFrame, pattern: str) -> DataFrame:
         """The items a pattern can match at all."""

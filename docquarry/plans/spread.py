@@ -1,9 +1,32 @@
-"""Using all cores on small inputs."""
+"""Using all cores on small inputs, and little memory on large ones."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+#: text that a worker turns into Python objects at a time
+PIECE_BYTES = 1 << 20
+
+
+def pieces(batches: Iterator[pa.RecordBatch], sized: str, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in pieces of about ``most`` bytes in the column ``sized``, a row at least.
+
+    A batch is cut by rows alone, so its texts may be large; a task that works on
+    one piece after the other holds the objects of one piece.
+    """
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(sized)), 0).to_numpy(zero_copy_only=False)
+        piece = np.cumsum(sizes) // most
+        cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(cuts, cuts[1:]):
+            if start < end:
+                yield batch.slice(start, end - start)
+
 
 def spread(df: DataFrame) -> DataFrame:
     """Deal out an input that is too small to give every core a split.

@@ -69,3 +69,11 @@ def test_more_ids_than_can_be_listed(items, index, monkeypatch):
 def test_empty_tables(items, spark, tmp_path):
     none = trigrams.TrigramIndex.write(items.limit(0), str(tmp_path / "none"))
     assert none.search(items.limit(0), "needle").collect() == []
+
+
+def test_ids_of_a_trigram_share_rows(items, index, spark):
+    stored = spark.read.parquet(index.path)
+    found = {(r.gram, r.id) for r in stored.select("gram", F.explode("ids").alias("id")).collect()}
+    want = {(int(g), r.id) for r in items.collect() for t in (r.item_path, r.content) for g in trigrams.grams(t or "")}
+    assert found == want
+    assert stored.count() * 5 < len(want)
