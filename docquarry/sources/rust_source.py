@@ -14,11 +14,12 @@ import tarfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry import constants as C
-from docquarry.plans.spread import spread
+from docquarry.plans.spread import pieces, spread
 
 ROW = "crate string, item_path string, header string, item_type string, signature string, content string, visibility string"
 MACRO_ROW = f"{ROW}, definition string, arms array<string>"
@@ -285,8 +286,10 @@ def macros(files: DataFrame) -> DataFrame:
         "crate", module_path(F.col("crate"), F.col("file")).alias("module"), "text"
     )
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in MACRO_ROW.split(", ")]
+        kinds = [pa.list_(pa.string()) if c.endswith(">") else pa.string() for c in MACRO_ROW.split(", ")]
+        for piece in pieces(batches, "text"):
             found = [
                 (
                     crate,
@@ -299,12 +302,13 @@ def macros(files: DataFrame) -> DataFrame:
                     m["definition"],
                     m["arms"],
                 )
-                for crate, module, text in zip(batch["crate"], batch["module"], batch["text"])
+                for crate, module, text in zip(*(piece.column(c).to_pylist() for c in ("crate", "module", "text")))
                 for m in find_macros(text)
             ]
-            yield pd.DataFrame(found, columns=[c.split()[0] for c in MACRO_ROW.split(", ")])
+            if found:
+                yield pa.record_batch([pa.array(values, kind) for values, kind in zip(zip(*found), kinds)], names=names)
 
-    return rows.mapInPandas(extract, MACRO_ROW)
+    return rows.mapInArrow(extract, MACRO_ROW)
 
 
 def source_items(files: DataFrame) -> DataFrame:
