@@ -7,16 +7,19 @@ import io
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry import constants as C
+from docquarry.plans.spread import pieces
 
 # first bytes of a zstandard and of a gzip file
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
 GZIP_MAGIC = b"\x1f\x8b"
+# bytes unpacked at a time
+READ_BYTES = 1 << 20
 
 
 def decompress(blob: bytes, limit: int = C.MAX_DECOMPRESSED) -> bytes:
@@ -30,26 +33,33 @@ def decompress(blob: bytes, limit: int = C.MAX_DECOMPRESSED) -> bytes:
         stream = gzip.GzipFile(fileobj=io.BytesIO(blob))
     else:
         stream = io.BytesIO(blob)
-    data = stream.read(limit + 1)
-    if len(data) > limit:
+    parts, size = [], 0
+    # in pieces: one read of the whole limit makes room for all of it
+    while size <= limit and (part := stream.read(min(READ_BYTES, limit + 1 - size))):
+        parts.append(part)
+        size += len(part)
+    if size > limit:
         raise ValueError(f"more than {limit} bytes after unpacking")
-    return data
+    return b"".join(parts)
 
 
 def unpack(blobs: DataFrame, limit: int = C.MAX_DECOMPRESSED) -> DataFrame:
     """Text of binary rows (``name``, ``content``); ``error`` tells what could not be read."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for name, blob in zip(batch["name"], batch["content"]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "content"):
+            texts, errors = [], []
+            for blob in piece.column("content"):
                 try:
-                    out.append((name, decompress(blob, limit).decode("utf-8"), None))
-                except (ValueError, OSError, EOFError, zlib.error, zstandard.ZstdError) as problem:
-                    out.append((name, None, str(problem)))
-            yield pd.DataFrame(out, columns=["name", "text", "error"])
+                    text, problem = decompress(blob.as_py(), limit).decode("utf-8"), None
+                except (ValueError, OSError, EOFError, zlib.error, zstandard.ZstdError) as found:
+                    text, problem = None, str(found)
+                texts.append(text)
+                errors.append(problem)
+            columns = {"name": piece.column("name"), "text": pa.array(texts, pa.string()), "error": pa.array(errors, pa.string())}
+            yield pa.record_batch(columns)
 
-    return blobs.select("name", "content").mapInPandas(run, "name string, text string, error string")
+    return blobs.select("name", "content").mapInArrow(run, "name string, text string, error string")
 
 
 def read_rustdoc(spark: SparkSession, path: str) -> DataFrame:
@@ -72,16 +82,18 @@ def pick_format(available: DataFrame) -> DataFrame:
 def compress(rows: DataFrame, codec: str) -> DataFrame:
     """Compressed form of text rows (``name``, ``text``) as ``name``, ``content``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zst = zstandard.ZstdCompressor()
+        for piece in pieces(batches, "text"):
             packed = []
-            for text in batch["text"]:
-                data = text.encode()
+            for text in piece.column("text"):
+                data = text.as_py().encode()
                 if codec == "zst":
-                    data = zstandard.ZstdCompressor().compress(data)
+                    data = zst.compress(data)
                 elif codec == "gz":
                     data = gzip.compress(data, mtime=0)
                 packed.append(data)
-            yield pd.DataFrame({"name": batch["name"] + f".{codec}", "content": packed})
+            names = [None if name is None else f"{name}.{codec}" for name in piece.column("name").to_pylist()]
+            yield pa.record_batch({"name": pa.array(names, pa.string()), "content": pa.array(packed, pa.binary())})
 
-    return rows.select("name", "text").mapInPandas(run, "name string, content binary")
+    return rows.select("name", "text").mapInArrow(run, "name string, content binary")

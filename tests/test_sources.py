@@ -188,3 +188,28 @@ def test_status_keeps_last_known_values(spark):
     log = log.selectExpr("*", "to_timestamp_ntz(t) AS updated_at", "cast(NULL AS string) AS error_message", "cast(NULL AS string) AS ingestion_tier")
     got = metrics.merge_status(log).head()
     assert (got["status"], got["items_processed"], got["total_items"], got["completed_at"]) == ("failed", 5, 9, None)
+
+
+def test_texts_become_objects_in_small_pieces():
+    import pyarrow as pa
+
+    from docquarry.plans.spread import pieces
+
+    texts = ["a" * 400, None, "b" * 5000, "", "c" * 700, "d" * 300, "e" * 10]
+    batch = pa.record_batch({"name": pa.array(range(7)), "text": pa.array(texts)})
+    found = list(pieces(iter([batch, batch.slice(0, 0)]), "text", 1000))
+    assert [t for p in found for t in p.column("text").to_pylist()] == texts
+    assert max(sum(len(t or "") for t in p.column("text").to_pylist()) for p in found) == 5000 and len(found) > 2
+
+
+def test_small_files_take_little_memory():
+    import tracemalloc
+
+    import zstandard
+
+    packed = zstandard.compress(b"text " * 1000)
+    tracemalloc.start()
+    assert archives.decompress(packed) == b"text " * 1000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10_000_000
