@@ -32,7 +32,7 @@ def _packed(tokens: np.ndarray) -> bytes:
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    halves = np.frombuffer(data, dtype="<u2").astype(np.int64)
+    halves = np.frombuffer(data, dtype="<u2").astype(np.int32)
     return halves[: len(halves) // 2] | halves[len(halves) // 2 :] << 16
 
 
@@ -65,7 +65,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, held: str) -> DataFrame
         for frame in frames:
             for doc, text, is_held in zip(frame.doc, frame.body, frame.held):
                 words = text.encode("utf-8", "surrogatepass").lower().split()
-                rows.append((None if pd.isna(doc) else int(doc), bool(is_held), np.fromiter(map(places.__getitem__, words), np.int64, len(words))))
+                rows.append((None if pd.isna(doc) else int(doc), bool(is_held), np.fromiter(map(places.__getitem__, words), np.int32, len(words))))
                 size += len(words)
                 if size >= BLOCK_TOKENS:
                     yield block(rows)
@@ -120,20 +120,18 @@ def _counted(blocks: DataFrame, buckets: int) -> tuple[int, int, np.ndarray]:
     return whole.n or 0, whole.v or 0, np.array([r.word for r in core], dtype=np.int64).view(np.uint64)
 
 
-def _training_pairs(tokens: np.ndarray, lengths: np.ndarray, held: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Classes before, at and after every place of the training texts, ends included.
+def _training_pairs(tokens: np.ndarray, lengths: np.ndarray, held: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes before and at every place of the training texts, ends included.
 
     ``tokens`` are classes of all texts in a row; an end stands before each text.
     """
     starts = np.cumsum(lengths) - lengths
     with_ends = np.insert(tokens, starts, end)  # every text's end stands for its begin
     lengths = lengths + 1
-    owner = np.repeat(np.arange(len(lengths)), lengths)
-    first = np.cumsum(lengths) - lengths
-    after = np.append(with_ends[1:], end)
+    after = np.append(with_ends[1:], with_ends.dtype.type(end))
     after[np.cumsum(lengths) - 1] = end
-    keep = ~held[owner]
-    return with_ends[keep], after[keep], np.isin(np.arange(len(with_ends)), first)[keep]
+    keep = np.repeat(~held, lengths)
+    return with_ends[keep], after[keep]
 
 
 def exchange(pairs: np.ndarray, words: int) -> np.ndarray:
@@ -215,8 +213,8 @@ def score_texts(docs: DataFrame, held: str, id_col: str = "doc_id", text_col: st
         counts = np.zeros((m + 2) * (m + 2), dtype=np.int64)
         for frame in frames:
             for tokens, lengths, is_held, words in zip(frame.tokens, frame.lengths, frame.held, frame.words):
-                of = _core_of(np.frombuffer(words, "<u8"), core)
-                before, after, _ = _training_pairs(of[_unpacked(tokens)], np.asarray(lengths), np.asarray(is_held, bool), m + 1)
+                of = _core_of(np.frombuffer(words, "<u8"), core).astype(np.int32)
+                before, after = _training_pairs(of[_unpacked(tokens)], np.asarray(lengths), np.asarray(is_held, bool), m + 1)
                 counts += np.bincount(before * (m + 2) + after, minlength=len(counts))
         at = np.flatnonzero(counts)
         yield pd.DataFrame({"pair": at, "n": counts[at]})
@@ -241,7 +239,7 @@ def score_texts(docs: DataFrame, held: str, id_col: str = "doc_id", text_col: st
                 words, trained = np.frombuffer(words, "<u8"), np.frombuffer(trained, "<i4")
                 tokens, lengths, is_held = _unpacked(tokens), np.asarray(lengths), np.asarray(is_held, bool)
                 in_core = _core_of(words, core)
-                classes = of[in_core][tokens]
+                classes = of[in_core].astype(np.uint8)[tokens]
                 stop = np.cumsum(lengths)
                 left, right = np.empty_like(classes), np.empty_like(classes)
                 left[1:], right[:-1] = classes[:-1], classes[1:]
@@ -310,14 +308,14 @@ def score_texts(docs: DataFrame, held: str, id_col: str = "doc_id", text_col: st
         for b, at in _slices(words, buckets):
             classes[at], totals[at] = np.frombuffer(by_bucket[b][0], np.uint8), np.frombuffer(by_bucket[b][1], "<i8")
         tokens, lengths = _unpacked(row.tokens), np.asarray(row.lengths)
-        owner = np.repeat(np.arange(len(lengths)), lengths)
+        owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         k = np.minimum(classes, CLASSES - 1)
         with np.errstate(divide="ignore"):
             emitted = np.where(classes == UNSEEN, 0, np.log10((1 - unseen[k]) * totals / np.maximum(total[k], 1)))
         per_doc = lambda values: np.bincount(owner, values[tokens], len(lengths))
         sequence = classes[tokens]
-        as_class = np.where(sequence == UNSEEN, 0, sequence).astype(np.int64)
-        before, after, _ = _training_pairs(as_class, lengths, np.asarray(row.held, bool), CLASSES)
+        as_class = np.where(sequence == UNSEEN, 0, sequence).astype(np.int16)
+        before, after = _training_pairs(as_class, lengths, np.asarray(row.held, bool), CLASSES)
         steps = np.bincount(before * (CLASSES + 1) + after, minlength=(CLASSES + 1) ** 2)
         return pd.DataFrame({
             "ids": [row.ids], "held": [row.held], "lengths": [lengths], "sequence": [sequence.tobytes()], "steps": [steps],
@@ -340,11 +338,11 @@ def score_texts(docs: DataFrame, held: str, id_col: str = "doc_id", text_col: st
     def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
-                sequence, lengths = np.frombuffer(row.sequence, np.uint8).astype(np.int64), np.asarray(row.lengths)
+                sequence, lengths = np.frombuffer(row.sequence, np.uint8).astype(np.int16), np.asarray(row.lengths)
                 sequence[sequence == UNSEEN] = CLASSES + 1
                 starts = np.cumsum(lengths) - lengths
                 padded = np.insert(sequence, starts, CLASSES)
-                after = np.append(padded[1:], CLASSES)
+                after = np.append(padded[1:], padded.dtype.type(CLASSES))
                 after[np.cumsum(lengths + 1) - 1] = CLASSES
                 owner = np.repeat(np.arange(len(lengths)), lengths + 1)
                 moved = np.bincount(owner, worth[padded, after], len(lengths))
