@@ -61,7 +61,7 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float) -> tuple[np.ndarray,
     ``prior`` is the toxic share of all labelled rows; the sample has another one.
     """
     positive, space = toxic.astype(bool), 1 << HASH_BITS
-    rows = [_present([t]) for t in texts]
+    rows = [_present([t]).astype(np.int32) for t in texts]  # of one text: slots alone
     for_, against = np.zeros(space), np.zeros(space)
     for slots, y in zip(rows, positive):
         (for_ if y else against)[slots] += 1
@@ -160,9 +160,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col
         for part in parts:
             texts, sums = part.tolist(), np.full(len(part), intercept)
             first = 0
-            while first < len(texts):  # some megabytes at a time
+            while first < len(texts):  # a dozen bytes and more for every character
                 last, chars = first, 0
-                while last < len(texts) and (last == first or chars + len(texts[last]) < 2_000_000):
+                while last < len(texts) and (last == first or chars + len(texts[last]) < 500_000):
                     chars, last = chars + len(texts[last]), last + 1
                 seen = _present(texts[first:last], keep)
                 sums[first:last] += np.bincount(seen >> HASH_BITS, weight_of[seen & ((1 << HASH_BITS) - 1)], last - first)
