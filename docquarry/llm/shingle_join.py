@@ -126,8 +126,8 @@ def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield piece
 
 
-def _common(texts: DataFrame) -> np.ndarray:
-    """Shingles that many documents share, rarest first.
+def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many documents share, rarest first, and how often they were counted.
 
     They are ordered last in every document, which keeps shared passages out of
     the prefixes.  Any order gives the same links; the list only saves work, and
@@ -143,11 +143,16 @@ def _common(texts: DataFrame) -> np.ndarray:
 
     rows = texts.mapInPandas(repeated, "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times"))
     top = rows.orderBy(F.desc("times"), "shingle").limit(COMMON).collect()
-    return np.array([r.shingle for r in reversed(top)], dtype=np.int64)
+    top.reverse()
+    return np.array([r.shingle for r in top], dtype=np.int64), np.array([r.times for r in top], dtype=np.int64)
 
 
-def _described(texts: DataFrame, common: np.ndarray) -> DataFrame:
-    """Per document: node (hash of its set), set size, bitmaps and prefix."""
+def _described(texts: DataFrame, common: np.ndarray, times: np.ndarray) -> DataFrame:
+    """Per document: node (hash of its set), set size, bitmaps, prefix and what it shares.
+
+    The latter sums the counts of all its common shingles: the text that a group
+    of near copies stems from has most of what they share.
+    """
     by_hash = np.argsort(common, kind="stable")
     sorted_common = common[by_hash]
     # most shingles are ruled out by their last bits
@@ -181,6 +186,8 @@ def _described(texts: DataFrame, common: np.ndarray) -> DataFrame:
             wide = _wide_maps(shingles, sizes)
             late, starts = places(shingles), np.cumsum(sizes) - sizes
             reach = np.where(sizes > 0, sizes - (4 * sizes + 4) // 5 + 1, 0)
+            listing = late >= 0
+            shares = np.bincount(owner[listing], weights=times[late[listing]], minlength=len(piece)).astype(np.int64)
             yield pd.DataFrame({
                 "doc": piece.doc.to_numpy(),
                 "node": node,
@@ -188,9 +195,10 @@ def _described(texts: DataFrame, common: np.ndarray) -> DataFrame:
                 "bitmap": list(maps),
                 "wide": wide,
                 "prefix": [prefix(shingles[s : s + n], late[s : s + n], r) for s, n, r in zip(starts, sizes, reach)],
+                "shares": shares,
             })
 
-    return texts.mapInPandas(describe, "doc long, node long, n long, bitmap array<long>, wide array<long>, prefix array<long>")
+    return texts.mapInPandas(describe, "doc long, node long, n long, bitmap array<long>, wide array<long>, prefix array<long>, shares long")
 
 
 def _fits(n: str, m: str) -> Column:
@@ -301,24 +309,24 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
        So groups of copies do not grow with the square of their size.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), whole_text(text_col).alias("body"))
-    described = staged(_described(texts, _common(texts)))
+    described = staged(_described(texts, *_common(texts)))
     sets = staged(
         described.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.first("wide").alias("wide"))
     )
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(BAND))).cast("int")
-    met = described.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "shingle"))
+    met = described.select("node", F.col("n").cast("int").alias("n"), "shares", F.posexplode("prefix").alias("place", "shingle"))
     # the smaller set of a link has the first shared shingle in the first ninth of its order
     same, tile = Window.partitionBy("shingle"), Window.partitionBy("shingle", "band")
     meeting = staged(
         met.withColumn("low", F.min("node").over(same)).withColumn("high", F.max("node").over(same))
         .withColumn("many", F.count("*").over(same)).withColumn("early", F.min(F.expr("9L * place - n")).over(same))
         .where("low <> high and early <= 0")
-        .select("shingle", "node", "n", "place", band.alias("band"), "many").distinct()
+        .select("shingle", "node", "n", "place", band.alias("band"), "many", "shares").distinct()
     )
     # the text that copies stem from shares most with the others: it leads its tiles
-    favour = meeting.groupBy("node").agg(F.sum("many").alias("favour"))
+    favour = meeting.groupBy("node").agg(F.struct(F.max("shares"), F.sum("many")).alias("favour"))
     shared = staged(
-        meeting.drop("many").join(favour, "node")
+        meeting.drop("many", "shares").join(favour, "node")
         .withColumn("leader", F.max(F.struct("favour", "node", "n")).over(tile))
         .select("shingle", "node", "n", "place", "band", F.col("leader.node").alias("leader"), F.col("leader.n").alias("leader_n"))
     )
