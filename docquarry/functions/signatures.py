@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from docquarry import constants as C
 
@@ -148,6 +149,120 @@ def type_names(trees: pd.Series) -> pd.Series:
     return trees.map(lambda row: None if row is None else [_render_json(t) for t in row])
 
 
+def _node(value) -> dict:
+    """A JSON object, also one that is written as a text; anything else holds nothing."""
+    if isinstance(value, str):
+        try:
+            value = json.loads(value, parse_float=str)
+        except ValueError:
+            return {}
+    return value if isinstance(value, dict) else {}
+
+
+def _at(value, *keys: str):
+    """What lies under ``keys``, or None."""
+    for key in keys:
+        value = value.get(key) if isinstance(value, dict) else None
+    return value
+
+
+def _members(value) -> list:
+    """A JSON array, also one that is written as a text; anything else has no members."""
+    if isinstance(value, str):
+        try:
+            value = json.loads(value, parse_float=str)
+        except ValueError:
+            return []
+    return value if isinstance(value, list) else []
+
+
+def _as_text(value) -> str | None:
+    """A text as it is, any other value as JSON."""
+    if value is None or isinstance(value, str):
+        return value
+    return json.dumps(value, separators=(",", ":"), ensure_ascii=False)
+
+
+def _first(*values):
+    return next((v for v in values if v is not None), None)
+
+
+def _bare(name) -> str | None:
+    """A name without the quote of a lifetime."""
+    text = _as_text(name)
+    return text and text.removeprefix("'")
+
+
+def _rendered(tree) -> str | None:
+    return _render_json(tree) if isinstance(tree, str) else render_type(tree)
+
+
+def _bound(bound) -> str | None:
+    """One bound as it is written; a lifetime stands for itself."""
+    node = _node(bound)
+    trait = _first(_at(node, "trait_bound", "trait"), _at(node, "trait"))
+    if isinstance(trait, str) and trait.lstrip().startswith("{"):
+        trait = _node(trait) or trait
+    if isinstance(trait, dict) and next(iter(trait), None) != "resolved_path":
+        trait = {"resolved_path": trait}
+    text = _rendered(_first(trait, _at(node, "outlives"), bound))
+    relaxed = _at(node, "trait_bound", "modifier") == "maybe"
+    return f"?{text}" if relaxed and text is not None else text
+
+
+def _parameters(params: str | None, where: str | None) -> list[dict]:
+    """Named parameters with their distinct bounds, those of the list before those of the clauses."""
+    nodes = [_node(p) for p in _members(params)]
+    names = [_bare(node.get("name")) for node in nodes]
+    bounds: dict[str, dict] = {name: {} for name in names if name is not None}
+
+    def add(name: str | None, trees: list) -> None:
+        if name in bounds:
+            bounds[name].update(dict.fromkeys(t for t in map(_bound, trees) if t is not None))
+
+    for name, node in zip(names, nodes):
+        kind = node.get("kind")
+        const = _at(kind, "const", "type")
+        add(name, _members(_at(kind, "type", "bounds")) + _members(_at(kind, "lifetime", "outlives"))
+            + ([] if const is None else [const]))
+    for clause in map(_node, _members(where)):
+        name = _first(_at(clause, "bound_predicate", "type", "generic"), _at(clause, "lifetime_predicate", "lifetime"),
+                      _at(clause, "region_predicate", "lifetime"))
+        add(_bare(name), _members(_at(clause, "bound_predicate", "bounds"))
+            + _members(_at(clause, "lifetime_predicate", "outlives")))
+    rows = []
+    for position, (name, node) in enumerate(zip(names, nodes)):
+        if name is None:
+            continue
+        kind = node.get("kind")
+        is_lifetime, is_const = _at(kind, "lifetime") is not None, _at(kind, "const") is not None
+        rows.append({
+            "position": position,
+            "param_name": f"'{name}" if is_lifetime else _as_text(node["name"]),
+            "param_kind": "lifetime" if is_lifetime else "const" if is_const else "type",
+            "bounds": " + ".join(bounds[name]) or None,
+            "default_value": _first(_rendered(_at(kind, "type", "default")), _as_text(_at(kind, "const", "default"))),
+        })
+    return rows
+
+
+PARAMETER = StructType(
+    [StructField("position", IntegerType())]
+    + [StructField(name, StringType()) for name in ("param_name", "param_kind", "bounds", "default_value")]
+)
+
+
+@F.arrow_udf(ArrayType(PARAMETER))
+def generic_parameters(params: pa.Array, where: pa.Array) -> pa.Array:
+    """Generic parameters of an item from the JSON of its list and its where clauses.
+
+    Each text is parsed once, as JSON paths in nested lambdas parse it for every
+    field of every bound.
+    """
+    rows = [_parameters(p, w) for p, w in zip(params.to_pylist(), where.to_pylist())]
+    return pa.array(rows, pa.list_(pa.struct([(f.name, pa.int32() if f.name == "position" else pa.string()) for f in PARAMETER])))
+
+
 def input_name(tree: Column) -> Column:
     """Parameter name of one input, an object or a ``[name, type]`` pair."""
     return F.coalesce(

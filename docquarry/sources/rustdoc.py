@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,16 @@ class Parsed:
     index: DataFrame
     paths: DataFrame
 
+    @cached_property
+    def entries(self) -> DataFrame:
+        """``parse_items`` without texts, staged: most tables start from it."""
+        return staged(parse_items(self).drop("docs", "links"))
+
+    @cached_property
+    def blocks(self) -> DataFrame:
+        """``impls`` with the full path of their trait, staged: types are rendered once."""
+        return staged(resolve_traits(impls(self), full_paths(self), "trait_ref", "trait_path"))
+
 
 def parse(files: DataFrame) -> Parsed:
     """Parse every file (``crate``, ``version``, ``text``) once.
@@ -203,7 +214,7 @@ def modules_table(files: Parsed) -> DataFrame:
     placed = modules.withColumn("_up", paths.parent_of(F.col("path"))).join(
         parents, ["crate", "version", "_up"], "left"
     )
-    items = parse_items(files).where(F.col("item_type") != "module")
+    items = files.entries.where(F.col("item_type") != "module")
     counts = items.groupBy("crate", "version", paths.parent_of(F.col("item_path")).alias("path")).agg(
         F.count("*").alias("item_count")
     )
@@ -275,8 +286,7 @@ def impls(files: Parsed) -> DataFrame:
 
 def trait_impls(files: Parsed) -> DataFrame:
     """``impl Trait for Type`` blocks; inherent blocks are left out."""
-    rows = impls(files).where(F.col("trait_ref").isNotNull())
-    rows = resolve_traits(rows, full_paths(files), "trait_ref", "trait_path")
+    rows = files.blocks.where(F.col("trait_ref").isNotNull())
     params = _json("body", "$.generics.params")
     names = F.transform(
         F.from_json(params, "array<string>"), lambda p: F.coalesce(_json(p, "$.name"), F.lit("?"))
@@ -312,7 +322,7 @@ def trait_impls(files: Parsed) -> DataFrame:
 
 def traits(files: Parsed) -> DataFrame:
     """Trait definitions with member ids; ``supertrait_rows`` lists their bounds."""
-    rows = parse_items(files).where(F.col("inner_kind") == "trait")
+    rows = files.entries.where(F.col("inner_kind") == "trait")
     return rows.select(
         *KEY,
         F.col("item_path").alias("trait_path"),
@@ -373,7 +383,7 @@ def associated_items(files: Parsed) -> DataFrame:
 
 def methods(files: Parsed) -> DataFrame:
     """Methods of all impl blocks: inherent ones, trait ones, inherited defaults."""
-    blocks = resolve_traits(impls(files), full_paths(files), "trait_ref", "trait_path")
+    blocks = files.blocks
     index = files.index.select(
         *KEY, "name", "visibility", F.coalesce(F.col("inner")["function"], F.col("inner")["method"]).alias("body")
     )
@@ -455,8 +465,7 @@ def located_paths(files: Parsed) -> DataFrame:
     gets a hash of its impl block and signature, so none replaces another.
     """
     known = full_paths(files).select("crate", "version", F.col("item_id").alias("_type_id"), F.col("full").alias("_type"))
-    blocks = resolve_traits(impls(files), full_paths(files), "trait_ref", "trait_path")
-    blocks = blocks.withColumns({
+    blocks = files.blocks.withColumns({
         "_type_id": _json("body", "$.for.resolved_path.id"),
         "_trait": signatures.type_name(F.concat(F.lit('{"resolved_path": '), "trait_ref", F.lit("}"))),
     }).join(known, ["crate", "version", "_type_id"], "left")
@@ -468,7 +477,7 @@ def located_paths(files: Parsed) -> DataFrame:
         F.concat_ws("|", "impl_type_path", "_trait", _json("body", "$.generics.where_predicates")).alias("block"),
         F.explode("members").alias("item_id"),
     )
-    holders = parse_items(files).where(F.coalesce("inner_kind", F.lit("")) != "impl")
+    holders = files.entries.where(F.coalesce("inner_kind", F.lit("")) != "impl")
     of_holders = holders.select(
         "crate", "version", F.col("item_path").alias("owner"), F.lit("").alias("block"),
         F.explode(_ids("$.items", "$.variants", "$.kind.plain.fields", "$.fields", "$.kind.struct.fields")).alias("item_id"),
@@ -493,10 +502,6 @@ def with_places(rows: DataFrame, places: DataFrame) -> DataFrame:
     return placed.withColumn("item_path", F.coalesce("located_path", "item_path")).drop("located_path")
 
 
-def _unquoted(name: Column) -> Column:
-    return F.regexp_replace(name, "^'", "")
-
-
 def generic_constraints(files: Parsed, places: DataFrame | None = None) -> DataFrame:
     """Generic parameters of items with all their bounds, from the list and the where clauses.
 
@@ -507,61 +512,15 @@ def generic_constraints(files: Parsed, places: DataFrame | None = None) -> DataF
     ``located_paths`` at hand.
     """
     places = located_paths(files) if places is None else places
-    generic = parse_items(files).where(F.size(_json_array("body", "$.generics.params")) > 0)
-    items = with_places(generic, places).select(
-        *KEY, "item_path",
-        _json_array("body", "$.generics.params").alias("params"),
-        F.coalesce(_json_array("body", "$.generics.where_predicates"), F.array().cast("array<string>")).alias("where"),
-    )
-
-    def listed(tree: Column, place: str) -> Column:
-        return F.coalesce(F.from_json(_json(tree, place), "array<string>"), F.array().cast("array<string>"))
-
-    def pairs(name: Column, trees: Column) -> Column:
-        return F.transform(trees, lambda t: F.struct(_unquoted(name).alias("name"), t.alias("tree")))
-
-    own = F.transform("params", lambda p: pairs(_json(p, "$.name"), F.concat(
-        listed(p, "$.kind.type.bounds"), listed(p, "$.kind.lifetime.outlives"),
-        F.array_compact(F.array(_json(p, "$.kind.const.type"))),
-    )))
-    named = F.transform("where", lambda w: pairs(
-        F.coalesce(_json(w, "$.bound_predicate.type.generic"), _json(w, "$.lifetime_predicate.lifetime"),
-                   _json(w, "$.region_predicate.lifetime")),
-        F.concat(listed(w, "$.bound_predicate.bounds"), listed(w, "$.lifetime_predicate.outlives")),
-    ))
-    all_bounds = F.filter(F.flatten(F.concat(own, named)), lambda x: x["name"].isNotNull())
-
-    def tree_of(bound: Column) -> Column:
-        """The type tree of a bound; a lifetime stands for itself."""
-        trait = F.coalesce(_json(bound, "$.trait_bound.trait"), _json(bound, "$.trait"))
-        tree = F.when(F.coalesce(trait, F.lit("")).rlike(r'^\s*\{(?!"resolved_path")'), F.concat(F.lit('{"resolved_path": '), trait, F.lit("}")))
-        return F.coalesce(tree, trait, _json(bound, "$.outlives"), bound)
-
-    rows = items.withColumn("_all", all_bounds)
-    rows = rows.withColumn("_texts", signatures.type_names(F.transform("_all", lambda x: tree_of(x["tree"]))))
-    relaxed = F.transform("_all", lambda x: F.coalesce(_json(x["tree"], "$.trait_bound.modifier"), F.lit("")) == "maybe")
-    rows = rows.withColumn("_known", F.zip_with(
-        F.zip_with("_all", relaxed, lambda x, r: F.struct(x["name"].alias("name"), r.alias("relaxed"))), "_texts",
-        lambda x, t: F.struct(x["name"].alias("name"), F.concat(F.when(x["relaxed"], "?").otherwise(""), t).alias("text")),
-    ))
-    one = rows.select(*KEY, "item_path", "_known", F.posexplode("params").alias("position", "param"))
-    name = _json("param", "$.name")
-    kind = F.when(_json("param", "$.kind.lifetime").isNotNull(), "lifetime").when(
-        _json("param", "$.kind.const").isNotNull(), "const").otherwise("type")
-    mine = F.filter("_known", lambda b: (b["name"] == _unquoted(name)) & b["text"].isNotNull())
-    bounds = F.array_join(F.array_distinct(F.transform(mine, lambda b: b["text"])), " + ")
-    return one.select(
-        *KEY,
-        "item_path",
-        F.when(kind == "lifetime", F.concat(F.lit("'"), _unquoted(name))).otherwise(name).alias("param_name"),
-        kind.alias("param_kind"),
-        F.when(bounds != "", bounds).alias("bounds"),
-        F.coalesce(signatures.type_name(_json("param", "$.kind.type.default")), _json("param", "$.kind.const.default")).alias(
-            "default_value"
-        ),
+    generic = files.entries.where(F.size(_json_array("body", "$.generics.params")) > 0)
+    found = signatures.generic_parameters(_json("body", "$.generics.params"), _json("body", "$.generics.where_predicates"))
+    # apart from the join, so that only the two lists go through Python with the keys
+    listed = generic.select(*KEY, "item_path", found.alias("found"))
+    return with_places(listed, places).select(*KEY, "item_path", F.inline("found")).select(
+        *KEY, "item_path", "param_name", "param_kind", "bounds", "default_value",
         F.lit(None).cast("string").alias("variance"),  # not part of the format
         "position",
-    ).where(F.col("param_name").isNotNull())
+    )
 
 
 # --- links -----------------------------------------------------------------------

@@ -88,3 +88,59 @@ def test_files_without_entries_give_no_rows(spark):
 def test_ids_are_the_same_in_every_release(stored):
     per_path = stored.items.groupBy("item_path").agg(F.count_distinct("id").alias("n"))
     assert per_path.where("n > 1").isEmpty()
+
+
+def generics(spark, params, where=()):
+    """Constraints of one struct with these parameters and where clauses, without the keys."""
+    body = {"generics": {"params": params, "where_predicates": list(where)}}
+    text = json.dumps({"index": {"0": {"name": "S", "docs": "", "inner": {"struct": body}}}, "paths": {}})
+    found = rustdoc.generic_constraints(rustdoc.parse(frame(spark, ("a", "1", text))))
+    return found, [(r.position, r.param_name, r.param_kind, r.bounds, r.default_value) for r in found.orderBy("position").collect()]
+
+
+def test_generics_of_odd_shapes(spark):
+    trait = {"trait_bound": {"trait": {"name": "Into", "args": {"angle_bracketed": {"args": [{"type": {"primitive": "u8"}}]}}}}}
+    maybe = {"trait_bound": {"trait": {"name": "Sized"}, "modifier": "maybe"}}
+    _, rows = generics(
+        spark,
+        [
+            {"name": "'a", "kind": {"lifetime": {"outlives": ["'b", "'b"]}}},
+            {"name": "T", "kind": {"type": {"bounds": [trait, maybe, trait, None], "default": "u8"}}},
+            None,
+            "not an object",
+            {"kind": {"type": {}}},
+            {"name": "N", "kind": {"const": {"type": {"primitive": "usize"}, "default": 3}}},
+            {"name": 7, "kind": "odd"},
+            {"name": "E", "kind": {"type": {"bounds": {"trait": "X"}, "default": {"generic": "T"}}}},
+        ],
+        [
+            {"bound_predicate": {"type": {"generic": "T"}, "bounds": [{"trait": "Send"}, {"outlives": "'a"}]}},
+            {"lifetime_predicate": {"lifetime": "'a", "outlives": ["'c"]}},
+            {"region_predicate": {"lifetime": "a", "bounds": []}},
+            {"bound_predicate": {"type": {"qualified_path": {"name": "Item"}}, "bounds": [trait]}},
+            "odd",
+        ],
+    )
+    assert rows == [
+        (0, "'a", "lifetime", "'b + 'c", None),
+        (1, "T", "type", "Into<u8> + ?Sized + Send + 'a", "u8"),
+        (5, "N", "const", "usize", "3"),
+        (6, "7", "type", None, None),
+        (7, "E", "type", None, "T"),
+    ]
+
+
+def test_generics_are_parsed_once_per_item(spark):
+    """No JSON path inside a lambda: there it parses a text anew for each field of each bound."""
+    found, _ = generics(spark, [{"name": "T", "kind": {"type": {"bounds": []}}}])
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_blocks_and_entries_are_computed_once(spark):
+    """Types are rendered and places joined once for all tables of the same files."""
+    files = rustdoc.parse(frame(spark, ("net", "1", a_file("x"))))
+    plans = [t._jdf.queryExecution().optimizedPlan().toString()
+             for t in (rustdoc.trait_rows(files), rustdoc.located_paths(files), rustdoc.generic_constraints(files))]
+    assert files.blocks is files.blocks and files.entries is files.entries
+    # what is left renders trait arguments of blocks; their types are not rendered again
+    assert not any('$.for)' in plan for plan in plans)
