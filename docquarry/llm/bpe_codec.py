@@ -12,11 +12,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import query, table, whole_text
+from docquarry.llm.common import giving_back, query, table, whole_text
 
 #: a chunk ends where the hash of the last 16 characters has this many zero bits
 WINDOW_DOUBLINGS, MASK_BITS = 4, 9
-#: characters of chunks that a worker remembers
+#: characters of chunks that a task remembers
 REMEMBERED_CHARS = 12_000_000
 #: characters whose chunk ends are found at once
 BATCH_CHARS = 1_000_000
@@ -44,6 +44,12 @@ class ChunkCodec:
         self.core = tiktoken.Encoding("byte level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, tuple[bytes, bytes]] = {}
         self.held = 0
+
+    def forget(self) -> None:
+        """Drop the remembered chunks."""
+        self.known.clear()
+        self.held = 0
+
     def cuts(self, texts: list[str]) -> list[list[int]]:
         """Places where each text may be cut: both sides of every chunk end.
 
@@ -87,7 +93,7 @@ class ChunkCodec:
                 found = self.chunk(part)
                 self.held += len(part)
                 if self.held > REMEMBERED_CHARS:
-                    known.clear()
+                    self.forget()
                     self.held = len(part)
                 known[part] = found
             ids.append(found[0])
@@ -128,6 +134,25 @@ def _codec(path: str) -> ChunkCodec:
     return ChunkCodec(path)
 
 
+def coded_rows(path: str, batches: Iterator[list[str]], with_text: bool = False) -> Iterator[list[list]]:
+    """Token counts and hashes of every text of every batch; chunks are remembered until the last one."""
+    codec = _codec(path)
+    for texts in batches:
+        rows, first = [], 0
+        while first < len(texts):
+            last, chars = first, 0
+            while last < len(texts) and (last == first or chars + len(texts[last]) < BATCH_CHARS):
+                chars, last = chars + len(texts[last]), last + 1
+            for ids, back in codec.encode(texts[first:last]):
+                decoded = back.decode("utf-8", "replace")
+                row = [len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest()]
+                rows.append([*row, np.frombuffer(ids, dtype="<u4").astype(np.int32), decoded] if with_text else row)
+            first = last
+        del texts  # before the next batch comes
+        yield rows
+    codec.forget()
+
+
 def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", with_text: bool = True) -> DataFrame:
     """``docs`` with n_tokens, ids_sha256, decoded_sha256, ids and decoded (in place of such columns).
 
@@ -141,24 +166,14 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", with_te
     fields = "n_tokens long, ids_sha256 string, decoded_sha256 string"
     fields += ", ids array<int>, decoded string" if with_text else ""
 
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_text else [])]
+
     @F.pandas_udf(fields)
+    @giving_back
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = _codec(tokenizer_path)
-        for part in parts:
-            rows, texts, first = [], part.tolist(), 0
-            while first < len(texts):
-                last, chars = first, 0
-                while last < len(texts) and (last == first or chars + len(texts[last]) < BATCH_CHARS):
-                    chars, last = chars + len(texts[last]), last + 1
-                for ids, back in codec.encode(texts[first:last]):
-                    decoded = back.decode("utf-8", "replace")
-                    row = [len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest()]
-                    rows.append([*row, np.frombuffer(ids, dtype="<u4").astype(np.int32), decoded] if with_text else row)
-                first = last
-            names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_text else [])]
+        for rows in coded_rows(tokenizer_path, map(pd.Series.tolist, parts), with_text):
             yield pd.DataFrame(rows, columns=names)
 
-    names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_text else [])]
     kept = [c for c in docs.columns if c not in names]
     coded = docs.select(F.struct(*kept).alias("whole"), run(whole_text(text_col)).alias("coded"))
     return coded.select("whole.*", "coded.*")

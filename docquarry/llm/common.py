@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import ctypes
+import functools
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +46,29 @@ def fold(column: str, parts: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % parts, F.lit(0))
 
 
+def _give_back() -> None:
+    """Return freed memory of this process to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def giving_back(work: Callable[[Iterator[Any]], Iterator[Any]]) -> Callable[[Iterator[Any]], Iterator[Any]]:
+    """``work`` over the batches of a partition, whose memory goes back to the system at the end.
+
+    A Python worker lives on after its task; what it keeps adds to the memory
+    that the executor needs in all later steps.
+    """
+
+    @functools.wraps(work)
+    def run(parts: Iterator[Any]) -> Iterator[Any]:
+        yield from work(parts)
+        _give_back()
+
+    return run
+
+
 def small_table(spark: SparkSession, rows: Iterable[tuple[int, ...]], names: list[str]) -> DataFrame:
     """A table of whole numbers from the driver, built on the JVM side.
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import query, table, whole_text
+from docquarry.llm.common import giving_back, query, table, whole_text
 from docquarry.llm.components import components
 from docquarry.session import staged
 
@@ -141,7 +141,7 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             often = times >= COMMON_IN_BATCH
             yield pd.DataFrame({"shingle": found[often], "times": times[often]})
 
-    rows = texts.mapInPandas(repeated, "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times"))
+    rows = texts.mapInPandas(giving_back(repeated), "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times"))
     top = rows.orderBy(F.desc("times"), "shingle").limit(COMMON).collect()
     top.reverse()
     return np.array([r.shingle for r in top], dtype=np.int64), np.array([r.times for r in top], dtype=np.int64)
@@ -198,7 +198,7 @@ def _described(texts: DataFrame, common: np.ndarray, times: np.ndarray) -> DataF
                 "shares": shares,
             })
 
-    return texts.mapInPandas(describe, "doc long, node long, n long, bitmap array<long>, wide array<long>, prefix array<long>, shares long")
+    return texts.mapInPandas(giving_back(describe), "doc long, node long, n long, bitmap array<long>, wide array<long>, prefix array<long>, shares long")
 
 
 def _fits(n: str, m: str) -> Column:
@@ -282,7 +282,7 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = pairs.join(wanted.toDF("key_a", "x"), F.col("doc_a").eqNullSafe(F.col("key_a"))).join(
         wanted.toDF("key_b", "y"), F.col("doc_b").eqNullSafe(F.col("key_b"))
     )
-    return both.select("a", "b", "x", "y", "name_a", "name_b").mapInPandas(intersect, "name_a long, name_b long")
+    return both.select("a", "b", "x", "y", "name_a", "name_b").mapInPandas(giving_back(intersect), "name_a long, name_b long")
 
 
 def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import fold, query, table, whole_text
+from docquarry.llm.common import fold, giving_back, query, table, whole_text
 
 #: n-gram lengths and the hashed feature space
 SIZES = (3, 4, 5)
@@ -61,31 +61,33 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float) -> tuple[np.ndarray,
     ``prior`` is the toxic share of all labelled rows; the sample has another one.
     """
     positive, space = toxic.astype(bool), 1 << HASH_BITS
-    rows = [_present([t]).astype(np.int32) for t in texts]  # of one text: slots alone
-    for_, against = np.zeros(space), np.zeros(space)
-    for slots, y in zip(rows, positive):
-        (for_ if y else against)[slots] += 1
+    for_, against = np.zeros(space, dtype=np.int32), np.zeros(space, dtype=np.int32)
+    for text, y in zip(texts, positive):
+        (for_ if y else against)[_present([text])] += 1  # of one text: slots alone
     n_for, n_against = max(positive.sum(), 1), max((~positive).sum(), 1)
-    both = for_ + against
-    share_for, share_against = for_ / n_for, against / n_against
-    pooled = both / (n_for + n_against)
+    all_for, all_against = for_.sum(dtype=np.int64) + space, against.sum(dtype=np.int64) + space
+    often = np.flatnonzero(for_ + against >= LEAST_DOCS)
+    for_, against = for_[often].astype(np.float64), against[often].astype(np.float64)
+    pooled = (for_ + against) / (n_for + n_against)
     spread = np.sqrt(pooled * (1 - pooled) * (1 / n_for + 1 / n_against)) + 1e-9
-    strength = np.where(both >= LEAST_DOCS, np.abs(share_for - share_against) / spread, 0)
-    chosen = np.sort(np.argsort(-strength, kind="stable")[:FEATURES])
-    chosen = chosen[strength[chosen] > 0]
-    ratio = np.log(((for_ + 1) / (for_ + 1).sum()) / ((against + 1) / (against + 1).sum()))[chosen]
-
+    strength = np.abs(for_ / n_for - against / n_against) / spread
+    best = np.sort(np.argsort(-strength, kind="stable")[:FEATURES])
+    best = best[strength[best] > 0]
+    chosen = often[best]
+    ratio = np.log(((for_[best] + 1) / all_for) / ((against[best] + 1) / all_against))
+    del often, for_, against, pooled, spread, strength
+
+    # slots of all texts would take more than the texts: the chosen ones are looked up again
+    keep = np.zeros(space, dtype=bool)
+    keep[chosen] = True
     x = np.zeros((len(texts), len(chosen)), dtype=np.float32)
-    for i, slots in enumerate(rows):
-        at = np.searchsorted(chosen, slots)
-        at[at == len(chosen)] = 0
-        if len(chosen):
-            x[i, at[chosen[at] == slots]] = 1
+    for i, text in enumerate(texts):
+        x[i, np.searchsorted(chosen, _present([text], keep))] = 1
     x *= ratio.astype(np.float32)
     # logistic loss with a ridge, by accelerated gradient steps
     y = positive.astype(np.float64)
     w, b = np.zeros(len(chosen)), 0.0
-    bound = 0.25 * (np.linalg.norm(x, ord="fro") ** 2 / max(len(texts), 1) + 1) + RIDGE
+    bound = 0.25 + RIDGE
     if len(chosen):
         v = np.ones(len(chosen), dtype=np.float32)
         for _ in range(30):  # largest eigenvalue of the features' second moments
@@ -140,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         slots, weights, intercept = fit(rows.body.tolist(), rows.label_toxic.to_numpy(), prior)
         yield pd.DataFrame({"slot": np.append(slots, -1), "weight": np.append(weights, intercept)})
 
-    model = found.repartition(1).mapInPandas(learn, "slot long, weight double").collect()
+    model = found.repartition(1).mapInPandas(giving_back(learn), "slot long, weight double").collect()
     if not model:
         return flat
     own = [r for r in model if r.slot >= 0]
@@ -153,6 +155,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col
     slots, weights = slots.astype(np.int32), weights.astype(np.float64)
 
     @F.pandas_udf("double")
+    @giving_back
     def probability(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         weight_of = np.zeros(1 << HASH_BITS)
         weight_of[slots] = weights
@@ -167,6 +170,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col
                 seen = _present(texts[first:last], keep)
                 sums[first:last] += np.bincount(seen >> HASH_BITS, weight_of[seen & ((1 << HASH_BITS) - 1)], last - first)
                 first = last
+            del part, texts  # before the next batch comes
             yield pd.Series(1 / (1 + np.exp(-np.clip(sums, -30, 30))))
 
     return docs.withColumn(into, probability(whole_text(text_col)))
