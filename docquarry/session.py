@@ -5,9 +5,16 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: folders of staged tables of the innermost ``temporary`` block
+_FOLDERS: ContextVar[list[str] | None] = ContextVar("_FOLDERS", default=None)
+_EXCLUDED = "spark.sql.adaptive.optimizer.excludedRules"
+
 
 def local_session(cpus: str | int | None = None, name: str = "docquarry") -> SparkSession:
     """A session for tests and benchmarks; a cluster brings its own."""
@@ -56,13 +63,80 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def staged(df: DataFrame, *partitions: str) -> DataFrame:
+def staged(df: DataFrame, *partitions: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back.
 
     For results that several later steps use: they read columns they need from
     the table instead of computing ``df`` again, also after an executor is lost.
     """
-    path = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(*partitions) if partitions else df.write
-    writer.parquet(path)
+    return staged_in_turn([df], *partitions, compression=compression)
+
+
+def staged_in_turn(frames: Iterable[DataFrame], *partitions: str, compression: str | None = None) -> DataFrame:
+    """``staged`` for one table that comes as several frames of the same columns, written one after the other."""
+    path = None
+    for df in frames:
+        if path is None:
+            path = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+            if (folders := _FOLDERS.get()) is not None:
+                folders.append(path)
+        writer = df.write.mode("append").partitionBy(*partitions) if partitions else df.write.mode("append")
+        (writer.option("compression", compression) if compression else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold inside the block."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    try:
+        for name, value in values.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def _tidy(spark: SparkSession) -> dict[str, str]:
+    """Settings that remove the shuffle files of a step when it ends, not when the driver's memory is next tidied.
+
+    A join with an empty side would end its step while stages of the other side still
+    read such files, so all of them are awaited.
+    """
+    excluded = [spark.conf.get(_EXCLUDED, ""), "org.apache.spark.sql.execution.adaptive.AQEPropagateEmptyRelation"]
+    return {
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+        _EXCLUDED: ",".join(filter(None, excluded)),
+    }
+
+
+class Temporary:
+    """Folders of the tables staged in a ``temporary`` block."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders = spark, []
+
+    def clear(self) -> None:
+        """Delete the tables staged so far: no later step may read them."""
+        hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
+        while self.folders:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(self.folders.pop())
+            place.getFileSystem(hadoop).delete(place, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Temporary]:
+    """Tables staged inside the block go when it ends, shuffle files when their step does.
+
+    For a chain that is finished at the end of the block; a lazy result of it
+    would read tables that are gone.
+    """
+    made = Temporary(spark)
+    token = _FOLDERS.set(made.folders)
+    try:
+        with settings(spark, _tidy(spark)):
+            yield made
+    finally:
+        _FOLDERS.reset(token)
+        made.clear()

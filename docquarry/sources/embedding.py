@@ -15,7 +15,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
+from pyspark.sql.types import ArrayType, FloatType
 
 from docquarry import constants as C
 
@@ -49,17 +49,15 @@ def embed(
     model: Callable[[list[str]], np.ndarray] | None = None,
     column: str = "embedding",
 ) -> DataFrame:
-    """Add a vector of ``text`` to every row."""
+    """Add a vector of ``text`` to every row; only the text goes through Python."""
     model = model or hashing_model()
-    source = rows.drop(column).withColumn("_text", text)
-    schema = StructType([*source.drop("_text").schema.fields, StructField(column, ArrayType(FloatType()))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(ArrayType(FloatType()))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            vectors = model(batch["_text"].fillna("").tolist())
-            yield batch.drop(columns="_text").assign(**{column: list(vectors)})
+            yield pd.Series(list(model(batch.fillna("").tolist())), dtype=object)
 
-    return source.mapInPandas(run, schema)
+    return rows.drop(column).withColumn(column, run(text))
 
 
 def embed_examples(examples: DataFrame, model=None) -> DataFrame:

@@ -19,18 +19,23 @@ from docquarry import constants as C
 from docquarry.functions import code, intelligence, paths, signatures
 from docquarry.operators.typenav import methods_with_defaults
 from docquarry.plans.spread import spread
-from docquarry.session import staged
+from docquarry.session import settings, staged
 
 ITEM = (
     "struct<name:string,docs:string,visibility:string,attrs:array<string>,deprecation:string,"
     "crate_id:bigint,links:map<string,string>,inner:map<string,string>>"
 )
 PATH = "struct<crate_id:bigint,path:array<string>,kind:string,name:string>"
+#: staged tables hold texts, which it makes much smaller than the default at no more time
+CODEC = "zstd"
 
 
 @dataclass
 class Parsed:
-    """``index`` and ``paths`` entries of a set of files, one row each."""
+    """``index`` and ``paths`` entries of a set of files, one row each.
+
+    ``row_id`` numbers the rows of ``index`` in the order they are stored in.
+    """
 
     index: DataFrame
     paths: DataFrame
@@ -38,12 +43,12 @@ class Parsed:
     @cached_property
     def entries(self) -> DataFrame:
         """``parse_items`` without texts, staged: most tables start from it."""
-        return staged(parse_items(self).drop("docs", "links"))
+        return staged(parse_items(self).drop("docs", "links"), compression=CODEC)
 
     @cached_property
     def blocks(self) -> DataFrame:
         """``impls`` with the full path of their trait, staged: types are rendered once."""
-        return staged(resolve_traits(impls(self), full_paths(self), "trait_ref", "trait_path"))
+        return staged(resolve_traits(impls(self), full_paths(self), "trait_ref", "trait_path"), compression=CODEC)
 
 
 def parse(files: DataFrame) -> Parsed:
@@ -68,8 +73,11 @@ def parse(files: DataFrame) -> Parsed:
         entries("index", lambda e: e["value"], lambda e: F.lit(None).cast(PATH)),
         entries("paths", lambda e: F.lit(None).cast(ITEM), lambda e: e["value"]),
     )
-    stored = staged(rows.select("crate", "version", F.inline(both)), "part")
-    index = stored.where(F.col("part") == "index").select("crate", "version", "item_id", "item.*")
+    listed = rows.select("crate", "version", F.inline(both)).withColumn("row_id", F.monotonically_increasing_id())
+    # both parts are written side by side, so the texts are not sorted by part first
+    with settings(files.sparkSession, {"spark.sql.maxConcurrentOutputFileWriters": "2"}):
+        stored = staged(listed, "part", compression=CODEC)
+    index = stored.where(F.col("part") == "index").select("crate", "version", "item_id", "row_id", "item.*")
     places = stored.where(F.col("part") == "paths").select(
         "crate",
         "version",
@@ -160,11 +168,9 @@ def with_signature(items: DataFrame, name: bool = True) -> DataFrame:
     )
 
 
-def items_table(files: Parsed) -> DataFrame:
-    """The item table: text, signature, examples and code facts of every item."""
-    rows = with_signature(parse_items(files))
-    docs = F.coalesce("docs", F.lit(""))
-    safety = intelligence.safety_info(F.col("attrs"), F.col("signature"), docs)
+def item_heads(items: DataFrame) -> DataFrame:
+    """The columns of the item table that need no text, and ``docs`` if ``items`` has them."""
+    rows = with_signature(items)
     bounds = F.coalesce(
         F.when(F.col("item_type") == "trait", _json("body", "$.bounds")),
         _json("body", "$.generics.where_predicates"),
@@ -174,31 +180,47 @@ def items_table(files: Parsed) -> DataFrame:
         return F.when(~F.coalesce(value, F.lit("[]")).isin("[]", "null", ""), value)
 
     return rows.select(
-        "crate",
-        "version",
-        "item_id",
+        *KEY,
+        "row_id",
         "item_path",
         "item_type",
         F.coalesce(
             F.when(F.col("name") != "", F.col("name")), F.element_at("path", -1), F.col("item_type")
         ).alias("header"),
-        docs.alias("content"),
-        F.length(docs).alias("doc_length"),
         F.coalesce("visibility", F.lit("public")).alias("visibility"),
         F.col("deprecation").isNotNull().alias("deprecated"),
         intelligence.stability(F.col("attrs"), F.col("deprecation")).alias("stability_level"),
         "signature",
-        paths.parent_of(F.col("item_path")).alias("parent_id"),
-        code.examples_json(docs).alias("examples"),
         filled(_json("body", "$.generics.params")).alias("generic_params"),
         filled(bounds).alias("trait_bounds"),
-        safety.alias("safety_info"),
-        safety["is_safe"].alias("is_safe"),
         intelligence.error_types(F.col("signature")).alias("error_types"),
         intelligence.feature_requirements(F.col("attrs")).alias("feature_requirements"),
+        "attrs",
+        *(["docs"] if "docs" in rows.columns else []),
     )
 
 
+def with_texts(heads: DataFrame) -> DataFrame:
+    """The item table from ``item_heads`` and ``docs``: what is read from texts."""
+    docs = F.coalesce("docs", F.lit(""))
+    safety = intelligence.safety_info(F.col("attrs"), F.col("signature"), docs)
+    return heads.withColumns(
+        {
+            "content": docs,
+            "doc_length": F.length(docs),
+            "parent_id": paths.parent_of(F.col("item_path")),
+            "examples": code.examples_json(docs),
+            "safety_info": safety,
+            "is_safe": safety["is_safe"],
+        }
+    ).drop("docs", "attrs", "row_id")
+
+
+def items_table(files: Parsed) -> DataFrame:
+    """The item table: text, signature, examples and code facts of every item."""
+    return with_texts(item_heads(parse_items(files)))
+
+
 def modules_table(files: Parsed) -> DataFrame:
     """Modules with parents by path and a real count of the items they hold."""
     rows = files.paths.where(F.lower("path_kind").isin("module", "mod") & (F.size("path") > 0))

@@ -65,8 +65,10 @@ def item_key(path: Column, stored: Column) -> Column:
 def prepare_items(chunks: DataFrame) -> DataFrame:
     """Rows ready for the item table: valid paths, headers, text never null.
 
-    The text is in ``doc`` or, as in tables made from rustdoc files, in ``content``.
+    The text is in ``doc`` or, as in tables made from rustdoc files, in ``content``;
+    rows whose text comes later have neither.
     """
+    text = next((c for c in ("doc", "content") if c in chunks.columns), None)
     checked = chunks.withColumn(
         "_path",
         paths.valid_path(F.col("item_path"), F.col("item_id").cast("string"), F.col("item_type")),
@@ -75,9 +77,9 @@ def prepare_items(chunks: DataFrame) -> DataFrame:
         {
             "header": header_or_fallback(F.col("header"), F.col("item_path"), F.col("item_type")),
             "item_path": item_key(F.col("item_path"), F.col("_path.path")),
-            "content": F.coalesce("doc" if "doc" in chunks.columns else "content", F.lit("")),
             "visibility": F.coalesce("visibility", F.lit("public")),
             "deprecated": F.coalesce("deprecated", F.lit(False)),
+            **({"content": F.coalesce(text, F.lit(""))} if text else {}),
         }
     ).drop("_path", "doc")
 
@@ -155,7 +157,9 @@ def extract_examples(items: DataFrame, extra: list[str] | None = None) -> DataFr
     )
 
 
-def write_table(df: DataFrame, path: str, partitions: tuple[str, ...] = ("crate", "version")) -> None:
+def write_table(
+    df: DataFrame, path: str, partitions: tuple[str, ...] = ("crate", "version"), compression: str | None = None
+) -> None:
     """Replace exactly the crate/version partitions that ``df`` holds.
 
     Rows are not gathered by crate first, so a large crate is written by many
@@ -163,6 +167,7 @@ def write_table(df: DataFrame, path: str, partitions: tuple[str, ...] = ("crate"
     """
     columns = [c for c in partitions if c in df.columns]
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer = writer.option("compression", compression) if compression else writer
     (writer.partitionBy(*columns) if columns else writer).parquet(path)
 
 
