@@ -195,4 +195,5 @@ def ingest(files: DataFrame, root: str, model: Callable | None = None) -> None:
                 _write(name, rows, root, releases)
             _write("crates", crates, root, releases)
     if not store.exists(spark, f"{root}/status"):
-        store.write_table(spark.createDataFrame([], schemas.INGESTION_STATUS), f"{root}/status")
+        # not from a Python list, which would start workers on every core for no rows
+        store.write_table(shaped(spark.range(0), schemas.INGESTION_STATUS), f"{root}/status")

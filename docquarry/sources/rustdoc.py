@@ -48,7 +48,12 @@ class Parsed:
     @cached_property
     def blocks(self) -> DataFrame:
         """``impls`` with the full path of their trait, staged: types are rendered once."""
-        return staged(resolve_traits(impls(self), full_paths(self), "trait_ref", "trait_path"), compression=CODEC)
+        return staged(resolve_traits(impls(self), self.known, "trait_ref", "trait_path"), compression=CODEC)
+
+    @cached_property
+    def known(self) -> DataFrame:
+        """``full_paths``, staged: blocks, places and links look them up."""
+        return staged(full_paths(self), compression=CODEC)
 
 
 def parse(files: DataFrame) -> Parsed:
@@ -236,7 +241,8 @@ def modules_table(files: Parsed) -> DataFrame:
     placed = modules.withColumn("_up", paths.parent_of(F.col("path"))).join(
         parents, ["crate", "version", "_up"], "left"
     )
-    items = parse_items(files).where(F.col("item_type") != "module")  # two narrow columns: not worth staging
+    # two narrow columns: not worth staging for them alone
+    items = (files.entries if "entries" in vars(files) else parse_items(files)).where(F.col("item_type") != "module")
     counts = items.groupBy("crate", "version", paths.parent_of(F.col("item_path")).alias("path")).agg(
         F.count("*").alias("item_count")
     )
@@ -486,7 +492,7 @@ def located_paths(files: Parsed) -> DataFrame:
     their container.  Where several members of a release would share a path, each
     gets a hash of its impl block and signature, so none replaces another.
     """
-    known = full_paths(files).select("crate", "version", F.col("item_id").alias("_type_id"), F.col("full").alias("_type"))
+    known = files.known.select("crate", "version", F.col("item_id").alias("_type_id"), F.col("full").alias("_type"))
     blocks = files.blocks.withColumns({
         "_type_id": _json("body", "$.for.resolved_path.id"),
         "_trait": signatures.type_name(F.concat(F.lit('{"resolved_path": '), "trait_ref", F.lit("}"))),
@@ -569,7 +575,7 @@ def reexports(files: Parsed) -> DataFrame:
 
 def cross_references(files: Parsed) -> DataFrame:
     """Documentation links between items of the path table."""
-    known = full_paths(files).where(F.col("full").isNotNull())
+    known = files.known.where(F.col("full").isNotNull())
     links = files.index.select(*KEY, F.explode("links").alias("link_text", "target_id"))
     source = known.select("crate", "version", "item_id", F.col("full").alias("source_path"))
     target = known.select("crate", "version", F.col("item_id").alias("target_id"), F.col("full").alias("target_path"))
